@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panoloom.operators.segments import key_totals
@@ -64,9 +64,10 @@ def fixed_ink(df: DataFrame, level: int = FIXED_LEVEL) -> DataFrame:
     return df.where(F.col("v") > level).drop("v")
 
 
-def crop(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
-    """The rectangle with its corner as the new origin."""
-    inside = df.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
+def crop(df: DataFrame, rect: Column) -> DataFrame:
+    """The rectangle ``STRUCT<x,y,w,h>`` with its corner as the new origin."""
+    x, y, w, h = (rect[c] for c in ("x", "y", "w", "h"))
+    inside = df.where((F.col("x") >= x) & (F.col("x") < x + w) & (F.col("y") >= y) & (F.col("y") < y + h))
     return inside.withColumn("x", F.col("x") - x).withColumn("y", F.col("y") - y)
 
 

@@ -103,3 +103,10 @@ def last_rows(df: DataFrame, key: str, order: str) -> DataFrame:
     cols = [c for c in df.columns if c not in (key, order)]
     return (df.groupBy(key).agg(F.max(F.struct(order, *cols)).alias("__r"))
             .select(key, f"__r.{order}", *[f"__r.{c}" for c in cols]))
+
+
+def flush_tail(last: DataFrame, overlap: Column, width: int, least: int) -> DataFrame:
+    """What remains of each sequence's last screen beyond its overlap, if wide enough."""
+    x0 = F.when(overlap != -1, overlap).otherwise(0)
+    return (last.withColumn("x0", x0).withColumn("width", F.lit(width) - F.col("x0"))
+            .where(F.col("width") > least))

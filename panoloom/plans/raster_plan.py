@@ -71,9 +71,8 @@ def frames_scan(spark, sf):
 
 @query(f"with {PX} select {FRAME}, y - 4 as y, x - 8 as x, v from px where y between 4 and 11 and x between 8 and 55")
 def crop(spark, sf):
-    rect = spark.range(1).select(g.roi_rect(F.lit(cam.W), F.lit(cam.H), F.lit(0.25), F.lit(0.75), F.lit(0.125),
-                                            F.lit(0.875)).alias("r")).first().r
-    return ra.crop(cam.px(spark, sf), rect.x, rect.y, rect.w, rect.h)
+    rect = g.roi_rect(F.lit(cam.W), F.lit(cam.H), F.lit(0.25), F.lit(0.75), F.lit(0.125), F.lit(0.875))
+    return ra.crop(cam.px(spark, sf), rect)
 
 
 @query(f"""with {FRAMES}, r as (select {FRAME}, cast(off % 80 - 8 as int) as rx, cast(frame_idx % 4 as int) as ry,
@@ -174,7 +173,7 @@ def noise_floor(spark, sf):
 @query(f"""with {PX}, third as (select * from px where x < 21), o as (select unnest(range(3)) as d)
 select {FRAME}, cast(y * 3 + a.d as int) as y, cast(x * 3 + b.d as int) as x, v from third, o a, o b""")
 def upsample3(spark, sf):
-    return ra.upsample(ra.crop(cam.px(spark, sf), 0, 0, cam.W // 3, cam.H))
+    return ra.upsample(cam.px(spark, sf).where(F.col("x") < cam.W // 3))
 
 
 @query(f"""with {PX}, s as (select {FRAME}, count(*) as n, cast(sum(v) as bigint) as sum_v, cast(sum(v * v) as bigint) as sum_v2 from px group by {FRAME})

@@ -8,6 +8,8 @@ one video.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,26 @@ from panoloom.settings import NUMBERING_SPAN
 
 W, H = 64, 16
 VIDEOS = 5
-PERIOD = 12             # frames per schedule period
-ADVANCE = 112           # columns per schedule period
 FRAME = ["video_id", "frame_idx"]
 
-_OFF = (f"({ADVANCE} * ({{k}} div {PERIOD}) + case when {{k}} % {PERIOD} < 3 then 0 "
-        f"when {{k}} % {PERIOD} < 6 then 12 when {{k}} % {PERIOD} < 9 then 42 else {ADVANCE} end)")
+
+@dataclass(frozen=True)
+class Schedule:
+    """Camera moves: every ``period`` frames it has gone ``advance`` columns (a multiple of 4)."""
+
+    period: int
+    advance: int
+    within: str             # offset of frame {k} inside its period
+
+    def off(self, k: str) -> str:
+        return f"({self.advance} * ({k} div {self.period}) + {self.within.format(k=k)})"
+
+
+# hold, +12, hold, +30, hold, +70 (wider than the view), repeat
+JUMPY = Schedule(12, 112, "case when {k} % 12 < 3 then 0 when {k} % 12 < 6 then 12 when {k} % 12 < 9 then 42 else 112 end")
+# +28 after every three frames
+STEADY = Schedule(3, 28, "0")
+
 _GRAY = "cast(greatest(0, least(255, cast(floor((e + 0.55D) * 230) as int))) as int)"
 
 
@@ -40,34 +56,34 @@ def strip(spark, sf) -> DataFrame:
                         "cast(e as double) as e"))
 
 
-def frames(spark, sf) -> DataFrame:
+def frames(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
     """(video_id, frame_idx, off, ts_us, fps): one row per camera window."""
+    first = f"vpos * 4 div {plan.advance} * {plan.period}"
     return (vectors(spark, sf)
-            .where(f"vpos * 4 % {ADVANCE} = 0")
+            .where(f"vpos * 4 % {plan.advance} = 0")
             .select("video_id", "n_vec", F.explode(F.expr(
-                f"sequence(vpos * 4 div {ADVANCE} * {PERIOD}, vpos * 4 div {ADVANCE} * {PERIOD} + {PERIOD - 1})"
-            )).alias("frame_idx"))
-            .withColumn("off", F.expr(_OFF.format(k="frame_idx")))
+                f"sequence({first}, {first} + {plan.period - 1})")).alias("frame_idx"))
+            .withColumn("off", F.expr(plan.off("frame_idx")))
             .where(f"off + {W} <= n_vec * 4")
             .selectExpr("video_id", "frame_idx", "off", "frame_idx * 50000 as ts_us",
                         "cast(20 as double) as fps"))
 
 
-def frame_vectors(spark, sf) -> DataFrame:
+def frame_vectors(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
     """Vectors copied to every frame that sees them, co-located by frame before pixels are unfolded."""
-    off = _OFF.format(k="k")
-    seen = (f"filter(sequence(greatest(0, (vpos * 4 - {W + ADVANCE}) div {ADVANCE}) * {PERIOD}, "
-            f"(vpos * 4 + 3) div {ADVANCE} * {PERIOD} + {PERIOD - 1}), "
+    off = plan.off("k")
+    seen = (f"filter(sequence(greatest(0, (vpos * 4 - {W + plan.advance}) div {plan.advance}) * {plan.period}, "
+            f"(vpos * 4 + 3) div {plan.advance} * {plan.period} + {plan.period - 1}), "
             f"k -> {off} <= vpos * 4 + 3 and {off} + {W} > vpos * 4 and {off} + {W} <= n_vec * 4)")
     return (vectors(spark, sf)
             .select("video_id", "vpos", "embedding", F.explode(F.expr(seen)).alias("frame_idx"))
             .repartition(*FRAME))
 
 
-def cells(spark, sf) -> DataFrame:
+def cells(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
     """(video_id, frame_idx, y, x, e): every pixel of every frame, partitioned by frame."""
-    off = _OFF.format(k="frame_idx")
-    return (frame_vectors(spark, sf)
+    off = plan.off("frame_idx")
+    return (frame_vectors(spark, sf, plan)
             .select(*FRAME, F.expr(f"vpos * 4 - {off}").alias("x0"), F.posexplode("embedding").alias("i", "e"))
             .selectExpr(*FRAME, "cast(i div 4 as int) as y", "cast(x0 + i % 4 as int) as x",
                         "cast(e as double) as e")
@@ -80,6 +96,13 @@ def marks(spark, sf) -> DataFrame:
         *FRAME, "y", "x", f"e < -0.1D or x = (5 * frame_idx) % {W} as on")
 
 
+def barred_marks(spark, sf) -> DataFrame:
+    """Steadily moving frames with a full-height bar every 28 columns of the raster and no cursor."""
+    off = STEADY.off("frame_idx")
+    return cells(spark, sf, STEADY).selectExpr(
+        *FRAME, "y", "x", f"e < -0.1D or (x + {off}) % 28 = 6 as on")
+
+
 def ink(spark, sf) -> DataFrame:
     """(video_id, frame_idx, y, x): set pixels only."""
     return marks(spark, sf).where("on").drop("on")
