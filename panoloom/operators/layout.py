@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panoloom.operators.segments import number_rows
-from panoloom.settings import NUMBERING_SPAN
+from panoloom.operators.fold import fold_scalars
+from panoloom.operators.segments import number_rows, running_sums
+from panoloom.settings import NUMBERING_SPAN, PAGE_GAP, PAGE_H, PAGE_MARGIN, PAGE_W, SEGMENT_ROWS
 
 
 def layout_progress(items: DataFrame, doc: str, order: str, every: int = 5, log_every: int = 20) -> DataFrame:
@@ -17,3 +18,34 @@ def layout_progress(items: DataFrame, doc: str, order: str, every: int = 5, log_
             .withColumn("callback", F.col("i") % every == 0)
             .withColumn("logged", F.col("i") % log_every == 0)
             .where("callback or logged"))
+
+
+def page_layout(items: DataFrame, doc: str, order: str, img_w: str, img_h: str,
+                segment_rows: int = SEGMENT_ROWS // 4) -> DataFrame:
+    """Place images below each other on pages, next-fit: ``(doc, n, page_no, slot, x, y, w, h)``.
+
+    Page 1 exists from the start, so a first image taller than the page leaves it blank. The fold
+    carries only the pen position; page numbers are a running count of page breaks.
+    """
+    usable, top = PAGE_W - 2 * PAGE_MARGIN, PAGE_H - PAGE_MARGIN
+    rows = number_rows(items, [doc], [order], F.expr(f"{order} div {NUMBERING_SPAN}"))
+    rows = (rows.withColumn("h", F.col(img_h) * (F.lit(usable) / F.col(img_w)))
+            .withColumn("seg", F.expr(f"n div {segment_rows}")))
+    item = "struct<n:bigint,h:double,y:double,slot:int,brk:boolean>"
+    empty = F.array().cast(f"array<{item}>")
+
+    def acc(pen, slot, log):
+        return F.struct(pen.alias("pen"), slot.cast("int").alias("slot"), log.alias("log"))
+
+    def merge(a, x):
+        h = x["h"]
+        brk = a["pen"] - h < PAGE_MARGIN
+        pen, slot = F.when(brk, top).otherwise(a["pen"]), F.when(brk, 0).otherwise(a["slot"])
+        row = F.struct(x["n"].alias("n"), h.alias("h"), (pen - h).alias("y"), slot.cast("int").alias("slot"), brk.alias("brk"))
+        return acc(pen - (h + PAGE_GAP), slot + 1, F.concat(a["log"], F.array(row)))
+
+    placed = fold_scalars(rows, doc, "n", "h", {"pen": "double", "slot": "int"},
+                          acc(F.lit(top), F.lit(0), empty), merge, "log", lambda p, s: acc(p, s, empty))
+    paged = running_sums(placed, [doc], ["n"], F.expr(f"n div {NUMBERING_SPAN}"), {"breaks": F.col("brk").cast("int")})
+    return paged.select(doc, "n", (F.col("breaks") + 1).alias("page_no"), "slot", F.lit(PAGE_MARGIN).alias("x"), "y",
+                        F.lit(usable).alias("w"), "h")

@@ -53,8 +53,7 @@ fold as ({_SEED} union all
    join ev e on e.video_id = f.video_id and e.frame_idx = n.nf and e.prev_frame_idx = f.com
    join ev l on l.video_id = f.video_id and l.frame_idx = n.nf and l.prev_frame_idx = f.frame_idx) d)"""
 
-PAGE_FOLD = f"""{INK}, {ALL_PAIRS}, {_SIMS}, {_NEXT},
-fold as ({_SEED} union all
+PAGE_STEPS = f"""fold as ({_SEED} union all
   select d.video_id, d.frame_idx, case when d.action in ('page', 'refresh') then d.frame_idx else d.com end,
     d.scrolled or d.action = 'page', d.action, 0, d.peak, d.zero, case d.action when 'page' then 64 else 0 end, false
   from (select f.video_id, n.nf as frame_idx, f.com, f.scrolled, e.sim as peak, l.sim as zero,
@@ -63,6 +62,7 @@ fold as ({_SEED} union all
    from fold f join nxt n on n.video_id = f.video_id and n.frame_idx = f.frame_idx
    join sims e on e.video_id = f.video_id and e.frame_idx = n.nf and e.prev_frame_idx = f.com
    join sims l on l.video_id = f.video_id and l.frame_idx = n.nf and l.prev_frame_idx = f.frame_idx) d)"""
+PAGE_FOLD = f"{INK}, {ALL_PAIRS}, {_SIMS}, {_NEXT}, {PAGE_STEPS}"
 
 LOG = "select video_id, frame_idx, action, dx, peak, zero, strip_w, vetoed from fold"
 
