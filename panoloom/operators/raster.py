@@ -14,18 +14,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panoloom.operators.segments import key_totals
+from panoloom.operators.segments import spread
+from panoloom.session import settle
 from panoloom.settings import (ADAPTIVE_BLOCK, ADAPTIVE_C, BLACKHAT_SIZE, CLAHE_CLIP, CLAHE_GRID,
                                FIXED_LEVEL, GAIN, LINE_DIVISOR, LINE_MIN, NOISE_FLOOR, NOISE_MIN_AREA,
                                POLARITY_OPAQUE, POLARITY_TRANSLUCENT, TILE_COLUMNS)
 
+LEVELS = 256
 FRAME = ["video_id", "frame_idx"]
 TILE = ["video_id", "tile"]
 
 
 def co_locate(df: DataFrame, keys=FRAME) -> DataFrame:
     """Bring the pixels of an image together; the only shuffle of a kernel chain."""
-    return df.repartition(*keys)
+    return spread(df, *keys)
 
 
 def tiled(pano: DataFrame, halo: int, width: int = TILE_COLUMNS) -> DataFrame:
@@ -173,16 +175,15 @@ def gaussian_weights(block: int) -> list[int]:
 
 def _smooth(df, keys, axis, src, dst, weights):
     """Weighted sum along one axis, repeating the edge pixel outside the image."""
-    other = "y" if axis == "x" else "x"
+    other, size, r = ("y" if axis == "x" else "x"), len(weights), len(weights) // 2
     w = Window.partitionBy(*keys, other).orderBy(axis)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.select("*", F.first(src).over(whole).alias("__f"), F.last(src).over(whole).alias("__l"))
-    r = len(weights) // 2
-    total = F.col(src).cast("bigint") * weights[r]
-    for i in range(1, r + 1):
-        total = total + (F.coalesce(F.lag(src, i).over(w), F.col("__f"))
-                         + F.coalesce(F.lead(src, i).over(w), F.col("__l"))).cast("bigint") * weights[r + i]
-    return df.withColumn(dst, total).drop("__f", "__l")
+    df = df.select("*", F.collect_list(src).over(w.rowsBetween(-r, r)).alias("__a"),
+                   F.least(F.lit(r), F.row_number().over(w) - 1).alias("__k"))
+    taps = f"array({', '.join(f'{i}L' for i in weights)})"
+    near = (f"concat(array_repeat(__a[0], {r} - __k), __a, "
+            f"array_repeat(__a[size(__a) - 1], {size - r} + __k - size(__a)))")
+    return df.withColumn(dst, F.expr(
+        f"aggregate(zip_with({near}, {taps}, (v, t) -> v * t), 0L, (s, p) -> s + p)")).drop("__a", "__k")
 
 
 def adaptive_marks(df: DataFrame, block: int = ADAPTIVE_BLOCK, c: int = ADAPTIVE_C, keys=FRAME) -> DataFrame:
@@ -272,43 +273,62 @@ def feature_opaque(bgr: DataFrame, width: int, keys=FRAME) -> DataFrame:
 
 # ---- panorama clean-up
 
-def pano_polarity(pano: DataFrame, level: int, width: int = TILE_COLUMNS) -> DataFrame:
-    """Polarity by the mean of the whole panorama; also adds its last column and row ``mx``, ``my``."""
-    t = key_totals(pano, ["video_id"], F.expr(f"x div {width}"),
-                   {"__s": (F.sum, F.col("v")), "__n": (F.sum, F.lit(1)),
-                    "mx": (F.max, F.col("x")), "my": (F.max, F.col("y"))})
-    return t.withColumn("v", F.when(F.col("__s") < F.col("__n") * level, 255 - F.col("v"))
-                        .otherwise(F.col("v"))).drop("__s", "__n")
+def scene(pano: DataFrame, level: int, width: int = TILE_COLUMNS) -> DataFrame:
+    """What all pixels of a panorama must know, ``(video_id, bx, dark, mx, my)``.
+
+    Sums combine before the shuffle; the result has one row per column tile ``bx``, so attaching it to
+    pixels joins on ``(video_id, bx)`` and no video is hot. It is small and used by several passes, hence stored.
+    """
+    parts = pano.groupBy("video_id", F.expr(f"x div {width}").alias("bx")).agg(
+        F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"), F.max("x").alias("mx"), F.max("y").alias("my"))
+    w = Window.partitionBy("video_id")
+    return settle(parts.select("video_id", "bx", (F.sum("s").over(w) < F.sum("n").over(w) * level).alias("dark"),
+                               F.max("mx").over(w).alias("mx"), F.max("my").over(w).alias("my")))
+
+
+def in_scene(pano: DataFrame, known: DataFrame, width: int = TILE_COLUMNS) -> DataFrame:
+    """Pixels with the columns of ``known``, in the polarity of their panorama."""
+    return (pano.withColumn("bx", F.expr(f"x div {width}")).join(known, ["video_id", "bx"])
+            .withColumn("v", F.when(F.col("dark"), 255 - F.col("v")).otherwise(F.col("v"))))
+
+
+def pano_polarity(pano: DataFrame, level: int) -> DataFrame:
+    """Polarity by the mean of the whole panorama."""
+    return in_scene(pano, scene(pano, level)).select("video_id", "y", "x", "v")
 
 
-def clahe(pano: DataFrame, clip: float = CLAHE_CLIP, grid: int = CLAHE_GRID,
-          width: int = TILE_COLUMNS) -> DataFrame:
-    """Contrast-limited equalisation on a grid of tiles; ``pano`` carries ``mx`` and ``my``.
+def clahe(pano: DataFrame, polarity: int = 0, clip: float = CLAHE_CLIP, grid: int = CLAHE_GRID) -> DataFrame:
+    """Polarity, then contrast-limited equalisation on a grid of tiles.
 
-    Tile histograms combine before the shuffle. The 256-entry tables of a video travel once per
-    column tile of the panorama, so applying them joins on ``(video, column tile)``, never on a hot video.
+    Tile histograms combine before the shuffle. The 256-entry tables of a video are attached once per
+    column tile of the panorama; applying them joins on ``(video_id, bx)``.
     """
-    p = (pano.withColumn("__tw", F.expr(f"(mx + {grid}) div {grid}"))
-         .withColumn("__th", F.expr(f"(my + {grid}) div {grid}"))
-         .withColumn("__bx", F.expr(f"x div {width}")))
+    known = (scene(pano, polarity).withColumn("__tw", F.expr(f"(mx + {grid}) div {grid}"))
+             .withColumn("__th", F.expr(f"(my + {grid}) div {grid}")))
+    p = in_scene(pano, known)
     hist = (p.groupBy("video_id", F.expr("y div __th").alias("ty"), F.expr("x div __tw").alias("tx"), "v")
             .agg(F.count(F.lit(1)).alias("c")))
-    levels = F.sequence(F.lit(0), F.lit(255))
-    tables = (hist.groupBy("video_id", "ty", "tx")
-              .agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("m"))
-              .withColumn("h", F.transform(levels, lambda v: F.coalesce(F.try_element_at(F.col("m"), v), F.lit(0))))
-              .withColumn("cl", F.expr(f"greatest(1L, cast({clip}D * n / 256 as bigint))"))
-              .withColumn("over", F.expr("aggregate(h, 0L, (a, c) -> a + greatest(c - cl, 0L))"))
-              .withColumn("h", F.expr("transform(h, (c, v) -> least(c, cl) + over div 256 + if(v < over % 256, 1, 0))"))
-              .withColumn("lut", F.expr("transform(h, (c, v) -> cast((510 * aggregate(slice(h, 1, v + 1), 0L, "
-                                        "(a, d) -> a + d) + n) div (2 * n) as int))")))
+    cell, one_tile = ["video_id", "ty", "tx"], Window.partitionBy("video_id", "ty", "tx")
+    by_level = one_tile.orderBy("v")
+    # every level gets a row: those missing before, between and after the present ones count 0
+    gap = (f"transform(filter(sequence(if(first, 0, v + 1), {LEVELS - 1}), q -> q < next and q <> v), "
+           "q -> named_struct('v', q, 'c', 0L))")
+    full = (hist.withColumn("next", F.coalesce(F.lead("v").over(by_level), F.lit(LEVELS)))
+            .withColumn("first", F.lag("v").over(by_level).isNull())
+            .select(*cell, F.inline(F.concat(F.array(F.struct("v", "c")), F.expr(gap)))))
+    n = F.sum("c").over(one_tile)
+    limited = (full.withColumn("n", n).withColumn("cl", F.expr(f"greatest(1L, cast({clip}D * n / {LEVELS} as bigint))"))
+               .withColumn("excess", F.sum(F.expr("greatest(c - cl, 0)")).over(one_tile))
+               .withColumn("c", F.expr(f"least(c, cl) + excess div {LEVELS} + if(v < excess % {LEVELS}, 1, 0)"))
+               .withColumn("cdf", F.sum("c").over(by_level)))
+    tables = (limited.select(*cell, "v", F.expr(f"cast(({2 * (LEVELS - 1)} * cdf + n) div (2 * n) as int)").alias("o"))
+              .groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("v", "o"))).alias("t")))
     per_video = (tables.groupBy("video_id")
-                 .agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"ty * {grid} + tx").alias("t"), "lut"))).alias("luts"),
+                 .agg(F.map_from_entries(F.collect_list(F.struct(F.expr(f"ty * {grid} + tx").alias("at"), F.col("t.o").alias("lut")))).alias("m"),
                       F.max("ty").alias("ymax"), F.max("tx").alias("xmax")))
     per_video = per_video.select("video_id", "ymax", "xmax", F.transform(
-        F.sequence(F.lit(0), F.lit(grid * grid - 1)), lambda t: F.try_element_at(F.col("luts"), t.cast("bigint"))).alias("luts"))
-    per_bucket = p.select("video_id", "__bx").distinct().join(per_video, "video_id")
-    j = p.join(per_bucket, ["video_id", "__bx"])
+        F.sequence(F.lit(0), F.lit(grid * grid - 1)), lambda t: F.try_element_at(F.col("m"), t.cast("bigint"))).alias("luts"))
+    j = in_scene(pano, known.join(per_video, "video_id"))
     # position between tile centres in half pixels, so all weights are integers
     for a, t, hi in (("x", "__tw", "xmax"), ("y", "__th", "ymax")):
         j = (j.withColumn(f"__c{a}", F.expr(f"cast(floor((2 * {a} - {t}) / (2.0D * {t})) as bigint)"))
@@ -327,14 +347,12 @@ _HALO_BLACKHAT = 2 * (BLACKHAT_SIZE // 2)
 
 def clean_translucent(pano: DataFrame) -> DataFrame:
     """White paper and dark marks from a gray panorama; staff lines are kept."""
-    eq = clahe(pano_polarity(pano, POLARITY_TRANSLUCENT))
-    t = tiled(eq, _HALO_BLACKHAT + NOISE_MIN_AREA)
+    t = tiled(clahe(pano, POLARITY_TRANSLUCENT), _HALO_BLACKHAT + NOISE_MIN_AREA)
     marks = despeckle(noise_floor(gain(blackhat(t, keys=TILE))), keys=TILE)
     return to_bgr(invert(own_columns(marks)))
 
 
 def clean_opaque(pano: DataFrame) -> DataFrame:
-    bright = pano_polarity(pano, POLARITY_OPAQUE).drop("mx", "my")
-    t = tiled(bright, ADAPTIVE_BLOCK // 2 + NOISE_MIN_AREA)
+    t = tiled(pano_polarity(pano, POLARITY_OPAQUE), ADAPTIVE_BLOCK // 2 + NOISE_MIN_AREA)
     marks = despeckle(noise_floor(adaptive_marks(t, keys=TILE)), keys=TILE)
     return to_bgr(invert(own_columns(marks)))

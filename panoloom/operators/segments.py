@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 SEG = "__seg"
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Shuffle by ``keys`` into the configured number of partitions.
+
+    For rows that unfold afterwards (planes to pixels): adaptive execution would size partitions by
+    the folded bytes and leave too few of them, so the number is stated.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _local(keys, order):
     return Window.partitionBy(*keys, SEG).orderBy(*order)
 
@@ -22,7 +31,7 @@ def _before(keys):
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, seg: Column,
-                pos: str = "n", total: str | None = None) -> DataFrame:
+                pos: str = "n", total: str | None = None, unfolds: bool = False) -> DataFrame:
     """0-based position of each row in its sequence, optionally with the sequence length."""
     df = df.withColumn(SEG, seg)
     carry = df.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("__n"))
@@ -30,7 +39,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list, seg: Column,
     if total:
         cols.append(F.sum("__n").over(Window.partitionBy(*keys)).alias(total))
     carry = carry.select(*keys, SEG, *cols)
-    local = df.withColumn("__rn", F.row_number().over(_local(keys, order)))
+    local = (spread(df, *keys, SEG) if unfolds else df).withColumn("__rn", F.row_number().over(_local(keys, order)))
     return (local.join(carry, keys + [SEG])
             .withColumn(pos, F.col("__base") + F.col("__rn") - 1)
             .drop(SEG, "__rn", "__base"))

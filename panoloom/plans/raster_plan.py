@@ -287,7 +287,7 @@ eq as materialized (select r.video_id, r.y, r.x, cast((2 * ((a.o * (2 * tw - rx)
 
 @query(f"with {PANO}, {_pano_pol(0)}, {CLAHE} select * from eq")
 def clahe(spark, sf):
-    return ra.clahe(ra.pano_polarity(cam.pano(spark, sf), 0))
+    return ra.clahe(cam.pano(spark, sf))
 
 
 def _paper(src):

@@ -80,5 +80,6 @@ VIDEO_FILE = r"^video.*\.(mp4|mkv|webm)$"
 # Tuning of the Spark side; results do not depend on these.
 SEGMENT_ROWS = 512          # rows of one sequence handled by one task of a fold
 NUMBERING_SPAN = 1 << 16    # width of an id bucket when numbering rows
+VECTOR_SPAN = 512           # same for vectors, which unfold to many pixels each
 DAY_US = 86_400_000_000     # width of a time bucket when numbering events
 TILE_COLUMNS = 256          # panorama columns handled together

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panoloom.operators.segments import number_rows
-from panoloom.settings import NUMBERING_SPAN
+from panoloom.operators.segments import number_rows, spread
+from panoloom.settings import VECTOR_SPAN
 
 W, H = 64, 16
 VIDEOS = 5
@@ -44,8 +44,8 @@ _GRAY = "cast(greatest(0, least(255, cast(floor((e + 0.55D) * 230) as int))) as
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/embeddings.parquet").select(
         F.expr(f"cast(label % {VIDEOS} as bigint)").alias("video_id"), "vec_id", "embedding")
-    return number_rows(df, ["video_id"], ["vec_id"], F.expr(f"vec_id div {NUMBERING_SPAN}"),
-                       pos="vpos", total="n_vec").drop("vec_id")
+    return number_rows(df, ["video_id"], ["vec_id"], F.expr(f"vec_id div {VECTOR_SPAN}"),
+                       pos="vpos", total="n_vec", unfolds=True).drop("vec_id")
 
 
 def strip(spark, sf) -> DataFrame:
@@ -75,9 +75,8 @@ def frame_vectors(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
     seen = (f"filter(sequence(greatest(0, (vpos * 4 - {W + plan.advance}) div {plan.advance}) * {plan.period}, "
             f"(vpos * 4 + 3) div {plan.advance} * {plan.period} + {plan.period - 1}), "
             f"k -> {off} <= vpos * 4 + 3 and {off} + {W} > vpos * 4 and {off} + {W} <= n_vec * 4)")
-    return (vectors(spark, sf)
-            .select("video_id", "vpos", "embedding", F.explode(F.expr(seen)).alias("frame_idx"))
-            .repartition(*FRAME))
+    return spread(vectors(spark, sf).select(
+        "video_id", "vpos", "embedding", F.explode(F.expr(seen)).alias("frame_idx")), *FRAME)
 
 
 def cells(spark, sf, plan: Schedule = JUMPY) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panoloom.operators.segments import spread
+
 FRAME = ["video_id", "frame_idx"]
 SCHEMA = ("video_id BIGINT, frame_idx BIGINT, ts_us BIGINT, width INT, height INT, layout STRING, "
           "c0 ARRAY<SMALLINT>, c1 ARRAY<SMALLINT>, c2 ARRAY<SMALLINT>")
@@ -35,7 +37,7 @@ def normalise(frames: DataFrame) -> DataFrame:
 
 def unfold(frames: DataFrame) -> DataFrame:
     """Pixels ``(video_id, frame_idx, y, x, b, g, r)`` of normalised frames, co-located by frame."""
-    return (frames.repartition(*FRAME)
+    return (spread(frames, *FRAME)
             .select(*FRAME, "width", F.posexplode(F.arrays_zip("b", "g", "r")).alias("i", "p"))
             .select(*FRAME, F.expr("cast(i div width as int)").alias("y"), F.expr("i % width").alias("x"),
                     *[F.col(f"p.{c}").cast("int").alias(c) for c in "bgr"]))
