@@ -69,3 +69,13 @@ def change_ratio(px: DataFrame, level: int = DIFF_LEVEL) -> DataFrame:
     return (pairs.where("prev_frame_idx is not null")
             .select(*FRAME, "prev_frame_idx", changed.alias("n_changed"), F.size("gray").alias("n_px"))
             .withColumn("ratio", F.col("n_changed") / F.col("n_px")))
+
+
+def unpack(packed: DataFrame, height: int) -> DataFrame:
+    """Packed frames back to set pixels."""
+    n = words(height)
+    on = F.expr(f"filter(sequence(0, {WORD - 1}), i -> shiftright(bits, i) & 1 = 1)")
+    return (packed.select(*FRAME, F.posexplode("cols").alias("slot", "bits")).where("bits <> 0")
+            .select(*FRAME, "slot", F.explode(on).alias("i"))
+            .select(*FRAME, F.expr(f"cast(slot % {n} * {WORD} + i as int)").alias("y"),
+                    F.expr(f"cast(slot div {n} as int)").alias("x")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panoloom.functions import geometry as g
 from panoloom.operators import ink as ik
+from panoloom.operators import planes as pl
 from panoloom.operators import raster as ra
 from panoloom.operators import sampling
 from panoloom.plans.common import BGR, FRAMES, INK, PANO, PX, STRIP, registry
@@ -218,12 +219,25 @@ def feature_translucent(spark, sf):
     return ra.feature_translucent(cam.bgr(spark, sf), cam.W)
 
 
-@query(f"""with {BGR}, {_polarity('gray', 'pol', 110)}, {_adaptive('pol', 'ad')},
-  fbin as (select {FRAME}, y, x from ad where v > 0), {_hlines('fbin', 'feat')} select * from feat""")
+FEATURE_OPAQUE = (f"{_polarity('gray', 'pol', 110)}, {_adaptive('pol', 'ad')}, "
+                  f"fbin as (select {FRAME}, y, x from ad where v > 0), {_hlines('fbin', 'feat')}")
+
+
+@query(f"with {BGR}, {FEATURE_OPAQUE} select * from feat")
 def feature_opaque(spark, sf):
     return ra.feature_opaque(cam.bgr(spark, sf), cam.W)
 
 
+@query(f"with {BGR}, {FEATURE_TRANSLUCENT} select * from feat")
+def feature_translucent_planes(spark, sf):
+    return ik.unpack(pl.features(cam.planes(spark, sf)), cam.H)
+
+
+@query(f"with {BGR}, {FEATURE_OPAQUE} select * from feat")
+def feature_opaque_planes(spark, sf):
+    return ik.unpack(pl.features(cam.planes(spark, sf), opaque=True), cam.H)
+
+
 @query(f"""with {PX}, {_polarity('px', 'pol', 128)}, {_otsu('pol', 'th')},
 s as (select {FRAME}, count(*) as n, sum(v) as s1, sum(v * v) as s2 from px group by {FRAME}),
 c as (select {FRAME}, count(*) filter (v <= t) as n_dark from pol join th using ({FRAME}) group by {FRAME})

@@ -122,3 +122,22 @@ def bgr(spark, sf) -> DataFrame:
 def pano(spark, sf) -> DataFrame:
     """(video_id, y, x, v): the long raster as gray, the truth stitching should recover."""
     return strip(spark, sf).selectExpr("video_id", "y", "sx as x", f"{_GRAY} as v")
+
+
+def planes(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
+    """The colour frames as rows of planes, ``(video_id, frame_idx, ts_us, width, height, b, g, r)``.
+
+    Built from the vectors of each frame without a pixel table.
+    """
+    off = plan.off("frame_idx")
+    rows = (frame_vectors(spark, sf, plan).groupBy(*FRAME)
+            .agg(F.sort_array(F.collect_list(F.struct("vpos", "embedding"))).alias("vs"))
+            .select(*FRAME, F.expr(f"cast({off} - vs[0].vpos * 4 as int)").alias("x0"), F.col("vs.embedding").alias("es")))
+    e = (f"cast(es[cast((x0 + i % {W}) div 4 as int)][cast(i div {W} * 4 + (x0 + i % {W}) % 4 as int)] as double)")
+    gray = F.expr(f"transform(sequence(0, {W * H - 1}), i -> case when i % {W} = (5 * frame_idx) % {W} then 20 "
+                  f"else cast(greatest(0, least(255, cast(floor(({e} + 0.55D) * 230) as int))) as int) end)")
+    return (rows.select(*FRAME, gray.alias("v"))
+            .select(*FRAME, F.expr("frame_idx * 50000").alias("ts_us"), F.lit(W).alias("width"), F.lit(H).alias("height"),
+                    F.expr("cast(v as array<smallint>)").alias("b"),
+                    F.expr("transform(v, p -> cast((p * 7 + 13) % 256 as smallint))").alias("g"),
+                    F.expr("transform(v, p -> cast((p * 3 + 101) % 256 as smallint))").alias("r")))
