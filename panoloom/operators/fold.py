@@ -5,7 +5,7 @@ cut into segments and every segment is folded at once from a guessed entry state
 predecessor turns out to leave another state is folded again, until each entry equals the exit before
 it. That fixpoint is the sequential result: the first segment's entry is exact, so each round settles
 at least one more segment of every sequence, and since states forget their past at each commit, two
-or three rounds normally settle all of them. Only segment states (one row per segment) move between
+to four rounds normally settle all of them. Only segment states (one row per segment) move between
 rounds, checkpointed in the shared folder.
 """
 
@@ -33,35 +33,46 @@ def _links(rows: DataFrame, key: str) -> DataFrame:
     return settle(segs.withColumn("prev_seg", F.lag(SEG).over(Window.partitionBy(key).orderBy(SEG))))
 
 
-def settle_entries(links: DataFrame, key: str, state: list[str], blank: DataFrame,
+def settle_entries(links: DataFrame, key: str, carried: list[str], local: list[str], blank: DataFrame,
                    exits_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Entry state of every segment, ``(key, seg, first, *state)``.
+    """Entry state of every segment, ``(key, seg, known, *carried, *local)``.
 
-    ``exits_of(entries)`` folds the segments of ``entries`` and returns ``(key, seg, *state)``.
+    ``exits_of(entries)`` folds the segments of ``entries`` and returns their exit states; where an
+    entry is not ``known`` it starts from a guess. ``carried`` columns only change at a commit, which
+    shows in the first of them, so a new value is passed at once through all segments that did not
+    commit instead of one segment per round. ``local`` columns come from the segment before.
     """
     if links.where("prev_seg is not null").isEmpty():
         return blank
-    pack = F.struct(*state).alias("st")
-    follow = links.where("prev_seg is not null").select(key, SEG, "prev_seg")
-
-    def entries_from(exits):
-        before = exits.select(key, F.col(SEG).alias("prev_seg"), *state)
-        return follow.join(before, [key, "prev_seg"]).select(key, SEG, F.lit(False).alias("first"), *state)
-
-    exits = settle(exits_of(blank))
-    entries = changed = settle(entries_from(exits))
+    mark, state = carried[0], carried + local
+    w = Window.partitionBy(key).orderBy(SEG)
+
+    def run(entries):
+        used = entries.select(key, SEG, F.col(mark).alias("was"))
+        moved = F.col("was").isNull() | ~F.col(mark).eqNullSafe(F.col("was"))
+        return exits_of(entries).join(used, [key, SEG]).withColumn("moved", moved).drop("was")
+
+    def propose(exits):
+        held = F.last(F.when(F.col("moved"), F.struct(*carried)), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1))
+        near = [F.lag(c).over(w).alias(c) for c in local]
+        return (exits.select(key, SEG, F.row_number().over(w).alias("at"), held.alias("held"), *near).where("at > 1")
+                .select(key, SEG, F.lit(True).alias("known"), *[F.col(f"held.{c}").alias(c) for c in carried], *local))
+
+    exits = settle(run(blank))
+    entries = changed = settle(propose(exits))
     while not changed.isEmpty():
-        redone = exits_of(changed)
-        exits = settle(exits.join(changed.select(key, SEG), [key, SEG], "left_anti").unionByName(redone))
-        fresh = settle(entries_from(exits))
-        old = entries.select(key, SEG, pack)
-        changed = settle(fresh.join(old, [key, SEG]).where(~F.struct(*state).eqNullSafe(F.col("st"))).drop("st"))
+        exits = settle(exits.join(changed.select(key, SEG), [key, SEG], "left_anti").unionByName(run(changed)))
+        fresh = settle(propose(exits))
+        old = entries.select(key, SEG, F.struct(*state).alias("old"))
+        changed = settle(fresh.join(old, [key, SEG]).where(~F.struct(*state).eqNullSafe(F.col("old"))).drop("old"))
         entries = fresh
-    return blank.where("first").unionByName(entries)
+    return blank.where("known").unionByName(entries)
 
 
 def _blank(links: DataFrame, key: str, state: dict[str, str]) -> DataFrame:
-    return links.select(key, SEG, F.col("prev_seg").isNull().alias("first"),
+    """Entries before any folding: only first segments know theirs."""
+    return links.select(key, SEG, F.col("prev_seg").isNull().alias("known"),
                         *[F.lit(None).cast(t).alias(c) for c, t in state.items()])
 
 
@@ -69,31 +80,35 @@ def _blank(links: DataFrame, key: str, state: dict[str, str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class FrameFold:
-    """A fold over rows with packed ink; ``step(rows, state, first)`` gives decisions and the next state."""
+    """A fold over rows with packed ink; ``step(rows, state, known)`` gives decisions and the next state."""
 
     step: Callable
-    state: dict[str, str]
+    carried: dict[str, str]
+    local: dict[str, str]
     out: dict[str, str]
     cols: list[str] = field(default_factory=lambda: ["cols"])
 
+    @property
+    def state(self) -> dict[str, str]:
+        return self.carried | self.local
+
 
 def _ddl(fields: dict[str, str]) -> str:
     return ", ".join(f"`{c}` {t}" for c, t in fields.items())
 
 
-def _run(fold: FrameFold, rows: DataFrame, entries: DataFrame, want_exit: bool) -> DataFrame:
+def _run(fold: FrameFold, rows: DataFrame, entries: DataFrame, want_exit: bool, every: bool) -> DataFrame:
     key_fields = {"video_id": "bigint", SEG: "bigint"}
     fields = key_fields | fold.state if want_exit else {"video_id": "bigint", "frame_idx": "bigint"} | fold.out
-    names, step, state_names = list(fields), fold.step, list(fold.state)
+    names, step, state_names, last = list(fields), fold.step, list(fold.state), next(iter(fold.local))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in names})
         entry = right.iloc[0]
-        state = None if entry[state_names[0]] is None or pd.api.types.is_scalar(entry[state_names[0]]) and pd.isna(
-            entry[state_names[0]]) else {c: entry[c] for c in state_names}
+        state = None if entry[last] is None else {c: entry[c] for c in state_names}
         left = left.sort_values("frame_idx")
-        log, state = step(left, state, bool(entry["first"]))
+        log, state = step(left, state, bool(entry["known"]))
         video = left["video_id"].iat[0]
         if want_exit:
             state = state or dict.fromkeys(state_names)
@@ -101,41 +116,45 @@ def _run(fold: FrameFold, rows: DataFrame, entries: DataFrame, want_exit: bool)
         return pd.DataFrame([[video, *r] for r in log], columns=names)
 
     by = ["video_id", SEG]
-    wanted = rows.join(entries.select(*by), by, "left_semi")
-    return wanted.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(run, _ddl(fields))
+    wanted = rows if every else rows.join(entries.select(*by), by, "left_semi")
+    # both sides descend from the same rows, so the entry keys get names of their own
+    named = entries.select(F.col("video_id").alias("of_video"), F.col(SEG).alias("of_seg"), "known", *state_names)
+    return (wanted.groupBy(*by).cogroup(named.groupBy("of_video", "of_seg"))
+            .applyInPandas(run, _ddl(fields)))
 
 
 def fold_frames(packed: DataFrame, fold: FrameFold, segment: Column | None = None) -> DataFrame:
     """Decision log ``(video_id, frame_idx, …)`` of every video."""
     rows = packed.select("video_id", "frame_idx", *fold.cols,
                          (frame_segment() if segment is None else segment).cast("bigint").alias(SEG))
+    rows = settle(rows.repartition("video_id", SEG))     # one row per frame, read again in each round
     links = _links(rows, "video_id")
     blank = _blank(links, "video_id", fold.state)
-    if not links.where("prev_seg is not null").isEmpty():
-        rows = settle(rows.repartition("video_id", SEG))     # read again in each round
-    entries = settle_entries(links, "video_id", list(fold.state), blank,
-                             lambda e: _run(fold, rows, e, want_exit=True))
-    return _run(fold, rows, entries, want_exit=False)
+    entries = settle_entries(links, "video_id", list(fold.carried), list(fold.local), blank,
+                             lambda e: _run(fold, rows, e, want_exit=True, every=e is blank))
+    return _run(fold, rows, entries, want_exit=False, every=True)
 
 
-MASK_STATE = {"com": "bigint", "com_cols": "array<bigint>", "last_cols": "array<bigint>", "scrolled": "boolean"}
+COMMITTED = {"com": "bigint", "com_cols": "array<bigint>", "scrolled": "boolean"}
+LAST = {"last_cols": "array<bigint>"}
+MASK_STATE = COMMITTED | LAST
 DECISION = {"action": "string", "dx": "int", "peak": "double", "zero": "double", "strip_w": "int", "vetoed": "boolean"}
 
 
 def scroll_fold(packed: DataFrame, band: Band, segment: Column | None = None) -> DataFrame:
     """Continuous scrolling: append what a confirmed shift reveals."""
-    return fold_frames(packed, FrameFold(steps.scroll_step(band), MASK_STATE, DECISION), segment)
+    return fold_frames(packed, FrameFold(steps.scroll_step(band), COMMITTED, LAST, DECISION), segment)
 
 
 def page_fold(packed: DataFrame, band: Band, segment: Column | None = None) -> DataFrame:
     """Page flips: append a page that differs from the confirmed one and has come to rest."""
-    return fold_frames(packed, FrameFold(steps.page_step(band), MASK_STATE, DECISION), segment)
+    return fold_frames(packed, FrameFold(steps.page_step(band), COMMITTED, LAST, DECISION), segment)
 
 
 def measure_fold(frames: DataFrame, band: Band, strip_w: int, offset: int, segment: Column | None = None) -> DataFrame:
     """Legacy capture of settled screens up to the last bar; ``frames`` adds ``bar_x`` to packed ink."""
     fold = FrameFold(steps.measure_step(band, strip_w, offset),
-                     {"saved_cols": "array<bigint>", "prev_cols": "array<bigint>", "stable": "int"},
+                     {"saved_cols": "array<bigint>"}, {"prev_cols": "array<bigint>", "stable": "int"},
                      {"changed": "double", "moved": "double", "fired": "boolean", "captured": "boolean", "x0": "int", "x1": "int"},
                      ["cols", "bar_x"])
     return fold_frames(frames, fold, segment)
@@ -152,27 +171,26 @@ def fold_summary(log: DataFrame) -> DataFrame:
 
 # ---- folds over scalars, as one aggregate expression per segment
 
-def fold_scalars(rows: DataFrame, key: str, order: str, value: str, state: dict[str, str],
-                 start: Column, merge: Callable, log: str, sql_entry: Callable) -> DataFrame:
+def fold_scalars(rows: DataFrame, key: str, order: str, value: str, carried: dict[str, str], local: dict[str, str],
+                 start: Column, merge: Callable, log: str, resume: Callable, guess: Column | None = None) -> DataFrame:
     """Explode of the log that ``merge`` builds while folding each segment's values in order.
 
-    ``rows`` has a ``seg`` column. ``start`` is the accumulator of a first segment and
-    ``sql_entry(state columns)`` the accumulator for a carried state, both with the ``log`` array.
+    ``rows`` has a ``seg`` column. ``start`` is the accumulator of a first segment, ``resume(state
+    columns)`` the one for a carried state and ``guess`` the one where the state is still unknown (it
+    may use ``items``); all hold the ``log`` array.
     """
-    packed = (rows.groupBy(key, SEG)
-              .agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("items")))
-    links = _links(rows, key)
-    if not links.where("prev_seg is not null").isEmpty():
-        packed = settle(packed)
-    names = list(state)
+    packed = settle(rows.groupBy(key, SEG)
+                    .agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("items")))
+    links, state = _links(packed, key), carried | local
+    names, blank = list(state), _blank(links, key, state)
 
     def folded(entries):
-        known = F.col(names[0]).isNotNull()
-        init = F.when(known, sql_entry(*[F.col(c) for c in names])).otherwise(start)
+        init = (F.when(~F.col("known"), start if guess is None else guess)
+                .when(F.col(names[0]).isNotNull(), resume(*[F.col(c) for c in names])).otherwise(start))
         return (packed.join(entries, [key, SEG])
                 .select(key, SEG, F.aggregate("items", init, merge).alias("acc")))
 
-    entries = settle_entries(links, key, names, _blank(links, key, state),
+    entries = settle_entries(links, key, list(carried), list(local), blank,
                              lambda e: folded(e).select(key, SEG, *[F.col(f"acc.{c}") for c in names]))
     return folded(entries).select(key, F.inline(f"acc.{log}"))
 
@@ -204,6 +222,6 @@ def debounce(rows: DataFrame, key: str, order: str, value: str, change: float =
         return acc(F.when(fresh | fired, v).otherwise(a["saved"]), v, F.when(fired, 0).otherwise(run),
                    F.concat(a["log"], F.array(entry)))
 
-    return fold_scalars(rows, key, order, value, {"saved": "double", "prev": "double", "run": "int"},
+    return fold_scalars(rows, key, order, value, {"saved": "double"}, {"prev": "double", "run": "int"},
                         acc(nothing, nothing, F.lit(0), empty), merge, "log",
                         lambda s, p, r: acc(s, p, r, empty))

@@ -44,8 +44,14 @@ def page_layout(items: DataFrame, doc: str, order: str, img_w: str, img_h: str,
         row = F.struct(x["n"].alias("n"), h.alias("h"), (pen - h).alias("y"), slot.cast("int").alias("slot"), brk.alias("brk"))
         return acc(pen - (h + PAGE_GAP), slot + 1, F.concat(a["log"], F.array(row)))
 
-    placed = fold_scalars(rows, doc, "n", "h", {"pen": "double", "slot": "int"},
-                          acc(F.lit(top), F.lit(0), empty), merge, "log", lambda p, s: acc(p, s, empty))
+    # a guess that is exact where all images are equally high: step down from the top of the page
+    fits = F.expr(f"cast(1 + greatest(0, floor(({top}D - items[0].h - {PAGE_MARGIN}D) / (items[0].h + {PAGE_GAP}D))) as bigint)")
+    before = (F.col("items")[0]["n"] % fits).cast("int")
+    pen = F.aggregate(F.slice(F.sequence(F.lit(0), F.lit(64)), 1, before), F.lit(top),
+                      lambda p, _: p - (F.col("items")[0]["h"] + PAGE_GAP))
+    placed = fold_scalars(rows, doc, "n", "h", {"pen": "double"}, {"slot": "int"},
+                          acc(F.lit(top), F.lit(0), empty), merge, "log", lambda p, s: acc(p, s, empty),
+                          acc(pen, before, empty))
     paged = running_sums(placed, [doc], ["n"], F.expr(f"n div {NUMBERING_SPAN}"), {"breaks": F.col("brk").cast("int")})
     return paged.select(doc, "n", (F.col("breaks") + 1).alias("page_no"), "slot", F.lit(PAGE_MARGIN).alias("x"), "y",
                         F.lit(usable).alias("w"), "h")

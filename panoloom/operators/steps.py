@@ -66,7 +66,7 @@ class _Masks:
 def _walk(band: Band, decide):
     """Step over frames: skip the blank intro, seed with the first content, then ``decide``."""
 
-    def step(rows, state, first):
+    def step(rows, state, known):
         m, log = _Masks(band, state), []
         for idx, cols in zip(rows["frame_idx"].tolist(), rows["cols"]):
             cur = _bits(cols, band)
@@ -75,7 +75,7 @@ def _walk(band: Band, decide):
                     log.append((idx, "skip", None, None, None, 0, False))
                     continue
                 m.commit(idx, cur)
-                m.scrolled = not first        # a guessed entry is most likely past the first commit
+                m.scrolled = not known        # a guessed entry is most likely past the first commit
                 log.append((idx, "seed", None, None, None, band.width, False))
             else:
                 log.append((idx, *decide(m, idx, cur)))
@@ -131,7 +131,7 @@ def page_step(band: Band):
 def measure_step(band: Band, strip_w: int, offset: int):
     start, area = band.width - strip_w - offset, band.width * band.height
 
-    def step(rows, state, first):
+    def step(rows, state, known):
         log = []
         saved = prev = None
         run = 0
