@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["jobs_plan", "raster_plan", "match_plan", "fold_plan", "stitch_plan", "stream_plan"]
+MODULES = ["jobs_plan", "raster_plan", "match_plan", "fold_plan", "stitch_plan", "stream_plan", "score_plan"]
 
 
 def _merged(attr: str) -> dict:

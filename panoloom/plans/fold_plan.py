@@ -21,7 +21,7 @@ QUERIES, ORACLE, query = registry()
 ALL_PAIRS = """pairs as materialized (select a.video_id, b.frame_idx, a.frame_idx as prev_frame_idx
   from frames a join frames b on b.video_id = a.video_id and b.frame_idx > a.frame_idx)"""
 
-_SIMS = f"""nums as materialized (select f.video_id, f.frame_idx, count(i.x) as c from frames f
+SIMS = f"""nums as materialized (select f.video_id, f.frame_idx, count(i.x) as c from frames f
    left join ink i on i.video_id = f.video_id and i.frame_idx = f.frame_idx and i.x < 9 group by all),
  same as (select a.video_id, b.frame_idx, a.frame_idx as prev_frame_idx, count(*) as n11 from ink a join ink b
    on b.video_id = a.video_id and b.frame_idx > a.frame_idx and b.y = a.y and b.x = a.x where a.x < 9 group by all),
@@ -37,8 +37,8 @@ _SEED = """select video_id, min(frame_idx) as frame_idx, min(frame_idx) as com,
    null::int as dx, null::double as peak, null::double as zero, 64 as strip_w, false as vetoed from frames group by video_id"""
 
 # every frame of the camera tables has content, so the first one is the seed
-SCROLL_FOLD = f"""{INK}, {ALL_PAIRS}, {scores_sql('s', 'pairs', 0)}, {peak_sql('m', 's')}, {scores_sql('s2', 'pairs', 19)}, {peak_sql('m2', 's2')},
-{_SIMS}, {_NEXT},
+SCROLL_STEPS = f"""{ALL_PAIRS}, {scores_sql('s', 'pairs', 0)}, {peak_sql('m', 's')}, {scores_sql('s2', 'pairs', 19)}, {peak_sql('m2', 's2')},
+{SIMS}, {_NEXT},
 ev as materialized (select m.*, base and m.dx <= 36 and m2.peak >= 0.40::double and abs(m.dx - m2.dx) > 6 as vetoed, sims.sim as near
   from (select *, dx >= 4 and dx <= 55 and peak >= 0.40::double and peak - zero >= 0.15::double as base from m) m
   join m2 using (video_id, frame_idx, prev_frame_idx) left join sims using (video_id, frame_idx, prev_frame_idx)),
@@ -53,6 +53,8 @@ fold as ({_SEED} union all
    join ev e on e.video_id = f.video_id and e.frame_idx = n.nf and e.prev_frame_idx = f.com
    join ev l on l.video_id = f.video_id and l.frame_idx = n.nf and l.prev_frame_idx = f.frame_idx) d)"""
 
+SCROLL_FOLD = f"{INK}, {SCROLL_STEPS}"
+
 PAGE_STEPS = f"""fold as ({_SEED} union all
   select d.video_id, d.frame_idx, case when d.action in ('page', 'refresh') then d.frame_idx else d.com end,
     d.scrolled or d.action = 'page', d.action, 0, d.peak, d.zero, case d.action when 'page' then 64 else 0 end, false
@@ -62,7 +64,7 @@ PAGE_STEPS = f"""fold as ({_SEED} union all
    from fold f join nxt n on n.video_id = f.video_id and n.frame_idx = f.frame_idx
    join sims e on e.video_id = f.video_id and e.frame_idx = n.nf and e.prev_frame_idx = f.com
    join sims l on l.video_id = f.video_id and l.frame_idx = n.nf and l.prev_frame_idx = f.frame_idx) d)"""
-PAGE_FOLD = f"{INK}, {ALL_PAIRS}, {_SIMS}, {_NEXT}, {PAGE_STEPS}"
+PAGE_FOLD = f"{INK}, {ALL_PAIRS}, {SIMS}, {_NEXT}, {PAGE_STEPS}"
 
 LOG = "select video_id, frame_idx, action, dx, peak, zero, strip_w, vetoed from fold"
 

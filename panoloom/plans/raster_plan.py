@@ -304,14 +304,16 @@ def clahe(spark, sf):
     return ra.clahe(cam.pano(spark, sf))
 
 
+FLOORED = """floored as materialized (select video_id, y, x, case when least(255, v * 3) > 45 then least(255, v * 3) else 0 end as v from bh)"""
+
+
 def _paper(src):
     return f"""select p.video_id, p.y, p.x, case when k.x is null then 255 else 255 - p.v end as b,
   case when k.x is null then 255 else 255 - p.v end as g, case when k.x is null then 255 else 255 - p.v end as r
 from {src} p left join kept k on k.video_id = p.video_id and k.y = p.y and k.x = p.x"""
 
 
-@query(f"""with {PANO}, {_pano_pol(100)}, {CLAHE}, {_blackhat('eq', 'bh', 'video_id')},
-floored as materialized (select video_id, y, x, case when least(255, v * 3) > 45 then least(255, v * 3) else 0 end as v from bh),
+@query(f"""with {PANO}, {_pano_pol(100)}, {CLAHE}, {_blackhat('eq', 'bh', 'video_id')}, {FLOORED},
 {_despeckle('floored', 'kept')} {_paper('floored')}""")
 def clean_translucent(spark, sf):
     return ra.clean_translucent(cam.pano(spark, sf))

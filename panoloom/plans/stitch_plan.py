@@ -37,6 +37,12 @@ chunks as (select video_id, chunk_no, printf('frame_%04d.jpg', chunk_no) as name
   cast(64 - (x1 - chunk_no * 64) as int) as pad from spans where x1 - chunk_no * 64 >= 40)"""
 
 
+PADDED = """padded as (
+  select c.video_id, c.chunk_no, p.y, cast(p.x - x0 as int) as x, p.v from chunks c join {src} p on p.video_id = c.video_id and p.x >= x0 and p.x < x0 + w
+  union all select c.video_id, c.chunk_no, cast(y as int), cast(x as int), 255 from chunks c, unnest(range(16)) as t(y), unnest(range(64)) as q(x) where x >= w)
+select * from padded"""
+
+
 def decisions(spark, sf):
     """Decision log with each video in its own mode, stored because several operators read it."""
     mode = jobs.sheet_mode(F.expr("case when video_id % 2 = 1 then 'opaque' end"))
@@ -71,9 +77,7 @@ def stitch_chunks(spark, sf):
     return st.chunks(_strips(spark, sf), cam.W)
 
 
-@query(f"""with recursive {_MIXED}, {_STRIPS}, {_PIXELS}, {_STITCHED}, {_chunks_sql('stitched')}
-select c.video_id, c.chunk_no, p.y, cast(p.x - x0 as int) as x, p.v from chunks c join stitched p on p.video_id = c.video_id and p.x >= x0 and p.x < x0 + w
-union all select c.video_id, c.chunk_no, cast(y as int), cast(x as int), 255 from chunks c, unnest(range(16)) as t(y), unnest(range(64)) as q(x) where x >= w""")
+@query(f"with recursive {_MIXED}, {_STRIPS}, {_PIXELS}, {_STITCHED}, {_chunks_sql('stitched')}, {PADDED.format(src='stitched')}")
 def slice_padded(spark, sf):
     return st.chunk_pixels(st.panorama(_strips(spark, sf), cam.px(spark, sf)), cam.W)
 
