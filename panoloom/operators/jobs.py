@@ -41,11 +41,15 @@ def job_status(error: Column, n_chunks: Column) -> Column:
 
 
 def job_summary(manifest: DataFrame, results: DataFrame, key: str = "url") -> DataFrame:
-    """Items per status; manifest items without a result row count as empty."""
-    joined = manifest.join(results, key, "left")
+    """Items per status; manifest items without a result row count as empty.
+
+    Repeated URLs are counted before the join, so one URL with many copies is one row of it.
+    """
+    asked = manifest.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    joined = asked.join(results, key, "left")
     return (joined.withColumn("status", job_status(F.col("error"), F.col("n_chunks")))
-            .groupBy("status").agg(F.count(F.lit(1)).alias("n_items"),
-                                   F.coalesce(F.sum("n_chunks"), F.lit(0)).cast("bigint").alias("n_chunks")))
+            .groupBy("status").agg(F.sum("copies").alias("n_items"),
+                                   F.coalesce(F.sum(F.col("copies") * F.col("n_chunks")), F.lit(0)).cast("bigint").alias("n_chunks")))
 
 
 def sheet_mode(mode: Column) -> Column:

@@ -213,36 +213,36 @@ def drop_hlines(ink: DataFrame, width: int, keys=FRAME) -> DataFrame:
             .where(F.col("__len") < line_length(width)).drop("__run", "__len"))
 
 
-def _spread_labels(df, keys, extra):
-    """One neighbour exchange: each mark offers its label to its eight neighbours and itself."""
+def _offers(df, keys):
+    """Each mark offers its label to its eight neighbours and itself: rows ``(keys…, y, x, me, v, label)``."""
     around = F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"),
                                 F.lit(dy == 0 and dx == 0).alias("me")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     alone = F.array(F.struct(F.col("y"), F.col("x"), F.lit(True).alias("me")))
     sent = df.select(*keys, "v", "label", F.explode(F.when(F.col("v") > 0, around).otherwise(alone)).alias("q"))
-    return (sent.groupBy(*keys, F.col("q.y").alias("y"), F.col("q.x").alias("x"))
-            .agg(F.max(F.when(F.col("q.me"), F.col("v"))).alias("v"), F.min("label").alias("label"), *extra)
-            .where("v is not null")
-            .withColumn("label", F.when(F.col("v") > 0, F.col("label"))))
+    return sent.select(*keys, "q.y", "q.x", "q.me", "v", "label").groupBy(*keys, "y", "x")
 
 
 def despeckle(df: DataFrame, min_area: int = NOISE_MIN_AREA, keys=FRAME) -> DataFrame:
     """Set marks (``v > 0``) in 8-connected groups of fewer than ``min_area`` pixels to 0.
 
-    Labels travel ``min_area - 2`` steps, enough to settle every group that small. A group counts as
-    small only if no neighbour carries another label, so pieces of larger groups are never removed.
+    Smallest labels travel ``min_area - 2`` steps, enough to settle every group that small. A label's
+    pixels count as a group only if all their neighbours carry that label too, so pieces of larger
+    groups are never removed.
     """
     if min_area <= 1:
         return df
+    own = F.max(F.when(F.col("me"), F.col("v"))).alias("v")
     df = df.withColumn("label", F.when(F.col("v") > 0, F.col("y") * F.lit(1 << 40) + F.col("x")))
     for _ in range(min_area - 2):
-        df = _spread_labels(df, keys, [])
-    df = _spread_labels(df, keys, [F.max("label").alias("hi")])
-    # a small closed group has settled: smallest and greatest label seen agree on all of its pixels
+        df = _offers(df, keys).agg(own, F.min("label").alias("label")).where("v is not null")
+        df = df.withColumn("label", F.when(F.col("v") > 0, F.col("label")))
+    df = (_offers(df, keys).agg(own, F.max(F.when(F.col("me"), F.col("label"))).alias("label"),
+                                F.min("label").alias("lo"), F.max("label").alias("hi")).where("v is not null"))
     group = Window.partitionBy(*keys, "label")
     df = (df.withColumn("__n", F.count(F.lit(1)).over(group))
-          .withColumn("__open", F.max((F.col("hi") != F.col("label")).cast("int")).over(group)))
+          .withColumn("__open", F.max((F.col("lo") != F.col("hi")).cast("int")).over(group)))
     small = (F.col("v") > 0) & (F.col("__n") < min_area) & (F.col("__open") == 0)
-    return df.withColumn("v", F.when(small, 0).otherwise(F.col("v"))).drop("label", "hi", "__n", "__open")
+    return df.withColumn("v", F.when(small, 0).otherwise(F.col("v"))).drop("label", "lo", "hi", "__n", "__open")
 
 
 def readable_gate(df: DataFrame, level: int, uniform: float, blank: float, keys=FRAME) -> DataFrame:

@@ -255,12 +255,13 @@ _AROUND = "around as (select dy, dx from (select unnest(range(-1, 2)) as dy), (s
 def _despeckle(src, dst):
     """Six rounds of label spreading over marks ``src`` (video_id, y, x, v > 0)."""
     sql = [_AROUND, f"sl0 as materialized (select video_id, y, x, y * 1099511627776::bigint + x as lab from {src} where v > 0)"]
-    for i in range(1, 8):
-        hi = ", max(b.lab) as hi" if i == 7 else ""
-        sql.append(f"""sl{i} as materialized (select a.video_id, a.y, a.x, min(b.lab) as lab{hi} from sl{i - 1} a, around o, sl{i - 1} b
-          where b.video_id = a.video_id and b.y = a.y + o.dy and b.x = a.x + o.dx group by all)""")
+    near = """{a} a, around o, {a} b
+          where b.video_id = a.video_id and b.y = a.y + o.dy and b.x = a.x + o.dx group by all)"""
+    for i in range(1, 7):
+        sql.append(f"sl{i} as materialized (select a.video_id, a.y, a.x, min(b.lab) as lab from {near.format(a=f'sl{i - 1}')}")
+    sql.append(f"sl7 as materialized (select a.video_id, a.y, a.x, a.lab, min(b.lab) as lo, max(b.lab) as hi from {near.format(a='sl6')}")
     sql.append(f"""{dst}_g as (select video_id, y, x, count(*) over (partition by video_id, lab) as n,
-       max(case when hi <> lab then 1 else 0 end) over (partition by video_id, lab) as open from sl7),
+       max(case when hi <> lo then 1 else 0 end) over (partition by video_id, lab) as open from sl7),
     {dst} as (select video_id, y, x from {dst}_g where n >= 8 or open = 1)""")
     return ", ".join(sql)
 

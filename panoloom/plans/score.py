@@ -7,27 +7,16 @@ clean-up; chunks by (video, chunk). Pixels of frames that add nothing are never
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panoloom.operators import fold, layout, planes, raster, stitch
 from panoloom.operators.jobs import sheet_mode
 from panoloom.operators.match import Band
-from panoloom.session import settle
+from panoloom.session import settle, stored
 from panoloom.sources import frames as fr
 
 
-@dataclass(frozen=True)
-class Stitched:
-    log: DataFrame          # one decision per frame
-    strips: DataFrame       # what each commit added
-    chunks: DataFrame       # chunk table
-    pixels: DataFrame       # cleaned, padded chunk pixels
-    layout: DataFrame       # page placement of the chunks
-
-
 def decide(frames: DataFrame, band: Band, mode: Column) -> DataFrame:
     """Decision log of normalised frames of one size, each video in its own mode; stored once."""
     f = frames.withColumn("mode", sheet_mode(mode))
@@ -36,14 +25,25 @@ def decide(frames: DataFrame, band: Band, mode: Column) -> DataFrame:
     return settle(scroll.unionByName(pages))
 
 
-def stitch_videos(frames: DataFrame, band: Band, mode: Column) -> Stitched:
-    log = decide(frames, band, mode)
-    strips = settle(stitch.canvas_offsets(log, band.width))
+def strips_of(log: DataFrame, band: Band) -> DataFrame:
+    """What each commit added to its canvas; small, and read by everything that follows."""
+    return settle(stitch.canvas_offsets(log, band.width))
+
+
+def pages_of(strips: DataFrame, band: Band) -> DataFrame:
+    """Page placement of the chunks; needs no pixels."""
+    sized = (stitch.chunks(strips, band.width)
+             .withColumn("img_w", F.lit(band.width)).withColumn("img_h", F.lit(band.height)))
+    return layout.page_layout(sized, "video_id", "chunk_no", "img_w", "img_h")
+
+
+def pixels_of(frames: DataFrame, strips: DataFrame, band: Band, mode: Column) -> DataFrame:
+    """Cleaned chunk pixels; only frames that contribute a strip are unfolded.
+
+    The panorama is written once: statistics, histograms and the clean-up itself each read it.
+    """
     used = frames.join(strips.select("video_id", "frame_idx"), ["video_id", "frame_idx"], "left_semi")
-    pano = stitch.panorama(strips, raster.luma(fr.unfold(used))).withColumn("mode", sheet_mode(mode))
+    pano = stored(stitch.panorama(strips, raster.luma(fr.unfold(used))).withColumn("mode", sheet_mode(mode)), "pano")
     clean = (raster.clean_translucent(pano.where("mode = 'TRANSLUCENT'").drop("mode"))
              .unionByName(raster.clean_opaque(pano.where("mode = 'OPAQUE'").drop("mode"))))
-    pixels = stitch.chunk_pixels(clean.withColumnRenamed("b", "v").drop("g", "r"), band.width)
-    chunks = stitch.chunks(strips, band.width)
-    sized = chunks.withColumn("img_w", F.lit(band.width)).withColumn("img_h", F.lit(band.height))
-    return Stitched(log, strips, chunks, pixels, layout.page_layout(sized, "video_id", "chunk_no", "img_w", "img_h"))
+    return stitch.chunk_pixels(clean.withColumnRenamed("b", "v").drop("g", "r"), band.width)

@@ -7,11 +7,11 @@ import re
 from pyspark.sql import functions as F
 
 from panoloom.plans import fold_plan as fp
+from panoloom.plans import score as pp
 from panoloom.plans import raster_plan as rp
 from panoloom.plans import stitch_plan as sp
 from panoloom.plans.common import BGR, registry
 from panoloom.plans.match_plan import BAND
-from panoloom.plans.pipeline import stitch_videos
 from panoloom.sources import camera as cam
 
 QUERIES, ORACLE, query = registry()
@@ -39,22 +39,25 @@ _CLEAN = f"""ptpano as (select * from stitched where video_id % 2 = 0), popano a
 cleaned as materialized (select video_id, y, x, b as v from ptpaper union all select video_id, y, x, b from popaper)"""
 
 
-def _run(spark, sf):
-    return stitch_videos(cam.planes(spark, sf), BAND, F.expr("case when video_id % 2 = 1 then 'opaque' end"))
+MODE = "case when video_id % 2 = 1 then 'opaque' end"
+
+
+def _log(spark, sf):
+    return pp.decide(cam.planes(spark, sf), BAND, F.expr(MODE))
 
 
 @query(f"with recursive {_LOG} select video_id, frame_idx, action, dx, peak, zero, strip_w, vetoed from log")
 def score_log(spark, sf):
-    return _run(spark, sf).log
+    return _log(spark, sf)
 
 
 @query(f"with recursive {_STITCHED}, {_CLEAN}, {sp._chunks_sql('cleaned')}, {sp.PADDED.format(src='cleaned')}")
 def score_chunks(spark, sf):
-    return _run(spark, sf).pixels
+    return pp.pixels_of(cam.planes(spark, sf), pp.strips_of(_log(spark, sf), BAND), BAND, F.expr(MODE))
 
 
 @query(f"""with recursive {_STITCHED}, {sp._chunks_sql('stitched')},
 items as (select video_id, row_number() over (partition by video_id order by chunk_no) - 1 as n, 64 as img_w, 16 as img_h from chunks),
 {sp._layout_sql('video_id', 'items')} select * from pages_out""")
 def score_pages(spark, sf):
-    return _run(spark, sf).layout
+    return pp.pages_of(pp.strips_of(_log(spark, sf), BAND), BAND)

@@ -9,12 +9,12 @@ from panoloom.plans.common import BGR, registry
 from panoloom.plans.fold_plan import LOG, SCROLL_FOLD, packed
 from panoloom.plans.jobs_plan import ORACLE as BATCH
 from panoloom.plans.match_plan import BAND
-from panoloom.session import settle
+from panoloom.session import fresh_path, settle
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
 from panoloom.streaming import events as ev
 from panoloom.streaming import scroll
-from panoloom.streaming.runner import drain, fresh_path
+from panoloom.streaming.runner import drain
 
 QUERIES, ORACLE, query = registry()
 ARRIVALS = 3        # deliveries the frames are split into

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from panoloom.session import shared_dir
-
-
-def fresh_path(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/panoloom/{name}-{uuid.uuid4().hex}"
+from panoloom.session import fresh_path
 
 
 def drain(stream: DataFrame, name: str, *partitions: str) -> DataFrame:

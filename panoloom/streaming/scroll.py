@@ -45,7 +45,7 @@ class _Fold(StatefulProcessor):
             done, state = self._step(fresh, state, True)
             log += done
             kept = state or dict.fromkeys(MASK_STATE)
-            self._state.update((int(fresh["frame_idx"].iloc[-1]), *kept.values()))
+            self._state.update((int(fresh["frame_idx"].iloc[-1]), *[kept[c] for c in MASK_STATE]))
         yield pd.DataFrame([[key[0], *r] for r in log], columns=list(OUT))
 
     def close(self) -> None:
