@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from panoloom.operators import steps
 from panoloom.operators.ink import frame_segment
 from panoloom.operators.match import Band
-from panoloom.session import settle
+from panoloom.session import settle, stored
 from panoloom.settings import CHANGE_RATIO, STABLE_COUNT, STABLE_RATIO
 
 SEG = "seg"
@@ -127,7 +127,7 @@ def fold_frames(packed: DataFrame, fold: FrameFold, segment: Column | None = Non
     """Decision log ``(video_id, frame_idx, …)`` of every video."""
     rows = packed.select("video_id", "frame_idx", *fold.cols,
                          (frame_segment() if segment is None else segment).cast("bigint").alias(SEG))
-    rows = settle(rows.repartition("video_id", SEG))     # one row per frame, read again in each round
+    rows = stored(rows, "ink")      # one row per frame, read again in each round
     links = _links(rows, "video_id")
     blank = _blank(links, "video_id", fold.state)
     entries = settle_entries(links, "video_id", list(fold.carried), list(fold.local), blank,

@@ -8,9 +8,9 @@ from panoloom.operators import fold as fo
 from panoloom.operators import ink as ik
 from panoloom.operators import match as ma
 from panoloom.operators import sampling
-from panoloom.plans.common import FRAMES, INK, registry
+from panoloom.plans.common import INK, STRIP, registry
 from panoloom.plans.jobs_plan import SIGNAL
-from panoloom.plans.match_plan import BAND, phi_sql, peak_sql, scores_sql
+from panoloom.plans.match_plan import BAND, PAIRS, peak_sql, phi_sql, scores_sql
 from panoloom.settings import FLUSH_MIN, SEGMENT_ROWS
 from panoloom.sources import camera as cam
 from panoloom.sources import signal as sg
@@ -108,17 +108,47 @@ def barred(spark, sf):
     return ma.bar_line(ik.pack(cam.barred_marks(spark, sf), cam.H), BAND)
 
 
-@query()
+# steadily moving frames with bars; every pair's difference and overlap, then the recursion
+MEASURE_FOLD = STRIP + f""", dims as (select video_id, max(sx) + 1 as width from strip group by video_id),
+ks as (select video_id, width, unnest(range(0, (width // 28 + 1) * 3)) as frame_idx from dims),
+frames as (select video_id, frame_idx, 28 * (frame_idx // 3) as off from ks where 28 * (frame_idx // 3) + 64 <= width),
+ink as materialized (select f.video_id, f.frame_idx, s.y, cast(s.sx - f.off as int) as x from frames f join strip s
+   on s.video_id = f.video_id and s.sx >= f.off and s.sx < f.off + 64 where s.e < -0.1::double or s.sx % 28 = 6),
+{ALL_PAIRS}, {scores_sql('s', 'pairs', 40, tpl='prev_frame_idx', ref='frame_idx', tw=16)}, {peak_sql('m', 's')},
+size as (select video_id, frame_idx, count(*) as c from ink group by all),
+same as (select a.video_id, b.frame_idx, a.frame_idx as prev_frame_idx, count(*) as n11 from ink a join ink b
+   on b.video_id = a.video_id and b.frame_idx > a.frame_idx and b.y = a.y and b.x = a.x group by all),
+ev as materialized (select m.video_id, m.frame_idx, m.prev_frame_idx, case when peak > 0.7::double then dx + 64 else -1 end as overlap,
+   (t.c + r.c - 2 * coalesce(n11, 0)) / 1024 as diff from m
+   join size t on t.video_id = m.video_id and t.frame_idx = m.frame_idx join size r on r.video_id = m.video_id and r.frame_idx = m.prev_frame_idx
+   left join same s on s.video_id = m.video_id and s.frame_idx = m.frame_idx and s.prev_frame_idx = m.prev_frame_idx),
+tall as (select video_id, frame_idx, x, count(*) as n from ink group by all),
+bars as (select video_id, frame_idx, x from tall where n / 16 > 0.7::double
+   qualify row_number() over (partition by video_id, frame_idx order by n desc, x desc) = 1), {_NEXT},
+fold as (select video_id, min(frame_idx) as frame_idx, min(frame_idx) as saved, 0 as run, null::double as changed, null::double as moved,
+   false as fired, false as captured, null::int as x0, null::int as x1 from frames group by video_id
+ union all select video_id, nf, case when captured then nf else saved end, case when captured then 0 else run end, changed, moved, run >= 2, captured,
+   case when captured then overlap end, case when captured then bar end from (
+   select *, run >= 2 and bar <> -1 and overlap <> -1 and bar - overlap > 64 * 0.4::double as captured from (
+    select f.video_id, n.nf, f.saved, c.diff as changed, p.diff as moved, cast(c.overlap as int) as overlap, coalesce(b.x, -1) as bar,
+      case when c.diff >= 0.02::double and p.diff < 0.015::double then f.run + 1 else 0 end as run
+    from fold f join nxt n on n.video_id = f.video_id and n.frame_idx = f.frame_idx
+    join ev c on c.video_id = f.video_id and c.frame_idx = n.nf and c.prev_frame_idx = f.saved
+    join ev p on p.video_id = f.video_id and p.frame_idx = n.nf and p.prev_frame_idx = f.frame_idx
+    left join bars b on b.video_id = f.video_id and b.frame_idx = n.nf)))"""
+
+
+@query(f"with recursive {MEASURE_FOLD} select video_id, frame_idx, changed, moved, fired, captured, x0, x1 from fold")
 def measure_fold(spark, sf):
     return fo.measure_fold(barred(spark, sf), BAND, 16, 8)
 
 
-@query(f"""with {FRAMES}, last as (select * from frames qualify row_number() over (partition by video_id order by frame_idx desc) = 1),
-r as (select *, cast(off % 64 as int) as overlap from last)
-select video_id, frame_idx, case when overlap > 12 then overlap else 0 end as x0, case when overlap > 12 then 64 - overlap else 64 end as width
-from r where case when overlap > 12 then 64 - overlap else 64 end > 50""")
+@query(f"""with {INK}, {PAIRS}, {scores_sql('s', 'pairs', 40, tpl='prev_frame_idx', ref='frame_idx', tw=16)}, {peak_sql('m', 's')},
+r as (select video_id, frame_idx, case when peak > 0.7::double then cast(dx + 64 as int) else 0 end as x0 from m
+   qualify row_number() over (partition by video_id order by frame_idx desc) = 1)
+select video_id, frame_idx, x0, 64 - x0 as width from r where 64 - x0 > 50""")
 def flush_tail(spark, sf):
-    # an overlap is known only where it exceeds 12 columns
-    last = sampling.last_rows(cam.frames(spark, sf).select("video_id", "frame_idx", "off"), "video_id", "frame_idx")
-    found = F.expr("cast(case when off % 64 > 12 then off % 64 else -1 end as int)")
-    return sampling.flush_tail(last, found, cam.W, FLUSH_MIN).select("video_id", "frame_idx", "x0", "width")
+    # what the last frame shows beyond its overlap with the frame before
+    found = ma.overlap_x(ma.consecutive(packed(spark, sf)), BAND, 16, 8).select("video_id", "frame_idx", "overlap_x")
+    last = sampling.last_rows(found, "video_id", "frame_idx")
+    return sampling.flush_tail(last, F.col("overlap_x"), cam.W, FLUSH_MIN).select("video_id", "frame_idx", "x0", "width")
