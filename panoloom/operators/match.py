@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panoloom.functions.bits import scores, unpack_columns
 from panoloom.operators.ink import FRAME, frame_segment, words
 from panoloom.operators.segments import previous
 from panoloom.settings import (BAND_MIN, BAND_RATIO, BAR_FRACTION, BAR_RANGE, BAR_TARGET, DX_AGREE_TOL,
@@ -20,6 +22,9 @@ from panoloom.settings import (BAND_MIN, BAND_RATIO, BAR_FRACTION, BAR_RANGE, BA
                                SAME_PAGE_SCORE, SECOND_BAND_RATIO, STABLE_PAGE_SCORE)
 
 
+WIDE = 1 << 14      # shifts times words per shift
+
+
 @dataclass(frozen=True)
 class Band:
     """Frame size and the template bands used to compare frames of that size."""
@@ -56,10 +61,28 @@ def _sum(arr: str) -> str:
     return f"aggregate({arr}, 0L, (s, c) -> s + c)"
 
 
+def _array_scores(band: Band, tw: int, inset: int):
+    """The scores as an Arrow function, for frames whose shifts times columns make the expression long."""
+    width, height, k = band.width, band.height, band.words
+
+    @F.pandas_udf("array<double>")
+    def run(tpl: pd.Series, ref: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else scores(
+            unpack_columns(r, width, k), unpack_columns(t, width, k)[inset:inset + tw], height)
+            for t, r in zip(tpl, ref)], dtype=object)
+
+    return run
+
+
 def offset_scores(df: DataFrame, band: Band, inset: int = 0, tpl: str = "cols", ref: str = "prev_cols",
-                  tw: int | None = None, out: str = "scores") -> DataFrame:
-    """Scores of the ``tpl`` band at ``inset`` against every position of ``ref``, left to right."""
+                  tw: int | None = None, out: str = "scores", arrow: bool | None = None) -> DataFrame:
+    """Scores of the ``tpl`` band at ``inset`` against every position of ``ref``, left to right.
+
+    Small frames use a column expression, wide ones (or ``arrow=True``) an Arrow function; both give the same.
+    """
     tw, k = tw or band.tw, band.words
+    if arrow or (arrow is None and (band.width - tw + 1) * tw * k > WIDE):
+        return df.withColumn(out, _array_scores(band, tw, inset)(tpl, ref))
     n = tw * band.height
     t = f"slice({tpl}, {inset * k + 1}, {tw * k})"
     r = f"slice({ref}, loc * {k} + 1, {tw * k})"

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panoloom.operators.segments import key_totals, running_sums
-from panoloom.settings import CONTENT_MIN, LEGACY_FPS, PREVIEW_SECONDS, PROGRESS_SECONDS, SCAN_FPS
+from panoloom.settings import (CONTENT_MIN, LEGACY_FPS, LEGACY_PROGRESS_SECONDS, PREVIEW_SECONDS,
+                               PROGRESS_SECONDS, SCAN_FPS)
 
 
 def duration_us(length_us: Column, n_frames: Column, fps: Column, unknown: int) -> Column:
@@ -75,10 +76,12 @@ def frame_at(df: DataFrame, key: str, row_id: str, positions) -> DataFrame:
     return df.groupBy(key).agg(F.array(*picks).alias("__p")).select(key, F.inline("__p"))
 
 
-def intro_skip(df: DataFrame, key: str, order: str, ratio: Column, least: float = CONTENT_MIN) -> DataFrame:
+def intro_skip(df: DataFrame, key: str, order: str, ratio: Column, seg: Column,
+               least: float = CONTENT_MIN) -> DataFrame:
     """Drop rows before the first one with enough content; later blank rows stay."""
-    first = (df.where(ratio >= least).groupBy(key).agg(F.min(order).alias("__first")))
-    return df.join(first, key).where(F.col(order) >= F.col("__first")).drop("__first")
+    first = F.when(ratio >= least, F.col(order))
+    return (key_totals(df, [key], seg, {"__first": (F.min, first)})
+            .where(F.col(order) >= F.col("__first")).drop("__first"))
 
 
 def progress(numbered: DataFrame, keys: list[str], order: list, seg: Column, sums: dict[str, Column],
@@ -91,6 +94,13 @@ def progress(numbered: DataFrame, keys: list[str], order: list, seg: Column, sum
             .withColumn("pct", F.greatest(pct, F.lit(0.0))))
 
 
+def progress_by_frames(numbered: DataFrame, fps: Column, seconds: int = LEGACY_PROGRESS_SECONDS) -> DataFrame:
+    """Legacy progress: every ``seconds`` of frames, with the share of frames done."""
+    every = F.greatest(F.lit(1), (fps * seconds).cast("bigint"))
+    return (numbered.where((F.col("n") > 0) & (F.col("n") % every == 0))
+            .withColumn("pct", F.col("n") / F.col("total") * 100))
+
+
 def target_stop(df: DataFrame, keys: list[str], order: list, seg: Column, done: Column,
                 per_block: int, target: Column) -> DataFrame:
     """Rows up to the one that reaches the target; a target of 0 keeps all."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from panoloom.functions.bits import ones, scores, unpack_columns
 from panoloom.operators.match import Band
 from panoloom.settings import (CAPTURE_FRACTION, CHANGE_RATIO, CONTENT_MIN, DX_AGREE_TOL, MARGIN, MIN_SCORE,
                                MIN_SHIFT, NEWPAGE_MAX_SCORE, OVERLAP_SCORE, SAME_PAGE_SCORE,
@@ -11,26 +12,7 @@ from panoloom.settings import (CAPTURE_FRACTION, CHANGE_RATIO, CONTENT_MIN, DX_A
 
 
 def _bits(cols, band: Band) -> np.ndarray:
-    return np.asarray(cols, dtype=np.int64).view(np.uint64).reshape(band.width, band.words)
-
-
-def _ones(bits: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-
-
-def scores(ref: np.ndarray, tpl: np.ndarray, height: int) -> np.ndarray:
-    """Phi of the template columns at every position of ``ref``."""
-    tw = len(tpl)
-    n, nt = tw * height, int(_ones(tpl).sum())
-    places = len(ref) - tw + 1
-    if nt * (n - nt) == 0:
-        return np.ones(places)
-    cum = np.concatenate([[0], np.cumsum(_ones(ref))])
-    np_ = cum[tw:] - cum[:-tw]
-    n11 = sum(np.bitwise_count(ref[i:i + places] & tpl[i]).sum(axis=1, dtype=np.int64) for i in range(tw))
-    vp = np_ * (n - np_)
-    root = np.sqrt(float(nt * (n - nt)) * vp.astype(float))
-    return np.divide((n * n11 - nt * np_).astype(float), root, out=np.zeros(places), where=vp != 0)
+    return unpack_columns(cols, band.width, band.words)
 
 
 def _offset(ref, cur, band, inset):
@@ -71,7 +53,7 @@ def _walk(band: Band, decide):
         for idx, cols in zip(rows["frame_idx"].tolist(), rows["cols"]):
             cur = _bits(cols, band)
             if m.com is None:
-                if _ones(cur).sum() / (band.width * band.height) < CONTENT_MIN:
+                if ones(cur).sum() / (band.width * band.height) < CONTENT_MIN:
                     log.append((idx, "skip", None, None, None, 0, False))
                     continue
                 m.commit(idx, cur)
@@ -143,7 +125,7 @@ def measure_step(band: Band, strip_w: int, offset: int):
                 saved = prev = cur
                 log.append((idx, None, None, False, False, None, None))
                 continue
-            changed, moved = (float(_ones(m ^ cur).sum() / area) for m in (saved, prev))
+            changed, moved = (float(ones(m ^ cur).sum() / area) for m in (saved, prev))
             run = run + 1 if changed >= CHANGE_RATIO and moved < STABLE_RATIO else 0
             fired, x0 = run >= STABLE_COUNT, -1
             if fired and bar != -1 and start > 0:

@@ -177,6 +177,13 @@ def progress(spark, sf):
     return p.select("user_id", "event_id", "n", *sums, F.floor("value").alias("last_dx"), "pct")
 
 
+@query(f"""with {SIGNAL} select user_id, event_id, n, n / total * 100::double as pct from signal
+where n > 0 and n % cast(floor((0.5::double + user_id % 3) * 10) as bigint) = 0""")
+def progress_legacy(spark, sf):
+    fps = F.expr("0.5D + user_id % 3")
+    return sampling.progress_by_frames(sg.signal(spark, sf), fps).select("user_id", "event_id", "n", "pct")
+
+
 @query(f"""with {SIGNAL}, b as (select *, coalesce(sum(case when event_type = 'purchase' then 1 else 0 end) over
     (partition by user_id order by n rows between unbounded preceding and 1 preceding), 0) as before,
     (user_id % 5) * 8 as target from signal)

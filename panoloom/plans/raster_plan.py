@@ -207,7 +207,7 @@ def content_ratio(spark, sf):
 @query(f"""with {INK}, {_RATIO}, f as (select video_id, min(frame_idx) as first from ratios where ratio >= 0.004::double group by 1)
 select video_id, frame_idx, n_ink, ratio from ratios join f using (video_id) where frame_idx >= first""")
 def intro_skip(spark, sf):
-    return sampling.intro_skip(content_ratio(spark, sf), "video_id", "frame_idx", F.col("ratio"))
+    return sampling.intro_skip(content_ratio(spark, sf), "video_id", "frame_idx", F.col("ratio"), ik.frame_segment())
 
 
 FEATURE_TRANSLUCENT = (f"{_polarity('gray', 'pol', 100)}, {_blackhat('pol', 'bh')}, {_otsu('bh', 'th')}, "
@@ -255,8 +255,8 @@ _AROUND = "around as (select dy, dx from (select unnest(range(-1, 2)) as dy), (s
 def _despeckle(src, dst):
     """Six rounds of label spreading over marks ``src`` (video_id, y, x, v > 0)."""
     sql = [_AROUND, f"sl0 as materialized (select video_id, y, x, y * 1099511627776::bigint + x as lab from {src} where v > 0)"]
-    near = """{a} a, around o, {a} b
-          where b.video_id = a.video_id and b.y = a.y + o.dy and b.x = a.x + o.dx group by all)"""
+    near = """(select l.*, y + dy as ny, x + dx as nx from {a} l, around) a join {a} b
+          on b.video_id = a.video_id and b.y = a.ny and b.x = a.nx group by all)"""
     for i in range(1, 7):
         sql.append(f"sl{i} as materialized (select a.video_id, a.y, a.x, min(b.lab) as lab from {near.format(a=f'sl{i - 1}')}")
     sql.append(f"sl7 as materialized (select a.video_id, a.y, a.x, a.lab, min(b.lab) as lo, max(b.lab) as hi from {near.format(a='sl6')}")

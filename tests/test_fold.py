@@ -206,3 +206,9 @@ def test_tall_frames_use_several_words(spark):
     assert [r.dx for r in fo.scroll_fold(packed_, band).orderBy("frame_idx").collect()] == [None, 9]
     back = {(r.frame_idx, r.y, r.x) for r in ik.unpack(packed_, 100).collect()}
     assert back == {(f, y, x) for _, f, y, x, on in data if on}
+
+
+def test_both_score_paths_agree(spark, frames):
+    pairs = ma.consecutive(frames)
+    both = ma.offset_scores(ma.offset_scores(pairs, BAND, 19, out="a", arrow=False), BAND, 19, out="b", arrow=True)
+    assert both.where("not (a <=> b)").count() == 0 and both.count() > 100

@@ -93,3 +93,23 @@ def test_late_frames_are_logged_and_ignored(spark, small, order):
     cols = ["video_id", "frame_idx", "action", "dx", "strip_w"]
     assert sorted(map(str, log.where("action <> 'late'").select(cols).collect())) == sorted(
         map(str, scroll_fold(on_time, BAND).select(cols).collect()))
+
+
+def test_sinks_round_trip(spark, small):
+    from panoloom.plans import queries
+    from panoloom.sources import sinks
+    chunks, pages = fresh_path(spark, "chunks"), fresh_path(spark, "pages")
+    sinks.write_chunks(queries()["slice_padded"](spark, small), chunks)
+    back = spark.read.parquet(chunks)
+    assert back.where("size(v) <> 64 * 16 or name <> format_string('frame_%04d.jpg', chunk_no)").count() == 0
+    assert back.count() == queries()["stitch_chunks"](spark, small).count()
+    layout = queries()["stitch_layout"](spark, small)
+    sinks.write_layout(layout, pages, "video_id")
+    assert spark.read.parquet(pages).count() == back.count()
+
+
+def test_blank_intro(spark, small):
+    from panoloom.plans import queries
+    rows = queries()["intro_skip"](spark, small).collect()
+    assert min(r.frame_idx for r in rows) == 3                       # the first three are blank
+    assert any(r.n_ink == 0 for r in rows)                           # a later blank frame stays

@@ -2,8 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from panoloom.operators import planes as pl
 from panoloom.operators import raster as ra
 from panoloom.operators import ink as ik
