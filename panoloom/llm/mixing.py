@@ -102,11 +102,11 @@ with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select *, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source nulls last) - 1) % 3)::int + 1] as w,
              2.0::double * source_size as cap from s),
-l as (select *, row_number() over o as at,
+l as (select *, row_number() over o as pos,
              (1.5::double * sum(source_size) over () - coalesce(sum(cap) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as level
       from w window o as (order by cap / w, source nulls last),
                     b as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
-f as (select min_by(level, at) as level from l where cap / w >= level),
+f as (select min_by(level, pos) as level from l where cap / w >= level),
 t as (select source, source_size, least(cap, coalesce(f.level * w, cap)) as target from l cross join f),
 r as (select d.*, t.source_size, t.target, cast(floor(t.target + 0.5) as bigint) as budget,
              coalesce(sum(size) over (partition by d.source order by key, doc_id nulls first, size
