@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["mixing"]
+MODULES = ["mixing", "secrets", "toxicity"]
 
 
 def _merged(attr: str) -> dict:
