@@ -1,7 +1,7 @@
 """Toxicity as ordinal regression with cumulative links.
 
 ``P(grade <= k) = sigmoid(theta_k - w . x)``: one weight vector ``w`` for all thresholds ``theta_1 < theta_2 < ...``. The
-features ``x`` are words, present or absent, of the whole text. The output is the expected grade.
+features ``x`` are words and word beginnings, present or absent, of the whole text. The output is the expected grade.
 
 Training takes a bounded sample: the ``sample`` labelled documents that come first in hash order of their number. The
 bound is a parameter, which makes the sample's ids small enough to broadcast and its few selected features small enough
@@ -33,6 +33,7 @@ SAMPLE = 20_000         # labelled documents used for training, at most
 VOCABULARY = 2_048      # selected words, at most
 CLEAR = 4.0             # standard errors by which a word must go with toxicity to count for grading
 TOP_GRADE = 3
+BEGINNINGS = (4, 6)     # bytes of a word's beginning that are features of their own
 OUTPUTS = "severity double, p_toxic double, grade int, toxic boolean"
 
 
@@ -43,11 +44,19 @@ class Model(NamedTuple):
     grades: np.ndarray      # grade values, one more than thresholds
 
 
+def features(w: wd.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of all words and word beginnings."""
+    parts = [(w.doc, w.hash), *(wd.beginnings(w, n) for n in BEGINNINGS)]
+    return np.concatenate([d for d, _ in parts]), np.concatenate([h for _, h in parts]).view(np.int64)
+
+
 def _words_per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[np.ndarray] = []
         for w in wd.words(batch.column("__text"), wd.LETTERS):
-            edge, h = w.per_doc(), w.hash.view(np.int64)
+            doc, h = features(w)
+            order = np.argsort(doc, kind="stable")
+            edge, h = np.searchsorted(doc[order], np.arange(len(w.offsets))), h[order]
             out += [np.unique(h[edge[i]:edge[i + 1]]) for i in range(len(w.offsets) - 1)]
         lengths = np.array([len(x) for x in out], np.int64)
         lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]),
@@ -151,10 +160,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             s = np.zeros(batch.num_rows)
             for w in wd.words(batch.column(text_col), wd.LETTERS):
                 if len(model.hashes) and len(w.hash):
-                    h = w.hash.view(np.int64)
+                    doc, h = features(w)
                     at_ = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
                     hit = np.flatnonzero(model.hashes[at_] == h)
-                    pair = np.unique(w.doc[hit] * len(model.hashes) + at_[hit])         # present or absent
+                    pair = np.unique(doc[hit] * len(model.hashes) + at_[hit])         # present or absent
                     np.add.at(s, w.first + pair // len(model.hashes), model.weights[pair % len(model.hashes)])
             upto = sigmoid(model.thresholds[None, :] - s[:, None])
             p = np.diff(upto, prepend=0.0, append=1.0, axis=1)

@@ -33,6 +33,7 @@ class Words(NamedTuple):
     start: np.ndarray         # byte range of each word
     end: np.ndarray
     hash: np.ndarray          # uint64
+    sums: np.ndarray          # prefix hash of ``data``
 
     def per_doc(self) -> np.ndarray:
         """Index of each document's first word; one more entry than documents."""
@@ -113,7 +114,15 @@ def words(column, table: np.ndarray = VISIBLE, lower: bool = True) -> Iterator[W
         s, inverse = prefix_hash(data), powers(len(data))[1]
         h = scramble((s[end] - s[start]) * inverse[start]) if len(start) else np.zeros(0, np.uint64)
         doc = np.searchsorted(offsets, start, side="right") - 1
-        yield Words(first, data, offsets, doc, start, end, h)
+        yield Words(first, data, offsets, doc, start, end, h, s)
+
+
+def beginnings(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the first ``n`` bytes of every longer word; hashes differ from those of whole words."""
+    longer = np.flatnonzero(w.end - w.start > n)
+    start = w.start[longer]
+    h = (w.sums[start + n] - w.sums[start]) * powers(len(w.data))[1][start] if len(start) else np.zeros(0, np.uint64)
+    return w.doc[longer], scramble(h ^ np.uint64(0x5851F42D4C957F2D + n))
 
 
 def shingles(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
