@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["mixing", "secrets", "toxicity"]
+MODULES = ["mixing", "secrets", "toxicity", "near"]
 
 
 def _merged(attr: str) -> dict:
