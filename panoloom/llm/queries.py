@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["mixing", "secrets", "toxicity", "near"]
+MODULES = ["mixing", "secrets", "toxicity", "near", "decontam"]
 
 
 def _merged(attr: str) -> dict:
