@@ -21,6 +21,7 @@ BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 #: Bytes that belong to words: everything above the space, or only letters, digits and bytes of longer characters.
 VISIBLE = np.arange(256) > 0x20
+ASCII_LOWER = np.array([ord(chr(b).lower()) if b < 0x80 else b for b in range(256)], np.uint8)
 LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 
 
@@ -96,11 +97,13 @@ def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray,
         i = j
 
 
-def words(column, table: np.ndarray = VISIBLE, lower: bool = True) -> Iterator[Words]:
-    """Words of a text column, slice by slice."""
-    if lower:
+def words(column, table: np.ndarray = VISIBLE, lower: bool | str = True) -> Iterator[Words]:
+    """Words of a text column, slice by slice. ``lower`` may be ``"ascii"``, which keeps every byte's place."""
+    if lower is True:
         column = pc.utf8_lower(plain(column))
     for first, data, offsets in slices(column):
+        if lower == "ascii":
+            data = ASCII_LOWER[data]
         inside = table[data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
