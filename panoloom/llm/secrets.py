@@ -121,19 +121,19 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
 
 
 def redact(docs: DataFrame, mask: str = "<secret>", **options) -> DataFrame:
-    """``docs`` with every span of ``find_secrets`` replaced by ``mask``; all rows and columns stay.
+    """``docs`` with every span of ``find_secrets`` replaced by ``mask`` and ``n_chars``, if there, counted again; all rows and columns stay.
 
     Only documents that have spans leave the scan for the join; the others pass unchanged.
     """
     found = find_secrets(docs, **options).where("spans <> ''").select(*c.KEY, F.col("found").alias("__f")).dropDuplicates(list(c.KEY))
     rows = docs.select("*", *c.row_key()).join(found, list(c.KEY), "left")
     kept = "concat(acc.text, substring(text, acc.at + 1, x.start - acc.at))"
-    masked = F.expr(f"""aggregate(coalesce(__f, array()), named_struct('text', '', 'at', 0),
+    masked = F.expr(f"""aggregate(__f, named_struct('text', '', 'at', 0),
         (acc, x) -> if(x.end <= acc.at, acc, named_struct('text', if(x.start < acc.at, acc.text, concat({kept}, '{mask}')), 'at', x.end)),
         acc -> concat(acc.text, substring(text, acc.at + 1)))""")
-    cols = [F.when(F.col("__f").isNull(), F.col("text")).otherwise(masked).alias("text") if f == "text"
-            else F.col(f) for f in docs.columns]
-    return rows.select(*cols)
+    rows = rows.withColumn("__masked", masked)
+    new = {"text": F.col("__masked")} | ({"n_chars": F.length("__masked").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[F.when(F.col("__f").isNull(), F.col(f)).otherwise(new[f]).alias(f) if f in new else F.col(f) for f in docs.columns])
 
 
 def op3_secrets(spark, sf_dir):

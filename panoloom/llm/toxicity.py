@@ -70,7 +70,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
     ids = (labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
            .groupBy(F.col("doc_id").alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
            .orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))     # at most `sample` rows of 12 bytes
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))     # at most `sample` rows of 12 bytes
     rows = rows.select(F.xxhash64(c.text_of()).alias("__tid"), "label", c.text_of().alias("__text"))
     return rows.mapInArrow(_words_per_doc, "__tid long, label int, words array<long>").dropDuplicates(["__tid"]).drop("__tid")
 
@@ -147,10 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     return Model(hashes[used], weights[used], thresholds, grades if len(grades) else np.zeros(1, np.int64))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, at: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, at: float = 0.5,
+          prefix: str = "") -> DataFrame:
     """``keep`` (all) columns of every document with ``severity`` (the expected grade), ``p_toxic`` (the chance
-    of any grade above the lowest), ``grade`` (the likeliest) and ``toxic`` (``p_toxic`` of ``at`` or more)."""
-    names = [f.split()[0] for f in OUTPUTS.split(", ")]
+    of any grade above the lowest), ``grade`` (the likeliest) and ``toxic`` (``p_toxic`` of ``at`` or more), all with ``prefix``."""
+    names = [prefix + f.split()[0] for f in OUTPUTS.split(", ")]
     keep = [x for x in (docs.columns if keep is None else keep) if x not in names]
     kept = ", ".join(f"`{x}` {docs.schema[x].dataType.simpleString()}" for x in keep)
     rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
@@ -173,7 +174,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 [batch.column(x) for x in keep] + [pa.array(severity), pa.array(p_toxic), pa.array(grade), pa.array(p_toxic >= at)],
                 keep + names)
 
-    return rows.mapInArrow(run, f"{kept}, {OUTPUTS}")
+    return rows.mapInArrow(run, f"{kept}, " + ", ".join(prefix + f for f in OUTPUTS.split(", ")))
 
 
 def op7_toxicity(spark, sf_dir):
