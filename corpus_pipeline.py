@@ -20,7 +20,7 @@ from panoloom.llm import common, decontam, mixing, near, secrets, toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic; the model is trained on the labelled documents among the input."""
     model = toxicity.train(docs, common.read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    return toxicity.score(docs, model, prefix="__").where(~F.col("__toxic")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
