@@ -26,9 +26,10 @@ pano as (select video_id, y, sx as x, cast(greatest(0, least(255, floor((e + 0.5
 
 FRAMES = STRIP + """,
 dims as (select video_id, max(sx) + 1 as width from strip group by video_id),
-ks as (select video_id, width, unnest(range(0, (width // 112 + 1) * 12)) as k from dims),
-offs as (select *, 112 * (k // 12) + case when k % 12 < 3 then 0 when k % 12 < 6 then 12 when k % 12 < 9 then 42 else 112 end as off from ks),
-frames as (select video_id, k as frame_idx, off, k * 50000 as ts_us, 20::double as fps from offs where off + 64 <= width),
+ks as (select video_id, width, unnest(range(0, (width // 104 + 1) * 12)) as k from dims),
+raws as (select *, 104 * (k // 12) + case when k % 12 < 3 then 0 when k % 12 < 6 then 12 when k % 12 < 9 then 42 else 104 end as raw from ks),
+offs as (select *, least(raw, width - 64) as off, coalesce(lag(raw) over (partition by video_id order by k), 0) as before from raws),
+frames as (select video_id, k as frame_idx, off, k * 50000 as ts_us, 20::double as fps from offs where before + 64 <= width),
 cells as (select f.video_id, f.frame_idx, s.y, cast(s.sx - f.off as int) as x, s.e
           from frames f join strip s on s.video_id = f.video_id and s.sx >= f.off and s.sx < f.off + 64)"""
 

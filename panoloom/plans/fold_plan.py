@@ -11,7 +11,7 @@ from panoloom.operators import sampling
 from panoloom.plans.common import INK, STRIP, registry
 from panoloom.plans.jobs_plan import SIGNAL
 from panoloom.plans.match_plan import BAND, PAIRS, peak_sql, phi_sql, scores_sql
-from panoloom.settings import FLUSH_MIN, SEGMENT_ROWS
+from panoloom.settings import FLUSH_MIN
 from panoloom.sources import camera as cam
 from panoloom.sources import signal as sg
 
@@ -66,6 +66,9 @@ PAGE_STEPS = f"""fold as ({_SEED} union all
    join sims l on l.video_id = f.video_id and l.frame_idx = n.nf and l.prev_frame_idx = f.frame_idx) d)"""
 PAGE_FOLD = f"{INK}, {ALL_PAIRS}, {SIMS}, {_NEXT}, {PAGE_STEPS}"
 
+# segments of eight rows, so that these small tables need several rounds of the folds' fixpoint
+SHORT = "frame_idx div 8"
+
 LOG = "select video_id, frame_idx, action, dx, peak, zero, strip_w, vetoed from fold"
 
 
@@ -75,12 +78,12 @@ def packed(spark, sf):
 
 @query(f"with recursive {SCROLL_FOLD} {LOG}")
 def scroll_fold(spark, sf):
-    return fo.scroll_fold(packed(spark, sf), BAND)
+    return fo.scroll_fold(packed(spark, sf), BAND, F.expr(SHORT))
 
 
 @query(f"with recursive {PAGE_FOLD} {LOG}")
 def page_fold(spark, sf):
-    return fo.page_fold(packed(spark, sf), BAND)
+    return fo.page_fold(packed(spark, sf), BAND, F.expr(SHORT))
 
 
 @query(f"""with recursive {SCROLL_FOLD} select video_id, count(*) filter (action = 'scroll') as scrolls, count(*) filter (action = 'page') as pages,
@@ -100,7 +103,7 @@ fold as (select user_id, n, value as saved, value as prev, 0 as run, false as fi
 select user_id, n, run, fired from fold""")
 def debounce(spark, sf):
     # thresholds for the wide scatter of the signal: away from the saved value by 30 %, within 60 % of the one before
-    s = sg.signal(spark, sf, "value").withColumn("seg", F.expr(f"n div {SEGMENT_ROWS // 4}"))
+    s = sg.signal(spark, sf, "value").withColumn("seg", F.expr("n div 8"))
     return fo.debounce(s, "user_id", "n", "value", 0.3, 0.6)
 
 
@@ -111,7 +114,7 @@ def barred(spark, sf):
 # steadily moving frames with bars; every pair's difference and overlap, then the recursion
 MEASURE_FOLD = STRIP + f""", dims as (select video_id, max(sx) + 1 as width from strip group by video_id),
 ks as (select video_id, width, unnest(range(0, (width // 28 + 1) * 3)) as frame_idx from dims),
-frames as (select video_id, frame_idx, 28 * (frame_idx // 3) as off from ks where 28 * (frame_idx // 3) + 64 <= width),
+frames as (select video_id, frame_idx, least(28 * (frame_idx // 3), width - 64) as off from ks where greatest(0, 28 * ((frame_idx - 1) // 3)) + 64 <= width),
 ink as materialized (select f.video_id, f.frame_idx, s.y, cast(s.sx - f.off as int) as x from frames f join strip s
    on s.video_id = f.video_id and s.sx >= f.off and s.sx < f.off + 64 where s.e < -0.1::double or s.sx % 28 = 6),
 {ALL_PAIRS}, {scores_sql('s', 'pairs', 40, tpl='prev_frame_idx', ref='frame_idx', tw=16)}, {peak_sql('m', 's')},
@@ -140,7 +143,7 @@ fold as (select video_id, min(frame_idx) as frame_idx, min(frame_idx) as saved,
 
 @query(f"with recursive {MEASURE_FOLD} select video_id, frame_idx, changed, moved, fired, captured, x0, x1 from fold")
 def measure_fold(spark, sf):
-    return fo.measure_fold(barred(spark, sf), BAND, 16, 8)
+    return fo.measure_fold(barred(spark, sf), BAND, 16, 8, F.expr(SHORT))
 
 
 @query(f"""with {INK}, {PAIRS}, {scores_sql('s', 'pairs', 40, tpl='prev_frame_idx', ref='frame_idx', tw=16)}, {peak_sql('m', 's')},

@@ -85,25 +85,26 @@ def consensus(spark, sf):
     return _consensus(pairs(spark, sf))
 
 
-# Two halves shifted by different amounts: at every block of 112 columns one frame shows columns 0..63 and the
-# next shows 10..23 followed by 40..., so the two bands report 10 and 26 and the second one vetoes.
+# Two halves shifted by different amounts: of every 90 columns (the last block ends with the strip) one frame shows columns
+# 0..63 and the next shows 10..23 followed by 40..., so the two bands report 10 and 26 and the second one vetoes.
 SPLICE = STRIP + """, dims as (select video_id, max(sx) + 1 as width from strip group by 1),
-base as (select video_id, unnest(range(0, (width - 90) // 112 + 1)) as b from dims where width >= 90),
-splice as (select video_id, b * 2 as frame_idx, sx - b * 112 as fx, y, e from base join strip using (video_id) where sx - b * 112 between 0 and 63
-  union all select video_id, b * 2 + 1, sx - b * 112 - 10, y, e from base join strip using (video_id) where sx - b * 112 between 10 and 23
-  union all select video_id, b * 2 + 1, sx - b * 112 - 26, y, e from base join strip using (video_id) where sx - b * 112 between 40 and 89),
+base as (select video_id, b, least(b * 90, width - 90) as s0 from (select video_id, width, unnest(range(0, (width + 89) // 90)) as b from dims where width >= 90)),
+splice as (select video_id, b * 2 as frame_idx, sx - s0 as fx, y, e from base join strip using (video_id) where sx - s0 between 0 and 63
+  union all select video_id, b * 2 + 1, sx - s0 - 10, y, e from base join strip using (video_id) where sx - s0 between 10 and 23
+  union all select video_id, b * 2 + 1, sx - s0 - 26, y, e from base join strip using (video_id) where sx - s0 between 40 and 89),
 ink as materialized (select video_id, frame_idx, y, cast(fx as int) as x from splice where e < -0.1::double),
 pairs as materialized (select video_id, b * 2 + 1 as frame_idx, b * 2 as prev_frame_idx from base)"""
 
 
 @query(f"with {SPLICE}, {BOTH}, {CONSENSUS}")
 def consensus_splice(spark, sf):
-    s = cam.strip(spark, sf).withColumn("b", F.expr("sx div 112")).withColumn("c", F.expr("sx % 112"))
+    s = cam.strip(spark, sf).where("width >= 90").withColumn("b", F.explode(F.expr(
+        "array_distinct(array(sx div 90, (width - 1) div 90))"))).withColumn("c", F.expr("sx - least(b * 90, width - 90)")).where("c between 0 and 89")
     views = ("filter(array(named_struct('f', b * 2, 'x', c, 'ok', c < 64), named_struct('f', b * 2 + 1, 'x', c - 10, 'ok', c between 10 and 23), "
              "named_struct('f', b * 2 + 1, 'x', c - 26, 'ok', c between 40 and 89)), q -> q.ok)")
     marks = s.select("video_id", "y", "e", F.inline(F.expr(views))).selectExpr(
         "video_id", "f as frame_idx", "y", "cast(x as int) as x", "e < -0.1D as on")
-    packed = ik.pack(marks, cam.H).where(F.size("cols") == cam.W)      # blocks cut short by the end of the strip drop out
+    packed = ik.pack(marks, cam.H)
     p = ma.consecutive(packed).where("frame_idx % 2 = 1 and prev_frame_idx = frame_idx - 1")
     return _consensus(p)
 

@@ -150,10 +150,11 @@ def drop_hlines(spark, sf):
     return ra.drop_hlines(lined, cam.W)
 
 
-@query(f"""with {PX}, b as (select {FRAME}, y, x, case when v > 200 then 255 else 0 end as v from px),
+@query(f"""with {PX}, b as (select {FRAME}, y, x, case when v > 100 then 255 else 0 end as v from px),
 {_rank('b', 'e', 'min', 3)}, {_rank('e', 'o', 'max', 3)} select {FRAME}, y, x from o where v > 0""")
 def legacy_mask(spark, sf):
-    return ra.legacy_mask(cam.px(spark, sf))
+    # a level that leaves blocks of 3 by 3 on noise
+    return ra.legacy_mask(cam.px(spark, sf), 100)
 
 
 @query(f"with {PX}, {_slide('px', 'a', 'min', 'x', 1, 0)}, {_slide('a', 'b', 'min', 'y', 1, 0)} select * from b")

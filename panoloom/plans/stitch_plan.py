@@ -113,7 +113,7 @@ pages_out as (select {doc}, n, cast(page_no as bigint) as page_no, slot, 20.0::d
 def page_layout(spark, sf):
     items = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
         "o_custkey", "o_orderkey", "600 as img_w", "cast(50 + o_orderkey % 400 as int) as img_h")
-    return la.page_layout(items, "o_custkey", "o_orderkey", "img_w", "img_h")
+    return la.page_layout(items, "o_custkey", "o_orderkey", "img_w", "img_h", segment_rows=8)
 
 
 @query(f"""with recursive {_MIXED}, {_STRIPS}, {_PIXELS}, {_STITCHED}, {_chunks_sql('stitched')},

@@ -29,12 +29,20 @@ class Schedule:
     advance: int
     within: str             # offset of frame {k} inside its period
 
-    def off(self, k: str) -> str:
+    def raw(self, k: str) -> str:
         return f"({self.advance} * ({k} div {self.period}) + {self.within.format(k=k)})"
 
+    def off(self, k: str) -> str:
+        """Offset of frame ``k`` of a video of ``n_vec`` vectors; the last frame ends with the raster."""
+        return f"least({self.raw(k)}, n_vec * 4 - {W})"
+
+    def kept(self, k: str) -> str:
+        """Frames up to the first one that the end of the raster holds back."""
+        return f"(if({k} = 0, 0, {self.raw(f'({k} - 1)')}) + {W} <= n_vec * 4)"
+
 
-# hold, +12, hold, +30, hold, +70 (wider than the view), repeat
-JUMPY = Schedule(12, 112, "case when {k} % 12 < 3 then 0 when {k} % 12 < 6 then 12 when {k} % 12 < 9 then 42 else 112 end")
+# hold, +12, hold, +30, hold, +62 (2 columns of overlap, less than a band), repeat; every column is seen
+JUMPY = Schedule(12, 104, "case when {k} % 12 < 3 then 0 when {k} % 12 < 6 then 12 when {k} % 12 < 9 then 42 else 104 end")
 # +28 after every three frames
 STEADY = Schedule(3, 28, "0")
 
@@ -49,10 +57,10 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strip(spark, sf) -> DataFrame:
-    """(video_id, sx, y, e): the long raster."""
+    """(video_id, width, sx, y, e): the long raster."""
     return (vectors(spark, sf)
-            .select("video_id", "vpos", F.posexplode("embedding").alias("i", "e"))
-            .selectExpr("video_id", "vpos * 4 + i % 4 as sx", "cast(i div 4 as int) as y",
+            .select("video_id", "n_vec", "vpos", F.posexplode("embedding").alias("i", "e"))
+            .selectExpr("video_id", "n_vec * 4 as width", "vpos * 4 + i % 4 as sx", "cast(i div 4 as int) as y",
                         "cast(e as double) as e"))
 
 
@@ -63,8 +71,8 @@ def frames(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
             .where(f"vpos * 4 % {plan.advance} = 0")
             .select("video_id", "n_vec", F.explode(F.expr(
                 f"sequence({first}, {first} + {plan.period - 1})")).alias("frame_idx"))
+            .where(plan.kept("frame_idx"))
             .withColumn("off", F.expr(plan.off("frame_idx")))
-            .where(f"off + {W} <= n_vec * 4")
             .selectExpr("video_id", "frame_idx", "off", "frame_idx * 50000 as ts_us",
                         "cast(20 as double) as fps"))
 
@@ -73,18 +81,18 @@ def frame_vectors(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
     """Vectors copied to every frame that sees them, co-located by frame before pixels are unfolded."""
     off = plan.off("k")
     seen = (f"filter(sequence(greatest(0, (vpos * 4 - {W + plan.advance}) div {plan.advance}) * {plan.period}, "
-            f"(vpos * 4 + 3) div {plan.advance} * {plan.period} + {plan.period - 1}), "
-            f"k -> {off} <= vpos * 4 + 3 and {off} + {W} > vpos * 4 and {off} + {W} <= n_vec * 4)")
+            f"(vpos * 4 + 3 + {W}) div {plan.advance} * {plan.period} + {plan.period - 1}), "
+            f"k -> {off} <= vpos * 4 + 3 and {off} + {W} > vpos * 4 and {plan.kept('k')})")
     return spread(vectors(spark, sf).select(
-        "video_id", "vpos", "embedding", F.explode(F.expr(seen)).alias("frame_idx")), *FRAME)
+        "video_id", "vpos", "n_vec", "embedding", F.explode(F.expr(seen)).alias("frame_idx")), *FRAME)
 
 
 def cells(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
-    """(video_id, frame_idx, y, x, e): every pixel of every frame, partitioned by frame."""
+    """(video_id, frame_idx, off, y, x, e): every pixel of every frame, partitioned by frame."""
     off = plan.off("frame_idx")
     return (frame_vectors(spark, sf, plan)
-            .select(*FRAME, F.expr(f"vpos * 4 - {off}").alias("x0"), F.posexplode("embedding").alias("i", "e"))
-            .selectExpr(*FRAME, "cast(i div 4 as int) as y", "cast(x0 + i % 4 as int) as x",
+            .select(*FRAME, F.expr(off).alias("off"), F.expr(f"vpos * 4 - {off}").alias("x0"), F.posexplode("embedding").alias("i", "e"))
+            .selectExpr(*FRAME, "off", "cast(i div 4 as int) as y", "cast(x0 + i % 4 as int) as x",
                         "cast(e as double) as e")
             .where(f"x >= 0 and x < {W}"))
 
@@ -97,9 +105,8 @@ def marks(spark, sf) -> DataFrame:
 
 def barred_marks(spark, sf) -> DataFrame:
     """Steadily moving frames with a full-height bar every 28 columns of the raster and no cursor."""
-    off = STEADY.off("frame_idx")
     return cells(spark, sf, STEADY).selectExpr(
-        *FRAME, "y", "x", f"e < -0.1D or (x + {off}) % 28 = 6 as on")
+        *FRAME, "y", "x", "e < -0.1D or (x + off) % 28 = 6 as on")
 
 
 def ink(spark, sf) -> DataFrame:
@@ -131,7 +138,7 @@ def planes(spark, sf, plan: Schedule = JUMPY) -> DataFrame:
     """
     off = plan.off("frame_idx")
     rows = (frame_vectors(spark, sf, plan).groupBy(*FRAME)
-            .agg(F.sort_array(F.collect_list(F.struct("vpos", "embedding"))).alias("vs"))
+            .agg(F.first("n_vec").alias("n_vec"), F.sort_array(F.collect_list(F.struct("vpos", "embedding"))).alias("vs"))
             .select(*FRAME, F.expr(f"cast({off} - vs[0].vpos * 4 as int)").alias("x0"), F.col("vs.embedding").alias("es")))
     e = (f"cast(es[cast((x0 + i % {W}) div 4 as int)][cast(i div {W} * 4 + (x0 + i % {W}) % 4 as int)] as double)")
     gray = F.expr(f"transform(sequence(0, {W * H - 1}), i -> case when i % {W} = (5 * frame_idx) % {W} then 20 "
