@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panoloom.operators import raster as ra
 from panoloom.plans.common import BGR, registry
-from panoloom.plans.fold_plan import LOG, SCROLL_FOLD, packed
+from panoloom.plans.fold_plan import LOG, PAGE_FOLD, SCROLL_FOLD, packed
 from panoloom.plans.jobs_plan import ORACLE as BATCH
 from panoloom.plans.match_plan import BAND
 from panoloom.session import fresh_path, settle
@@ -18,30 +18,41 @@ from panoloom.streaming.runner import drain
 
 QUERIES, ORACLE, query = registry()
 ARRIVALS = 3        # deliveries the frames are split into
+START_MS = 1_700_000_000_000     # when the streamed videos begin
 
 
-def deliver(frames, path, arrivals=ARRIVALS):
-    """Write frames as successive deliveries, each holding one stretch of every video."""
+def deliver(frames, path, order=None, arrivals=ARRIVALS):
+    """Write frames as successive deliveries, each holding one stretch of every video, in the given order."""
     last = frames.agg(F.max("frame_idx")).first()[0]
     part = F.expr(f"frame_idx * {arrivals} div {last + 1}")
-    for i in range(arrivals):
+    for i in order or range(arrivals):
         frames.where(part == i).repartition("video_id").write.mode("append").parquet(path)
 
 
-@query(f"with recursive {SCROLL_FOLD} {LOG}")
-def scroll_fold_stream(spark, sf):
-    frames = settle(packed(spark, sf))
+def _streamed(spark, sf, opaque, order, files):
+    frames = settle(packed(spark, sf).withColumn("ts", F.timestamp_millis(F.lit(START_MS) + F.col("frame_idx") * 50)))
     path = fresh_path(spark, "arrivals")
-    deliver(frames, path)
+    deliver(frames, path, order)
     before = spark.conf.get(scroll.PROVIDER)
     scroll.use_rocksdb(spark)
     try:
-        source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 4).parquet(path)
-        return drain(scroll.fold_stream(source, BAND), "scroll")
+        source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", files).parquet(path)
+        return drain(scroll.fold_stream(source, BAND, opaque), "fold")
     finally:
         spark.conf.set(scroll.PROVIDER, before)
 
 
+@query(f"with recursive {SCROLL_FOLD} {LOG}")
+def scroll_fold_stream(spark, sf):
+    # deliveries out of order
+    return _streamed(spark, sf, False, (1, 0, 2), 4)
+
+
+@query(f"with recursive {PAGE_FOLD} {LOG}")
+def page_fold_stream(spark, sf):
+    return _streamed(spark, sf, True, (2, 1, 0), 1000)
+
+
 def _events(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)

@@ -1,4 +1,9 @@
-"""The scroll fold as a stateful stream keyed by video."""
+"""The frame folds as stateful streams keyed by video.
+
+A frame is folded as soon as every frame before it has been; frames that run ahead wait in the state. Where frames are
+missing, those waiting go on once the watermark has passed them. So the log depends neither on how files are split into micro-batches
+nor on their order, as long as nothing is later than the watermark's delay.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panoloom.operators.fold import DECISION, MASK_STATE
@@ -15,54 +21,94 @@ from panoloom.operators.steps import page_step, scroll_step
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = {"video_id": "bigint", "frame_idx": "bigint"} | DECISION
+LATE = ("late", None, None, None, 0, False)
 
 
 class _Fold(StatefulProcessor):
-    """Frames of a micro-batch are put in order; frames not beyond the last one seen are late.
+    """State per video: the next frame to fold with the fold's state, and the frames that wait for it.
 
-    Late frames are logged with action ``late`` and change nothing.
+    Rows come in parts of bounded size and are handled part by part. A frame before the next one is a repeat or came after the
+    watermark had passed it; it is logged with action ``late`` and changes nothing.
     """
 
-    def __init__(self, step, ttl_ms: int | None):
-        self._step, self._ttl = step, ttl_ms
+    def __init__(self, step):
+        self._step = step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ddl = ", ".join(f"{c} {t}" for c, t in ({"seen": "bigint"} | MASK_STATE).items())
-        self._state = handle.getValueState("fold", ddl, self._ttl)
+        ddl = ", ".join(f"{c} {t}" for c, t in ({"next": "bigint"} | MASK_STATE).items())
+        self._handle = handle
+        self._state = handle.getValueState("fold", ddl)
+        self._waiting = handle.getMapState("waiting", "frame_idx bigint", "at bigint, cols array<bigint>")
+
+    def _load(self):
+        if not self._state.exists():
+            return 0, None
+        nxt, *held = self._state.get()
+        return nxt, None if held[0] is None else dict(zip(MASK_STATE, held))
+
+    def _save(self, nxt, state) -> None:
+        kept = state or dict.fromkeys(MASK_STATE)
+        self._state.update((nxt, *[kept[c] for c in MASK_STATE]))
+
+    def _take(self, idx: int):
+        _, cols = self._waiting.getValue((idx,))
+        self._waiting.removeKey((idx,))
+        return idx, cols
+
+    def _folded(self, frames, state):
+        rows = pd.DataFrame(frames, columns=["frame_idx", "cols"])
+        return self._step(rows, state, True)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("frame_idx")
-        seen, state = -1, None
-        if self._state.exists():
-            seen, *held = self._state.get()
-            if held[0] is not None:
-                state = dict(zip(MASK_STATE, held))
-        doubled = batch["frame_idx"].duplicated()
-        late = (batch["frame_idx"] <= seen) | doubled
-        fresh = batch[~late]
-        log = [(i, "late", None, None, None, 0, False) for i in batch["frame_idx"][late].tolist()]
-        if len(fresh):
-            done, state = self._step(fresh, state, True)
-            log += done
-            kept = state or dict.fromkeys(MASK_STATE)
-            self._state.update((int(fresh["frame_idx"].iloc[-1]), *[kept[c] for c in MASK_STATE]))
-        yield pd.DataFrame([[key[0], *r] for r in log], columns=list(OUT))
+        nxt, state = self._load()
+        for part in rows:
+            ready, log, ahead = [], [], None
+            for idx, cols, at in sorted(zip(part["frame_idx"].tolist(), part["cols"], part["at"].tolist()), key=lambda r: r[0]):
+                if idx < nxt or (idx > nxt and self._waiting.containsKey((idx,))):
+                    log.append((idx, *LATE))
+                elif idx == nxt:
+                    ready.append((idx, cols))
+                    nxt += 1
+                    while self._waiting.containsKey((nxt,)):
+                        ready.append(self._take(nxt))
+                        nxt += 1
+                else:
+                    self._waiting.updateValue((idx,), (at, [int(x) for x in cols]))
+                    ahead = max(at, ahead or at)
+            if ready:
+                done, state = self._folded(ready, state)
+                log += done
+            if ahead is not None:
+                self._handle.registerTimer(ahead + 1)
+            if log:
+                yield pd.DataFrame([[key[0], *r] for r in log], columns=list(OUT))
+        self._save(nxt, state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Frames the watermark has passed no longer wait for missing ones."""
+        nxt, state = self._load()
+        mark = timerValues.getCurrentWatermarkInMs()
+        due = sorted(k[0] for k, v in self._waiting.iterator() if v[0] < mark)
+        while due and self._waiting.containsKey((due[-1] + 1,)):       # what follows without a gap goes along
+            due.append(due[-1] + 1)
+        if due:
+            done, state = self._folded([self._take(i) for i in due], state)
+            self._save(due[-1] + 1, state)
+            yield pd.DataFrame([[key[0], *r] for r in done], columns=list(OUT))
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(packed: DataFrame, band: Band, opaque: bool = False, ttl_ms: int | None = None) -> DataFrame:
-    """Decision log of a stream of packed frames ``(video_id, frame_idx, cols)``.
+def fold_stream(packed: DataFrame, band: Band, opaque: bool = False, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
+    """Decision log of a stream of packed frames ``(video_id, frame_idx, cols, <ts>)``, numbered from 0 without gaps.
 
-    A task sees the frames of one video in one micro-batch; ``ttl_ms`` drops the state of videos that
-    have gone quiet. The session must use the RocksDB state store (``use_rocksdb``).
+    ``delay`` is how long frames may be late by their time ``ts``. The session must use the RocksDB state store (``use_rocksdb``).
     """
     step = page_step(band) if opaque else scroll_step(band)
     ddl = ", ".join(f"{c} {t}" for c, t in OUT.items())
-    return (packed.select("video_id", "frame_idx", "cols").groupBy("video_id")
-            .transformWithStateInPandas(_Fold(step, ttl_ms), outputStructType=ddl, outputMode="append",
-                                        timeMode="None" if ttl_ms is None else "ProcessingTime"))
+    return (packed.withWatermark(ts, delay).select("video_id", "frame_idx", "cols", ts, F.unix_millis(ts).alias("at")).groupBy("video_id")
+            .transformWithStateInPandas(_Fold(step), outputStructType=ddl, outputMode="append", timeMode="EventTime"))
 
 
 def use_rocksdb(spark) -> None:

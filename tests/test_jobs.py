@@ -77,22 +77,38 @@ def test_narrow_panorama_gives_no_chunk(spark):
     assert [(r.chunk_no, r.w, r.pad) for r in st.chunks(wide, 64).orderBy("chunk_no").collect()] == [(0, 64, 0), (1, 40, 24)]
 
 
-@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2)])
-def test_late_frames_are_logged_and_ignored(spark, small, order):
-    from panoloom.operators.fold import scroll_fold
-    frames = packed(spark, small).where("video_id < 2 and frame_idx < 18").cache()
-    path = fresh_path(spark, "late")
-    for i in order:
-        frames.where(F.expr(f"frame_idx div 6 = {i}")).coalesce(1).write.mode("append").parquet(path)
+def streamed(spark, frames, parts, files, delay="10 minutes"):
+    path = fresh_path(spark, "arrivals")
+    for part in parts:
+        frames.where(part).coalesce(1).write.mode("append").parquet(path)
     scroll.use_rocksdb(spark)
-    source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    log = drain(scroll.fold_stream(source, BAND), "late").cache()
-    late = {r.frame_idx for r in log.where("action = 'late'").collect()}
-    assert late == (set(range(6)) if order[0] == 1 else set())
-    on_time = frames.where(~F.col("frame_idx").isin(list(late)) if late else F.lit(True))
+    source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", files).parquet(path)
+    log = drain(scroll.fold_stream(source, BAND, delay=delay), "fold")
+    return sorted(map(str, log.select("video_id", "frame_idx", "action", "dx", "strip_w").collect()))
+
+
+def timed(spark, small):
+    at = F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("frame_idx") * 50)
+    return packed(spark, small).where("video_id < 2 and frame_idx < 18").withColumn("ts", at).cache()
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+@pytest.mark.parametrize("files", [1, 1000])
+def test_stream_does_not_depend_on_batches_or_order(spark, small, order, files):
+    from panoloom.operators.fold import scroll_fold
+    frames = timed(spark, small)
     cols = ["video_id", "frame_idx", "action", "dx", "strip_w"]
-    assert sorted(map(str, log.where("action <> 'late'").select(cols).collect())) == sorted(
-        map(str, scroll_fold(on_time, BAND).select(cols).collect()))
+    assert streamed(spark, frames, [F.expr(f"frame_idx div 6 = {i}") for i in order], files) == sorted(
+        map(str, scroll_fold(frames, BAND).select(cols).collect()))
+
+
+def test_watermark_passes_gaps_and_repeats_are_late(spark, small):
+    frames = timed(spark, small)
+    parts = [F.expr("frame_idx < 3"), F.expr("frame_idx between 5 and 10"), F.expr("frame_idx >= 11"), F.expr("frame_idx = 17")]
+    log = streamed(spark, frames, parts, 1, "100 milliseconds")
+    seen = [int(r.split("frame_idx=")[1].split(",")[0]) for r in log if "video_id=0" in r and "late" not in r]
+    assert 3 not in seen and 4 not in seen and {0, 1, 2, 5, 10}.issubset(seen) and len(seen) == len(set(seen))
+    assert sum("late" in r for r in streamed(spark, frames, [F.lit(True), F.expr("frame_idx = 17")], 1)) == 2
 
 
 def test_sinks_round_trip(spark, small):
