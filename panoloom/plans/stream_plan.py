@@ -14,7 +14,7 @@ from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
 from panoloom.streaming import events as ev
 from panoloom.streaming import scroll
-from panoloom.streaming.runner import drain
+from panoloom.streaming.runner import drain, drain_updates
 
 QUERIES, ORACLE, query = registry()
 ARRIVALS = 3        # deliveries the frames are split into
@@ -58,14 +58,13 @@ def _events(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query("""with e as (select *, epoch_us(ts) // 8000000 * 8000000 as start_us from events),
-m as (select max(epoch_us(ts)) // 1000 * 1000 - 10000000 as mark from events)
-select start_us, count(*) as n, count(*) filter (event_type = 'purchase') as scroll_cnt, count(*) filter (event_type = 'signup') as page_cnt,
-  count(*) filter (event_type not in ('purchase', 'signup')) as static_cnt from e, m where start_us + 8000000 <= mark group by start_us""")
+@query("""select user_id, epoch_us(ts) // 8000000 * 8000000 as start_us, count(*) as n, count(*) filter (event_type = 'purchase') as scroll_cnt,
+  count(*) filter (event_type = 'signup') as page_cnt, count(*) filter (event_type not in ('purchase', 'signup')) as static_cnt
+from events group by all""")
 def progress_stream(spark, sf):
     counts = {"scroll_cnt": F.expr("event_type = 'purchase'"), "page_cnt": F.expr("event_type = 'signup'"),
               "static_cnt": F.expr("event_type not in ('purchase', 'signup')")}
-    return drain(ev.progress_stream(_events(spark, sf), "ts", counts), "progress")
+    return drain_updates(ev.progress_stream(_events(spark, sf), "user_id", "ts", counts), "progress", ["user_id", "start_us"])
 
 
 @query(BATCH["route_log"])

@@ -9,11 +9,14 @@ from panoloom.functions.text import route_line
 from panoloom.settings import PROGRESS_SECONDS
 
 
-def progress_stream(events: DataFrame, ts: str, counts: dict[str, Column], delay: str = "10 seconds",
+def progress_stream(events: DataFrame, key: str, ts: str, counts: dict[str, Column], delay: str = "10 seconds",
                     seconds: int = PROGRESS_SECONDS) -> DataFrame:
-    """Counts per tumbling window, emitted once the watermark has passed it."""
+    """Counts per key and tumbling window, for update mode: a window's row is sent anew whenever it grows.
+
+    State goes once the watermark has passed a window. ``runner.drain_updates`` keeps the last row of each, open windows included.
+    """
     t = events.withColumn("t", F.col(ts).cast("timestamp")).withWatermark("t", delay)
-    return (t.groupBy(F.window("t", f"{seconds} seconds"))
+    return (t.groupBy(key, F.window("t", f"{seconds} seconds"))
             .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(o) for o, c in counts.items()])
             .withColumn("start_us", F.unix_micros("window.start")).drop("window"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panoloom.session import fresh_path
 
@@ -20,3 +21,24 @@ def drain(stream: DataFrame, name: str, *partitions: str) -> DataFrame:
     if query.exception():
         raise query.exception()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Process everything available in update mode, return the last row of each key.
+
+    A batch that is repeated after a failure replaces its own files.
+    """
+    spark = stream.sparkSession
+    out = fresh_path(spark, name)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = (stream.writeStream.outputMode("update").trigger(availableNow=True)
+             .option("checkpointLocation", f"{out}-state").foreachBatch(write).start())
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", out).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, *[f"r.{c}" for c in rest])
