@@ -36,14 +36,6 @@ def pack(marks: DataFrame, height: int) -> DataFrame:
             .select(*FRAME, F.col("s.bits").alias("cols")))
 
 
-def pack_ink(ink: DataFrame, frames: DataFrame, width: int, height: int) -> DataFrame:
-    """Same from sparse ink; ``frames`` supplies the frames that may hold no ink at all."""
-    blank = (frames.select(*FRAME, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
-             .select(*FRAME, F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(WORD))).alias("y"), "x",
-                     F.lit(False).alias("on")))
-    return pack(ink.select(*FRAME, "y", "x", F.lit(True).alias("on")).unionByName(blank), height)
-
-
 def ink_count(cols: Column) -> Column:
     return F.aggregate(cols, F.lit(0).cast("bigint"), lambda a, c: a + F.bit_count(c))
 

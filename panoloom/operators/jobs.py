@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panoloom.settings import VIDEO_FILE
 
+TRANSLUCENT, OPAQUE = "TRANSLUCENT", "OPAQUE"
+
 
 def variant_tier(codec: Column, height: Column, vid: Column) -> Column:
     """Preference ladder, 1 is best."""
@@ -43,8 +45,10 @@ def job_status(error: Column, n_chunks: Column) -> Column:
 def job_summary(manifest: DataFrame, results: DataFrame, key: str = "url") -> DataFrame:
     """Items per status; manifest items without a result row count as empty.
 
-    Repeated URLs are counted before the join, so one URL with many copies is one row of it.
+    Repeated URLs are counted before the join, so one URL with many copies is one row of it; several results of one URL
+    are one, failed if any failed.
     """
+    results = results.groupBy(key).agg(F.min("error").alias("error"), F.sum("n_chunks").alias("n_chunks"))
     asked = manifest.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
     joined = asked.join(results, key, "left")
     return (joined.withColumn("status", job_status(F.col("error"), F.col("n_chunks")))
@@ -53,5 +57,6 @@ def job_summary(manifest: DataFrame, results: DataFrame, key: str = "url") -> Da
 
 
 def sheet_mode(mode: Column) -> Column:
-    """Mode of a job; anything unset is translucent."""
-    return F.coalesce(F.upper(mode), F.lit("TRANSLUCENT"))
+    """Mode of a job, spaces and case ignored; anything unset is translucent, any other word gives null."""
+    word = F.coalesce(F.upper(F.trim(mode)), F.lit(TRANSLUCENT))
+    return F.when(word == "", TRANSLUCENT).when(word.isin(TRANSLUCENT, OPAQUE), word)

@@ -22,9 +22,6 @@ from panoloom.settings import (BAND_MIN, BAND_RATIO, BAR_FRACTION, BAR_RANGE, BA
                                SAME_PAGE_SCORE, SECOND_BAND_RATIO, STABLE_PAGE_SCORE)
 
 
-WIDE = 1 << 14      # shifts times words per shift
-
-
 @dataclass(frozen=True)
 class Band:
     """Frame size and the template bands used to compare frames of that size."""
@@ -61,39 +58,22 @@ def _sum(arr: str) -> str:
     return f"aggregate({arr}, 0L, (s, c) -> s + c)"
 
 
-def _array_scores(band: Band, tw: int, inset: int):
-    """The scores as an Arrow function, for frames whose shifts times columns make the expression long."""
-    width, height, k = band.width, band.height, band.words
-
-    @F.pandas_udf("array<double>")
-    def run(tpl: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else scores(
-            unpack_columns(r, width, k), unpack_columns(t, width, k)[inset:inset + tw], height)
-            for t, r in zip(tpl, ref)], dtype=object)
-
-    return run
-
-
 def offset_scores(df: DataFrame, band: Band, inset: int = 0, tpl: str = "cols", ref: str = "prev_cols",
-                  tw: int | None = None, out: str = "scores", arrow: bool | None = None) -> DataFrame:
+                  tw: int | None = None, out: str = "scores") -> DataFrame:
     """Scores of the ``tpl`` band at ``inset`` against every position of ``ref``, left to right.
 
-    Small frames use a column expression, wide ones (or ``arrow=True``) an Arrow function; both give the same.
+    An Arrow function for frames of every size, since the shifts times the columns of a wide frame make a column expression
+    slow; null if either side is null.
     """
-    tw, k = tw or band.tw, band.words
-    if arrow or (arrow is None and (band.width - tw + 1) * tw * k > WIDE):
-        return df.withColumn(out, _array_scores(band, tw, inset)(tpl, ref))
-    n = tw * band.height
-    t = f"slice({tpl}, {inset * k + 1}, {tw * k})"
-    r = f"slice({ref}, loc * {k} + 1, {tw * k})"
-    nt = F.expr(_sum(f"transform({t}, c -> cast(bit_count(c) as bigint))"))
-    counts = F.expr(
-        f"transform(sequence(0, {band.width - tw}), loc -> named_struct("
-        f"'n11', {_sum(f'zip_with({t}, {r}, (a, b) -> cast(bit_count(a & b) as bigint))')}, "
-        f"'np', {_sum(f'transform({r}, c -> cast(bit_count(c) as bigint))')}))")
-    df = df.withColumn("__nt", nt).withColumn("__c", counts)
-    scores = F.transform("__c", lambda c: phi(F.lit(n), F.col("__nt"), c["np"], c["n11"]))
-    return df.withColumn(out, scores).drop("__nt", "__c")
+    width, height, k, tw = band.width, band.height, band.words, tw or band.tw
+
+    @F.pandas_udf("array<double>")
+    def run(t: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else scores(
+            unpack_columns(b, width, k), unpack_columns(a, width, k)[inset:inset + tw], height)
+            for a, b in zip(t, r)], dtype=object)
+
+    return df.withColumn(out, run(tpl, ref))
 
 
 def peak(scores: Column, inset: int = 0) -> Column:

@@ -101,12 +101,19 @@ def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, min(step, b - i))
 
 
+def _whole(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The frames whose planes all have the size they state; others would shift the pixels of their neighbours."""
+    area = part.column("width").to_numpy().astype(np.int64) * part.column("height").to_numpy()
+    fits = np.logical_and.reduce([part.column(c).value_lengths().fill_null(-1).to_numpy() == area for c in "bgr"])
+    return part if fits.all() else part.filter(pa.array(fits & (area > 0)))
+
+
 def features(frames: DataFrame, opaque: bool = False) -> DataFrame:
     """Packed ink of normalised frames (``frames.normalise``), ``(video_id, frame_idx, width, height, cols)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch):
-                shape = (-1, part.column("height")[0].as_py(), part.column("width")[0].as_py())
+            for part in _batches(_whole(batch)):
+                shape = (len(part), part.column("height")[0].as_py(), part.column("width")[0].as_py())
                 planes = [part.column(c).flatten().to_numpy().astype(np.int32).reshape(shape) for c in "bgr"]
                 cols = _feature(*planes, opaque)
                 lists = pa.ListArray.from_arrays(

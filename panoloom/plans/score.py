@@ -7,11 +7,13 @@ clean-up; chunks by (video, chunk). Pixels of frames that add nothing are never
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panoloom.operators import fold, layout, planes, raster, stitch
-from panoloom.operators.jobs import sheet_mode
+from panoloom.operators.jobs import OPAQUE, TRANSLUCENT, job_status, sheet_mode
 from panoloom.operators.match import Band
 from panoloom.session import settle, stored
 from panoloom.sources import frames as fr
@@ -20,11 +22,58 @@ from panoloom.sources import frames as fr
 def decide(frames: DataFrame, band: Band, mode: Column) -> DataFrame:
     """Decision log of normalised frames of one size, each video in its own mode; stored once."""
     f = frames.withColumn("mode", sheet_mode(mode))
-    scroll = fold.scroll_fold(planes.features(f.where("mode = 'TRANSLUCENT'")), band)
-    pages = fold.page_fold(planes.features(f.where("mode = 'OPAQUE'"), opaque=True), band)
+    scroll = fold.scroll_fold(planes.features(f.where(F.col("mode") == TRANSLUCENT)), band)
+    pages = fold.page_fold(planes.features(f.where(F.col("mode") == OPAQUE), opaque=True), band)
     return settle(scroll.unionByName(pages))
 
 
+def prepare(frames: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Normalised frames of the videos of ``jobs``, sampled and cut to their regions, with ``mode``.
+
+    ``jobs`` has one row per video: ``video_id, mode, every, first_us, last_us, x, y, w, h``; nulls leave out the step. Sampled frames are
+    numbered anew by their place, ``frame_idx div every``. All of it is a map over frames beside the join.
+    """
+    j = jobs.select(F.col("video_id").alias("__id"), sheet_mode(F.col("mode")).alias("mode"), F.coalesce("every", F.lit(1)).alias("every"),
+                    "first_us", "last_us", *[F.col(v).alias(f"__{v}") for v in "xywh"])
+    f = fr.normalise(frames).join(j, F.col("video_id") == F.col("__id"))
+    f = f.where("frame_idx % every = 0 and (first_us is null or ts_us >= first_us) and (last_us is null or ts_us <= last_us)")
+    f = f.withColumn("frame_idx", F.expr("frame_idx div every"))
+    cut = fr.crop(f, F.coalesce("__x", F.lit(0)), F.coalesce("__y", F.lit(0)), F.coalesce("__w", "width"), F.coalesce("__h", "height"))
+    return cut.select("video_id", "frame_idx", "ts_us", "width", "height", "b", "g", "r", "mode")
+
+
+def status_of(jobs: DataFrame, frames: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    """``video_id, status, error, n_chunks`` of every job: ``failed`` with the reason, ``empty`` or ``ok``.
+
+    A job fails by an unknown mode or by a frame that cannot be read; it never stops another.
+    """
+    bad = fr.bad_frames(frames).groupBy("video_id").agg(F.min("reason").alias("reason"))
+    made = chunk_rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    rows = jobs.select("video_id", "mode").join(bad, "video_id", "left").join(made, "video_id", "left")
+    error = F.when(sheet_mode(F.col("mode")).isNull(), F.lit("unknown mode")).otherwise(F.col("reason"))
+    return rows.select("video_id", job_status(error, F.col("n_chunks")).alias("status"), error.alias("error"),
+                       F.coalesce("n_chunks", F.lit(0)).cast("bigint").alias("n_chunks"))
+
+
+def run_job(jobs: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status, chunks, pages) of a manifest of jobs over stored frames; videos may differ in size.
+
+    Videos of one size are decided together; a size is one pass, and sizes are few.
+    """
+    failed = fr.bad_frames(frames).select("video_id").distinct()
+    ready = stored(prepare(frames.join(failed, "video_id", "left_anti"), jobs).where("mode is not null"), "ready")
+    made, placed = [], []
+    for size in ready.select("width", "height").distinct().orderBy("width", "height").toLocalIterator():
+        band = Band(size["width"], size["height"])
+        part = ready.where((F.col("width") == band.width) & (F.col("height") == band.height))
+        strips = strips_of(decide(part, band, F.col("mode")), band)
+        made.append(stitch.chunks(strips, band.width))
+        placed.append(pages_of(strips, band))
+    none = stitch.chunks(frames.sparkSession.createDataFrame([], "video_id bigint, width int, canvas_x bigint"), 1)
+    chunk_rows = settle(reduce(DataFrame.unionByName, made)) if made else none
+    return status_of(jobs, frames, chunk_rows), chunk_rows, reduce(DataFrame.unionByName, placed) if placed else None
+
+
 def strips_of(log: DataFrame, band: Band) -> DataFrame:
     """What each commit added to its canvas; small, and read by everything that follows."""
     return settle(stitch.canvas_offsets(log, band.width))
@@ -44,6 +93,6 @@ def pixels_of(frames: DataFrame, strips: DataFrame, band: Band, mode: Column) ->
     """
     used = frames.join(strips.select("video_id", "frame_idx"), ["video_id", "frame_idx"], "left_semi")
     pano = stored(stitch.panorama(strips, raster.luma(fr.unfold(used))).withColumn("mode", sheet_mode(mode)), "pano")
-    clean = (raster.clean_translucent(pano.where("mode = 'TRANSLUCENT'").drop("mode"))
-             .unionByName(raster.clean_opaque(pano.where("mode = 'OPAQUE'").drop("mode"))))
+    clean = (raster.clean_translucent(pano.where(F.col("mode") == TRANSLUCENT).drop("mode"))
+             .unionByName(raster.clean_opaque(pano.where(F.col("mode") == OPAQUE).drop("mode"))))
     return stitch.chunk_pixels(clean.withColumnRenamed("b", "v").drop("g", "r"), band.width)

@@ -12,7 +12,10 @@ from panoloom.plans import raster_plan as rp
 from panoloom.plans import stitch_plan as sp
 from panoloom.plans.common import BGR, registry
 from panoloom.plans.match_plan import BAND
+from panoloom.session import fresh_path
 from panoloom.sources import camera as cam
+from panoloom.sources import frames as fr
+from panoloom.sources import sinks
 
 QUERIES, ORACLE, query = registry()
 
@@ -61,3 +64,52 @@ items as (select video_id, row_number() over (partition by video_id order by chu
 {sp._layout_sql('video_id', 'items')} select * from pages_out""")
 def score_pages(spark, sf):
     return pp.pages_of(pp.strips_of(_log(spark, sf), BAND), BAND)
+
+
+# a job with every fate: modes with spaces, an unknown mode, a truncated plane, a video without frames
+JOBS = [(0, None), (1, " Opaque "), (2, "typo"), (3, "opaque"), (4, "translucent"), (9, None)]
+
+
+@query(f"""with recursive {_STITCHED}, {sp._chunks_sql('stitched')},
+jobs as (select * from (values (0, null), (1, null), (2, 'unknown mode'), (3, 'plane c1 has another size'), (4, null), (9, null)) as t(video_id, error)),
+made as (select video_id, count(*) as n_chunks from chunks group by all)
+select cast(j.video_id as bigint) as video_id, case when error is not null then 'failed' when coalesce(n_chunks, 0) = 0 then 'empty' else 'ok' end as status, error,
+  case when error is null then coalesce(n_chunks, 0) else 0 end as n_chunks from jobs j left join made using (video_id)""")
+def score_status(spark, sf):
+    jobs = spark.createDataFrame([(v, m, *[None] * 7) for v, m in JOBS],
+                                 "video_id long, mode string, every int, first_us long, last_us long, x int, y int, w int, h int")
+    broken = F.expr("video_id = 3 and frame_idx = 5")
+    frames = cam.planes(spark, sf).select("video_id", "frame_idx", "ts_us", "width", "height", F.lit("BGR").alias("layout"), F.col("b").alias("c0"),
+                                          F.when(broken, F.slice("g", 1, 100)).otherwise(F.col("g")).alias("c1"), F.col("r").alias("c2"))
+    return pp.run_job(jobs, frames)[0]
+
+
+@query(f"""with {BGR} select video_id, frame_idx // 3 as frame_idx, y - 4 as y, x - 8 as x, b, g, r from bgr
+where frame_idx % 3 = 0 and frame_idx * 50000 >= 500000 and x >= 8 and x < 48 and y >= 4 and y < 13""")
+def prepared_frames(spark, sf):
+    # every third frame from half a second on, a region of 40 by 9 pixels
+    jobs = cam.vectors(spark, sf).groupBy("video_id").agg(F.lit("opaque").alias("mode")).selectExpr(
+        "*", "3 as every", "500000L as first_us", "cast(null as bigint) as last_us", "8 as x", "4 as y", "40 as w", "9 as h")
+    frames = cam.planes(spark, sf).withColumnsRenamed({"b": "c0", "g": "c1", "r": "c2"}).withColumn("layout", F.lit("BGR"))
+    return fr.unfold(pp.prepare(frames, jobs))
+
+
+@query(sp.ORACLE["slice_padded"])
+def chunks_roundtrip(spark, sf):
+    path = fresh_path(spark, "chunks")
+    sinks.write_chunks(sp.QUERIES["slice_padded"](spark, sf), path)
+    return sinks.read_chunks(spark, path, cam.W)
+
+
+@query(sp.ORACLE["stitch_layout"])
+def layout_roundtrip(spark, sf):
+    path = fresh_path(spark, "layout")
+    sinks.write_layout(sp.QUERIES["stitch_layout"](spark, sf), path, "video_id")
+    return spark.read.parquet(path)
+
+
+@query(f"with {BGR} select * from bgr")
+def frames_roundtrip(spark, sf):
+    path = fresh_path(spark, "frames")
+    fr.store(cam.bgr(spark, sf), cam.W, cam.H).write.parquet(path)
+    return fr.unfold(fr.normalise(fr.read_frames(spark, path)))

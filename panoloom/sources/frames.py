@@ -6,7 +6,7 @@ rows of planes, and unfolded to pixels only inside the task that works on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panoloom.operators.segments import spread
@@ -24,17 +24,40 @@ def stream_frames(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def fault(layout: str = "layout") -> Column:
+    """Why a stored frame cannot be used, null if it can: unknown layout, no size, or a plane of another length."""
+    area = F.col("width") * F.col("height")
+    used = {"c0": F.lit(True), "c1": F.col(layout) != "GRAY", "c2": F.col(layout) != "GRAY"}
+    short = [F.when(need & ~F.coalesce(F.size(p) == area, F.lit(False)), F.lit(f"plane {p} has another size")) for p, need in used.items()]
+    return (F.when(~F.coalesce(F.col(layout).isin("BGR", "RGB", "GRAY"), F.lit(False)), "unknown layout")
+            .when(~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "no size")
+            .otherwise(F.coalesce(*short)))
+
+
+def bad_frames(frames: DataFrame) -> DataFrame:
+    """``(video_id, frame_idx, reason)`` of the stored frames that ``normalise`` leaves out."""
+    return frames.select(*FRAME, fault().alias("reason")).where("reason is not null")
+
+
 def normalise(frames: DataFrame) -> DataFrame:
-    """Planes ``b, g, r`` whatever the stored layout (BGR, RGB or GRAY); undecodable frames drop out."""
+    """Planes ``b, g, r`` whatever the stored layout (BGR, RGB or GRAY); for frames without a ``fault``."""
     rgb, gray = F.col("layout") == "RGB", F.col("layout") == "GRAY"
-    whole = F.size("c0") == F.col("width") * F.col("height")
-    return (frames.where(whole)
+    return (frames.where(fault().isNull())
             .select(*FRAME, "ts_us", "width", "height",
                     F.when(rgb, F.col("c2")).otherwise(F.col("c0")).alias("b"),
                     F.when(gray, F.col("c0")).otherwise(F.col("c1")).alias("g"),
                     F.when(rgb | gray, F.col("c0")).otherwise(F.col("c2")).alias("r")))
 
 
+def crop(frames: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataFrame:
+    """Normalised frames cut to a rectangle inside each, by slices of rows; no pixel table, no shuffle."""
+    rect = frames.select("*", *[v.cast("int").alias(f"__c{n}") for n, v in zip("xywh", (x, y, w, h))])
+    part = ("flatten(transform(sequence(__cy, __cy + __ch - 1), j -> slice({p}, j * width + __cx + 1, __cw)))")
+    return rect.where("__cw > 0 and __ch > 0").select(
+        *[c for c in frames.columns if c not in ("width", "height", "b", "g", "r")],
+        F.col("__cw").alias("width"), F.col("__ch").alias("height"), *[F.expr(part.format(p=p)).alias(p) for p in "bgr"])
+
+
 def unfold(frames: DataFrame) -> DataFrame:
     """Pixels ``(video_id, frame_idx, y, x, b, g, r)`` of normalised frames, co-located by frame."""
     return (spread(frames, *FRAME)

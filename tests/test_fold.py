@@ -208,7 +208,17 @@ def test_tall_frames_use_several_words(spark):
     assert back == {(f, y, x) for _, f, y, x, on in data if on}
 
 
-def test_both_score_paths_agree(spark, frames):
-    pairs = ma.consecutive(frames)
-    both = ma.offset_scores(ma.offset_scores(pairs, BAND, 19, out="a", arrow=False), BAND, 19, out="b", arrow=True)
-    assert both.where("not (a <=> b)").count() == 0 and both.count() > 100
+def test_scores_of_a_wide_frame_and_of_nulls(spark):
+    rng = np.random.default_rng(8)
+    wide = rng.random((720, 1400)) < 0.2
+    words = ik.words(720)
+    def packed_row(off):
+        tall = np.zeros((1280, words * 64), bool)
+        tall[:, :720] = wide[:, off:off + 1280].T
+        return np.packbits(tall, axis=1, bitorder="little").view("<i8").reshape(-1).tolist()
+    df = spark.createDataFrame([(1, packed_row(40), packed_row(0)), (2, None, packed_row(0)), (3, packed_row(0), None)],
+                               "video_id long, cols array<long>, prev_cols array<long>")
+    band = ma.Band(1280, 720)
+    got = {r.video_id: r for r in ma.match_peak(df, band).collect()}
+    assert (got[1].m.dx, got[1].m.peak) == (40, 1.0)
+    assert got[2].m.peak is None and got[3].m.peak is None
