@@ -7,21 +7,13 @@ from pyspark.sql import functions as F
 from panoloom.functions import geometry as g
 from panoloom.functions import text as tx
 from panoloom.operators import jobs, sampling
+from panoloom.plans.common import registry
 from panoloom.settings import (LEGACY_FPS, MEASURES_PER_BLOCK, PREVIEW_POSITION, PROBE_POSITIONS,
                                TEXT_HEIGHT, TEXT_MAX_W, TEXT_MIN_W)
 from panoloom.sources import manifest as mf
 from panoloom.sources import signal as sg
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-    return register
+QUERIES, ORACLE, query = registry()
 
 
 SIGNAL = """signal as (

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,16 +28,17 @@ def local_session(cpus: int | str = "*", app: str = "panoloom") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset and all runs in one process, a private one that goes at exit."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="panoloom-")
+    made = tempfile.mkdtemp(prefix="panoloom-")         # one process: driver and tasks share its disk
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return made
 
@@ -49,7 +53,21 @@ def settle(df):
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/panoloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/panoloom/{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables and stream outputs this application has written to the shared folder.
+
+    For the end of a job, when its results are written elsewhere: lazy results read these tables.
+    """
+    jvm, path = spark.sparkContext._jvm, _own_tables(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df, name: str):

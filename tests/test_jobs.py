@@ -129,3 +129,36 @@ def test_blank_intro(spark, small):
     rows = queries()["intro_skip"](spark, small).collect()
     assert min(r.frame_idx for r in rows) == 3                       # the first three are blank
     assert any(r.n_ink == 0 for r in rows)                           # a later blank frame stays
+
+
+def test_own_tables_are_dropped(spark):
+    from panoloom import session
+    path = session.fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    other = f"{session.shared_dir(spark)}/panoloom/other-application/kept"
+    spark.range(3).write.mode("overwrite").parquet(other)
+    session.drop_stored(spark)
+    assert spark.read.parquet(other).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_bad_frames_are_reported_and_left_out(spark):
+    from panoloom.operators import planes
+    from panoloom.sources import frames as fr
+    whole, cut = [1] * 12, [1] * 11
+    rows = [(1, 0, None, 4, 3, "BGR", whole, whole, whole), (1, 1, None, 4, 3, "BGR", whole, cut, whole), (1, 2, None, 4, 3, "XYZ", whole, whole, whole),
+            (1, 3, None, 4, 3, "GRAY", whole, None, None), (1, 4, None, None, 3, "RGB", whole, whole, whole), (1, 5, None, 4, 3, None, whole, whole, whole),
+            (1, 6, None, 4, 3, "RGB", None, whole, whole)]
+    df = spark.createDataFrame(rows, fr.SCHEMA)
+    assert {(r.frame_idx, r.reason) for r in fr.bad_frames(df).collect()} == {
+        (1, "plane c1 has another size"), (2, "unknown layout"), (4, "no size"), (5, "unknown layout"), (6, "plane c0 has another size")}
+    assert sorted(r.frame_idx for r in fr.normalise(df).collect()) == [0, 3]
+    loose = df.selectExpr("video_id", "frame_idx", "4 as width", "3 as height", "c0 as b", "c1 as g", "c2 as r")
+    assert sorted(r.frame_idx for r in planes.features(loose).collect()) == [0, 2, 4, 5]
+
+
+def test_unknown_modes_are_null(spark):
+    from panoloom.operators.jobs import sheet_mode
+    rows = spark.createDataFrame([(" opaque ",), ("Translucent",), ("",), (None,), ("typo",)], "m string").select(sheet_mode(F.col("m"))).collect()
+    assert [r[0] for r in rows] == ["OPAQUE", "TRANSLUCENT", "TRANSLUCENT", "TRANSLUCENT", None]
