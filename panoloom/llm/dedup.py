@@ -37,7 +37,7 @@ from . import suffixes as sx
 from . import words as wd
 
 LENGTH, GRAM = 200, 64
-GROUP = 1024            # different contexts of one anchor that are sorted together
+GROUP = 8192            # different contexts of one anchor that are sorted together: under 3 MB of text
 CHUNK_BYTES = 1 << 20   # contexts that are sorted at once
 POSITION = np.uint64((1 << 32) - 1)
 ANCHORS = f"h long, c long, {c.KEY[0]} long, {c.KEY[1]} long, at long, windows int, n int, more binary"
