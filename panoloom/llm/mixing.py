@@ -22,7 +22,7 @@ from . import common as c
 #: Words are runs of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
-RANGE_ROWS = 50_000     # documents a key range holds on average; sets memory per task, never the result
+RANGE_ROWS = 2_000     # documents a key range holds on average; sets memory per task, never the result
 
 
 def sized(docs: DataFrame, seed: str = "mix", text_col: str = "text") -> DataFrame:
