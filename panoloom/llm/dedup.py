@@ -14,7 +14,7 @@ well.
 
 *Removal.* Repeated windows return to their documents as byte ranges, are joined there, and the rest is hashed.
 
-A task holds some texts of a batch, a bounded group of contexts, or the ranges of one document. Anchors and contexts are combined before
+A task holds a bounded piece of some texts, a bounded group of contexts, or the ranges of one document. Anchors and contexts are combined before
 they are shuffled; the last join is by (document, text).
 
 Defined cases: null texts are empty; texts shorter than ``LENGTH`` lose nothing; a repeated row repeats its text; an empty table gives an empty
@@ -96,11 +96,26 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(*c.row_key("doc_id", text_col), F.col("doc_id").cast("long"), c.text_of(text_col).alias("__text"))
 
 
-def find_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", hashes_only: bool = False) -> DataFrame:
-    """``ANCHORS`` of all texts; equal contexts inside one text are one row with their number and their byte ranges."""
+def _pieces(column, piece: int, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, first byte, bytes, borders): slices of texts, and a long text in pieces that share no window."""
+    for first, data, offsets in wd.slices(column, piece):
+        if len(offsets) > 2 or len(data) <= 2 * piece:
+            yield first, 0, data, offsets
+            continue
+        for s in range(0, len(data) - length + 1, piece):
+            part = data[s:s + piece + length - 1]
+            yield first, s, part, np.array([0, len(part)])
+
+
+def find_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text", hashes_only: bool = False,
+                 piece: int = wd.SLICE_BYTES) -> DataFrame:
+    """``ANCHORS`` of all texts; equal contexts inside one text are one row with their number and their byte ranges.
+
+    ``piece`` bytes are worked on at a time. A context that a long text's pieces divide is two contexts of one anchor, which ``compare`` handles.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in wd.slices(batch.column("__text")):
+            for first, begin, data, offsets in _pieces(batch.column("__text"), piece, length):
                 doc, lo, many, h, ctx = anchors(data, offsets, length, gram)
                 if not len(doc):
                     continue
@@ -115,12 +130,12 @@ def find_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_c
                     edge = np.concatenate([[0], np.cumsum(n)])
                     for k in np.flatnonzero(n > 1):
                         m = by[edge[k]:edge[k + 1]]
-                        s = lo[m] - offsets[doc[m]]
+                        s = begin + lo[m] - offsets[doc[m]]
                         more[k] = np.stack(_merged(s, s + many[m] - 1 + length), 1).astype(np.int64).tobytes()
                 rows = pa.array(first + doc[one])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[one].view(np.int64)), pa.array(ctx[one].view(np.int64)), batch.column(c.KEY[0]).take(rows),
-                     batch.column(c.KEY[1]).take(rows), pa.array(lo[one] - offsets[doc[one]]), pa.array(many[one].astype(np.int32)),
+                     batch.column(c.KEY[1]).take(rows), pa.array(begin + lo[one] - offsets[doc[one]]), pa.array(many[one].astype(np.int32)),
                      pa.array(n.astype(np.int32)), pa.array(more, pa.binary())],
                     [f.split()[0] for f in ANCHORS.split(", ")])
 
@@ -220,10 +235,11 @@ def compare(contexts: DataFrame, length: int = LENGTH, group: int = GROUP) -> Da
     return rows.select("h", "part", "c", "n", "m", "windows", "bytes").mapInArrow(run, shape)
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, text_col: str = "text",
+                     piece: int = wd.SLICE_BYTES) -> DataFrame:
     """``KEY, ranges``: byte ranges ``s, e`` of all repeated strings of ``length`` bytes, per document that has any."""
-    often = find_anchors(docs, length, gram, text_col, hashes_only=True).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    rows = c.stored(find_anchors(docs, length, gram, text_col).join(often, "h", "left_semi"), "anchors")
+    often = find_anchors(docs, length, gram, text_col, True, piece).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    rows = c.stored(find_anchors(docs, length, gram, text_col, False, piece).join(often, "h", "left_semi"), "anchors")
     each = rows.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct(*c.KEY, "at", "windows")).alias("f"))
     each = c.stored(each.select("h", "c", "n", "f.*"), "contexts")
     kinds = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -241,10 +257,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, text_col: str = "text",
-                   keep_text: bool = False) -> DataFrame:
+                   keep_text: bool = False, piece: int = wd.SLICE_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document, and with ``keep_text`` the bytes that are left (``kept``)
     and the removed ranges (``removed``)."""
-    ranges = repeated_windows(docs, length, gram, group, text_col)
+    ranges = repeated_windows(docs, length, gram, group, text_col, piece)
     rows = _texts(docs, text_col).join(ranges, list(c.KEY), "left").select("doc_id", "__text", "ranges", "more")
     more = ", kept binary, removed array<struct<s:long,e:long>>" if keep_text else ""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + ([pa.binary(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))] if keep_text else [])

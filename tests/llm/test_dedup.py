@@ -50,6 +50,12 @@ def test_short_windows_and_divided_anchors(documents, length, gram, group):
     assert result(documents(rows), length=length, gram=gram, group=group) == brute(rows, length)
 
 
+def test_pieces_of_long_texts(documents):
+    rows = pasted(77)
+    rows += [(100, "".join(t for _, t in rows[:30])), (101, "ab" * 500 + rows[7][1] + "ab" * 300)]
+    assert result(documents(rows), length=24, gram=8, piece=100) == brute(rows, 24)
+
+
 def test_corner_cases(documents):
     long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "short"), (4, "x" * 450), (5, "ab" * 1000), (6, long), (7, long[100:500] + "tail"), (8, "é" * 100), (8, "é" * 100),
