@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Every round replaces edges by edges to smaller neighbours, so stars form in a logarithmic number of rounds. No component
-is gathered anywhere: a hub's edges are combined by partial minima before they are shuffled.
+is gathered anywhere: a hub's edges are combined by partial minima before they are shuffled. The minima are written before
+they are joined, so that either side of the join has a shuffle of its own and adaptive execution can split a hub's edges.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from . import common as c
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    low = c.stored(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
     return (both.where("b > a").join(low, F.col("a") == F.col("n"))
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
 
@@ -23,7 +24,7 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours point to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+    low = c.stored(down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "low")
     moved = down.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
