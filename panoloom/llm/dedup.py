@@ -242,7 +242,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     rows = c.stored(find_anchors(docs, length, gram, text_col, False, piece).join(often, "h", "left_semi"), "anchors")
     each = rows.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct(*c.KEY, "at", "windows")).alias("f"))
     each = c.stored(each.select("h", "c", "n", "f.*"), "contexts")
-    kinds = each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # written, so that the join below shuffles both sides and adaptive execution can split an anchor with very many contexts
+    kinds = c.stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "kinds")
     found = c.stored(compare(_contexts(docs, each.join(kinds, "h"), length, text_col), length, group), "suffixes")
     shared = found.where("digest is not null").groupBy("h", "digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     late = found.where("digest is not null and last is null").join(shared, ["h", "digest"]).select("h", "c", "first", F.col("first").alias("last"))
