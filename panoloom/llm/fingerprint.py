@@ -105,7 +105,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id, text, next_text``: every document and the next one in descending order, the first after the last.
 
     Ids are cut into ranges that hold about ``rows_per_bucket`` rows. Each range is a window of its own; its last row sees the first
-    of the next range, which is added to it as one more row. Texts are shuffled once.
+    of the next range, which is added to it as one more row. Texts are shuffled once, and once more only where the ranges are too many to
+    be sent to every task.
     """
     h = F.xxhash64(c.text_of())
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
@@ -117,6 +118,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     order = Window.orderBy(F.col("bucket").desc())                     # one row per bucket
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.col("bucket").alias("into"), F.coalesce(F.lead("head").over(order), F.first("head").over(whole)).alias("head"))
+    heads = c.stored(heads, "heads")           # of known size, so that Spark sends it to the texts if it is small
     added = rows.join(heads, (F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")) == F.col("head.i")) & (F.col("h") == F.col("head.h")))
     added = added.groupBy("into").agg(F.first("text").alias("text")).select(       # repeated rows are one head
         F.lit(None).cast("long").alias("doc_id"), "text", F.col("into").alias("bucket"), F.lit(None).cast("long").alias("h"), F.lit(True).alias("extra"))
