@@ -4,7 +4,9 @@ Word n-grams of each template are winnowed: of every ``WINDOW`` neighbouring has
 inverted index, hash to (template, position), whose size follows the templates alone and which travels with the function. Every n-gram of every
 document is looked up, so a text that shares ``GRAM + WINDOW - 1`` words in a row with a template has a seed. Seeds of one template
 on neighbouring diagonals are one candidate. The template is aligned with the words around it, inside a band around these diagonals; matched words
-give coverage, the first and last of them the span.
+give coverage, the first and last of them the span. A match must hold the words that tell its license from others of the family (version,
+NC, SA, Lesser) and none of theirs. A word of a text belongs to one notice: where templates share most of their words, only the one
+with the most matched words stays, of equal ones that of the higher coverage.
 
 A scan of the documents without a shuffle; nothing but matches leaves it.
 
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from . import words as wd
-from .license_texts import TEMPLATES
+from .license_texts import BARRED, KEYS, TEMPLATES
 
 GRAM, WINDOW = 3, 2
 COVERAGE = 0.8
+SHARED = 0.5            # share of a match's words from which on a better match takes its place
 FOUND = "template int, license string, start long, end long, matched int, coverage double"
 
 
@@ -37,6 +40,8 @@ class Index(NamedTuple):
     hashes: np.ndarray              # sorted fingerprints, with template and position of each
     template: np.ndarray
     position: np.ndarray
+    keys: list[np.ndarray]          # of each template, words a match must hold
+    barred: list[np.ndarray]        # and words its span must not hold
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -62,7 +67,8 @@ def winnowed(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def index(templates=TEMPLATES) -> Index:
-    names, texts, rows = [], [], []
+    names, texts, rows, keys, barred = [], [], [], [], []
+    must, never = ({f: _hashes(" ".join(v)) for k, v in words.items() for f in k.split() or [""]} for words in (KEYS, BARRED))
     for name, text in templates:
         h = _hashes(text or "")
         if not len(h):
@@ -71,9 +77,13 @@ def index(templates=TEMPLATES) -> Index:
         rows += [(int(g[p]), len(texts), int(p)) for p in winnowed(g)] if len(h) >= GRAM else []
         names.append(name)
         texts.append(h)
+        family = name.split("-")[0]
+        keys.append(np.intersect1d(np.concatenate([must[""], must.get(family, h[:0])]), h))
+        barred.append(np.setdiff1d(never.get(family, h[:0]), h))
     rows.sort()
     cols = list(zip(*rows)) if rows else ([], [], [])
-    return Index(names, texts, np.array(cols[0], np.uint64), np.array(cols[1], np.int64), np.array(cols[2], np.int64))
+    return Index(names, texts, np.array(cols[0], np.uint64), np.array(cols[1], np.int64), np.array(cols[2], np.int64),
+                 keys, barred)
 
 
 def align(a: np.ndarray, b: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
@@ -134,19 +144,28 @@ def band(size: int) -> int:
 
 
 def matches(ix: Index, h: np.ndarray, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
-    """(template, first word, end, matched) of all matches of a text; matches of one template do not overlap."""
+    """(template, first word, end, matched) of all matches of a text; matches of one template do not overlap, others share few words."""
     found = []
     for t, first, last in _candidates(ix, h):
         a = ix.templates[t]
         wide = band(len(a))
         lo, hi = max(0, first - wide), min(len(h), last + len(a) + wide)
-        pairs = align(a, h[lo:hi], first - wide - lo, last + wide - lo)
-        if len(pairs) >= coverage * len(a):
-            found.append((len(pairs), t, lo + pairs[0][1], lo + pairs[-1][1] + 1))
+        region = h[lo:hi]
+        if not np.isin(ix.keys[t], region).all() or np.isin(a, region).sum() < coverage * len(a):
+            continue                                        # no alignment can do
+        pairs = align(a, region, first - wide - lo, last + wide - lo)
+        if len(pairs) < coverage * len(a):
+            continue
+        at = np.array([j for _, j in pairs])
+        if np.isin(ix.keys[t], region[at]).all() and not np.isin(ix.barred[t], region[at[0]:at[-1] + 1]).any():
+            found.append((t, lo + at))
     out: list[tuple[int, int, int, int]] = []
-    for n, t, s, e in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-        if all(t != x[0] or e <= x[1] or s >= x[2] for x in out):
-            out.append((t, s, e, n))
+    taken = np.zeros(len(h), bool)
+    for t, at in sorted(found, key=lambda m: (-len(m[1]), len(ix.templates[m[0]]), m[0], m[1][0])):
+        s, e = int(at[0]), int(at[-1]) + 1
+        if taken[at].mean() < SHARED and all(t != x[0] or e <= x[1] or s >= x[2] for x in out):
+            taken[at] = True
+            out.append((t, s, e, len(at)))
     return sorted(out, key=lambda m: (m[1], m[0]))
 
 

@@ -75,3 +75,33 @@ def test_corner_cases(documents):
     assert [r[0] for r in found(df)] == [4, 7, 7]
     assert found(documents([])) == []
     assert found(df, templates=(("none", ""), ("short", "x"), ("null", None))) == []
+
+
+HEADER = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free "
+          "Software Foundation; either version {} of the License, or (at your option) any later version.")
+BSD3 = TEMPLATES[8][1] + (" Neither the name of Acme Inc. nor the names of its contributors may be used to endorse or promote products "
+                           "derived from this software without specific prior written permission.")
+NEIGHBOURS = [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU General Public License.", ["GPL"]),
+    (HEADER.format("General Public License", "2"), ["GPL-2.0"]), (HEADER.format("General Public License", "3"), ["GPL-3.0"]),
+    (HEADER.format("Lesser General Public License", "2.1"), ["LGPL-2.1"]), (HEADER.format("Library General Public License", "2"), ["LGPL-2.0"]),
+    (HEADER.format("General Public License", "2").replace("program", "library"), ["GPL-2.0"]),
+    (HEADER.format("Lesser General Public License", "2.1").replace("program", "library"), ["LGPL-2.1"]),
+    (HEADER.format("Affero General Public License", "3"), ["AGPL-3.0"]),
+    *((f"Licensed under CC {k} {v}.", [f"CC-{k}-{v}"]) for k in ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0")),
+    ("This work is licensed under a Creative Commons Attribution-Non-Commercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+    (BSD3, ["BSD-3-Clause"]), (TEMPLATES[8][1], ["BSD-2-Clause"]),
+    ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]), ("Licensed under the Apache License 2.0.", ["Apache-2.0"]),
+    (TEMPLATES[1][1], ["Apache-2.0"]), ("Released under the ISC License.", ["ISC"]), ("Released under the Foo License.", []),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.  If a copy of the MPL was not distributed with "
+     "this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+    (TEMPLATES[0][1] + " " + TEMPLATES[2][1], ["Apache-2.0", "MIT"]), (TEMPLATES[3][1] + "\n" + BSD3, ["BSD-3-Clause", "MIT"]),
+]
+
+
+def test_neighbouring_licenses_and_versions(documents):
+    rows = found(documents([(k, "Some words. " + t + " Others follow.") for k, (t, _) in enumerate(NEIGHBOURS)]))
+    got = [sorted(r[2] for r in rows if r[0] == k) for k in range(len(NEIGHBOURS))]
+    assert [(t, g) for (t, _), g in zip(NEIGHBOURS, got)] == NEIGHBOURS
