@@ -23,6 +23,7 @@ from . import common as c
 RULES = (("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False),
          ("com", "/fr/", True), ("com", "/de/", False))
 ROUNDS, DAMPING, RATIO = 8, 0.85, 1.0
+SLACK = 1e-9            # relative; sums differ in their last digits
 PARENT_WEIGHT = 0.25
 #: Absolute targets of links: everything up to the end of the attribute.
 HREF = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)//[^"'\s>]*)"""
@@ -118,9 +119,9 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float =
     distrust = propagate(back, seeds.where("bad > 0").select("host", (F.col("bad") / F.col("n")).alias("weight")), rounds, damping)
     per = (known.select("host").join(trust.select("host", F.col("score").alias("trust")), "host", "left")
            .join(distrust.select("host", F.col("score").alias("distrust")), "host", "left")
-           .select(F.col("host").alias("__h"), *[F.round(F.coalesce(x, F.lit(0.0)), 12).alias(x) for x in ("trust", "distrust")]))   # sums differ in their last digits
-    out = rows.join(per, F.col("host") == F.col("__h"))
-    fine = F.coalesce(F.col("allow"), F.col("distrust") <= ratio * F.col("trust"))
+           .select(F.col("host").alias("__h"), *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("trust", "distrust")]))
+    out = rows.join(per, F.col("host") == F.col("__h"))         # scores are shares of one unit over all hosts, so small ones count: no rounding
+    fine = F.coalesce(F.col("allow"), F.col("distrust") <= ratio * F.col("trust") * (1 + SLACK))
     return out.select("page_id", "host", "path", "rule", F.when(fine, "allow").otherwise("block").alias("verdict"), "trust", "distrust")
 
 
