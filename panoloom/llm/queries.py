@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["mixing", "secrets", "toxicity", "near", "decontam", "fingerprint", "urls", "quotes", "licenses", "dedup"]
+MODULES = ["mixing", "secrets", "toxicity", "near", "decontam", "fingerprint", "urls", "quotes", "licenses", "dedup", "debruijn"]
 
 
 def _merged(attr: str) -> dict:
