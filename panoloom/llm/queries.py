@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["mixing", "secrets", "toxicity", "near", "decontam", "fingerprint", "urls", "quotes", "licenses", "dedup", "debruijn"]
+MODULES = ["mixing", "secrets", "toxicity", "near", "decontam", "fingerprint", "urls", "quotes", "licenses", "dedup", "debruijn", "codes", "importance"]
 
 
 def _merged(attr: str) -> dict:
