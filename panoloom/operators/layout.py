@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panoloom.operators.fold import fold_scalars
+from panoloom.operators.pointers import reached
 from panoloom.operators.segments import number_rows, running_sums
+from panoloom.session import stored
 from panoloom.settings import NUMBERING_SPAN, PAGE_GAP, PAGE_H, PAGE_MARGIN, PAGE_W, SEGMENT_ROWS
 
 
@@ -55,3 +57,47 @@ def page_layout(items: DataFrame, doc: str, order: str, img_w: str, img_h: str,
     paged = running_sums(placed, [doc], ["n"], F.expr(f"n div {NUMBERING_SPAN}"), {"breaks": F.col("brk").cast("int")})
     return paged.select(doc, "n", (F.col("breaks") + 1).alias("page_no"), "slot", F.lit(PAGE_MARGIN).alias("x"), "y",
                         F.lit(usable).alias("w"), "h")
+
+
+#: Images a page can hold at most, since each is followed by a gap; the one that no longer fits is counted too.
+PAGE_IMAGES = int((PAGE_H - 2 * PAGE_MARGIN) // PAGE_GAP) + 2
+
+
+def page_starts(rows: DataFrame, doc: str, segment_rows: int) -> tuple[DataFrame, int]:
+    """``(doc, n)`` of the images that begin a page, and the rounds of doubling; ``rows`` are ``(doc, n, h)``.
+
+    Whichever image begins a page, the next page's first image is among the following ``PAGE_IMAGES``, so it is found for all images at once; each segment
+    borrows that many rows of the next ones.
+    """
+    top = PAGE_H - PAGE_MARGIN
+    reach = F.sequence(F.expr(f"greatest(0, n - {PAGE_IMAGES}) div {segment_rows}"), F.expr(f"n div {segment_rows}"))
+    rows_near = rows.select(doc, "n", "h", F.explode(reach).alias("seg"))
+    after = Window.partitionBy(doc, "seg").orderBy("n").rowsBetween(1, PAGE_IMAGES)
+    near = rows_near.withColumn("hs", F.collect_list("h").over(after)).where(f"n div {segment_rows} = seg")
+    fit = F.aggregate("hs", F.struct((F.lit(top) - (F.col("h") + PAGE_GAP)).alias("pen"), F.lit(1).alias("fits"), F.lit(True).alias("open")),
+                      lambda a, h: F.when(a["open"] & (a["pen"] - h >= PAGE_MARGIN), F.struct(
+                          (a["pen"] - (h + PAGE_GAP)).alias("pen"), (a["fits"] + 1).alias("fits"), F.lit(True).alias("open")))
+                      .otherwise(F.struct(a["pen"].alias("pen"), a["fits"].alias("fits"), F.lit(False).alias("open"))))
+    hops = near.select(doc, F.col("n").alias("node"), "hs", fit["fits"].alias("fits")).where("fits <= size(hs)")
+    found, rounds = reached(stored(hops.select(doc, "node", (F.col("node") + F.col("fits")).alias("to")), "hops"),
+                            rows.where("n = 0").select(doc, F.col("n").alias("node")), doc)
+    return found.withColumnRenamed("node", "n"), rounds
+
+
+def page_layout_pointers(items: DataFrame, doc: str, order: str, img_w: str, img_h: str,
+                         segment_rows: int = SEGMENT_ROWS // 4) -> DataFrame:
+    """The rows of ``page_layout`` by page starts: heights may vary as they like, rounds are the logarithm of a document's pages."""
+    usable, top = PAGE_W - 2 * PAGE_MARGIN, PAGE_H - PAGE_MARGIN
+    rows = number_rows(items, [doc], [order], F.expr(f"{order} div {NUMBERING_SPAN}"))
+    rows = stored(rows.select(doc, "n", (F.col(img_h) * (F.lit(usable) / F.col(img_w))).alias("h")), "heights")
+    starts, _ = page_starts(rows, doc, segment_rows)
+    begun = rows.join(starts.withColumn("begins", F.lit(True)), [doc, "n"], "left")
+    breaks = F.coalesce(F.col("begins"), F.lit(False)) & ((F.col("n") > 0) | (F.lit(top) - F.col("h") < PAGE_MARGIN))
+    paged = running_sums(begun, [doc], ["n"], F.expr(f"n div {NUMBERING_SPAN}"), {"page_no": breaks.cast("int")})
+    page = paged.groupBy(doc, "page_no").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("items"))     # at most PAGE_IMAGES
+    empty = F.array().cast("array<struct<n:bigint,h:double,y:double,slot:int>>")
+    placed = F.aggregate("items", F.struct(F.lit(top).alias("pen"), empty.alias("log")), lambda a, x: F.struct(
+        (a["pen"] - (x["h"] + PAGE_GAP)).alias("pen"),
+        F.concat(a["log"], F.array(F.struct(x["n"].alias("n"), x["h"].alias("h"), (a["pen"] - x["h"]).alias("y"), F.size(a["log"]).alias("slot")))).alias("log")))
+    return (page.select(doc, (F.col("page_no") + 1).alias("page_no"), F.inline(placed["log"]))
+            .select(doc, "n", "page_no", "slot", F.lit(PAGE_MARGIN).alias("x"), "y", F.lit(usable).alias("w"), "h"))

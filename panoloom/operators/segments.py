@@ -85,3 +85,14 @@ def key_totals(df: DataFrame, keys: list[str], seg: Column, aggs: dict) -> DataF
     w = Window.partitionBy(*keys)
     totals = parts.select(*keys, SEG, *[fn(o).over(w).alias(o) for o, (fn, _) in aggs.items()])
     return df.join(totals, keys + [SEG]).drop(SEG)
+
+
+def latest_before(df: DataFrame, keys: list[str], order: list, seg: Column, value: str, out: str) -> DataFrame:
+    """The last value that is not null in the rows before each row."""
+    df = df.withColumn(SEG, seg)
+    held = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    carry = df.groupBy(*keys, SEG).agg(held.alias("__v"))
+    carry = carry.select(*keys, SEG, F.last("__v", ignorenulls=True).over(_before(keys)).alias("__carry"))
+    here = F.last(value, ignorenulls=True).over(_local(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    return (df.withColumn("__here", here).join(carry, keys + [SEG])
+            .withColumn(out, F.coalesce("__here", "__carry")).drop(SEG, "__here", "__carry"))

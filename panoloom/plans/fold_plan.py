@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panoloom.operators import fold as fo
 from panoloom.operators import ink as ik
 from panoloom.operators import match as ma
+from panoloom.operators import pointers as po
 from panoloom.operators import sampling
 from panoloom.plans.common import INK, STRIP, registry
 from panoloom.plans.jobs_plan import SIGNAL
@@ -86,6 +87,11 @@ def page_fold(spark, sf):
     return fo.page_fold(packed(spark, sf), BAND, F.expr(SHORT))
 
 
+@query(f"with recursive {PAGE_FOLD} {LOG}")
+def page_fold_pointers(spark, sf):
+    return po.page_fold_pointers(packed(spark, sf), BAND, 8)
+
+
 @query(f"""with recursive {SCROLL_FOLD} select video_id, count(*) filter (action = 'scroll') as scrolls, count(*) filter (action = 'page') as pages,
   count(*) filter (action in ('static', 'hold', 'refresh')) as statics, count(*) filter (vetoed) as rejects, cast(sum(strip_w) as bigint) as canvas_w
 from fold group by video_id""")

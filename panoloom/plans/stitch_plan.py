@@ -116,6 +116,14 @@ def page_layout(spark, sf):
     return la.page_layout(items, "o_custkey", "o_orderkey", "img_w", "img_h", segment_rows=8)
 
 
+@query(f"""with recursive items as (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as n,
+  600 as img_w, cast(50 + o_orderkey % 400 as int) as img_h from orders), {_layout_sql('o_custkey', 'items')} select * from pages_out""")
+def page_layout_pointers(spark, sf):
+    items = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "o_custkey", "o_orderkey", "600 as img_w", "cast(50 + o_orderkey % 400 as int) as img_h")
+    return la.page_layout_pointers(items, "o_custkey", "o_orderkey", "img_w", "img_h", segment_rows=8)
+
+
 @query(f"""with recursive {_MIXED}, {_STRIPS}, {_PIXELS}, {_STITCHED}, {_chunks_sql('stitched')},
 items as (select video_id, row_number() over (partition by video_id order by chunk_no) - 1 as n, 64 as img_w, 16 as img_h from chunks),
 {_layout_sql('video_id', 'items')} select * from pages_out""")

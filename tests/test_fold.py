@@ -8,6 +8,7 @@ from panoloom.operators import fold as fo
 from panoloom.operators import ink as ik
 from panoloom.operators import layout as la
 from panoloom.operators import match as ma
+from panoloom.operators import pointers as po
 from panoloom.plans.fold_plan import barred, packed
 from panoloom.plans.match_plan import BAND
 from panoloom.sources import camera as cam
@@ -223,3 +224,48 @@ def test_scores_of_a_wide_frame_and_of_nulls(spark):
     got = {r.video_id: r for r in ma.match_peak(df, band).collect()}
     assert (got[1].m.dx, got[1].m.peak) == (40, 1.0)
     assert got[2].m.peak is None and got[3].m.peak is None
+
+
+# ---- pointers
+
+@pytest.mark.parametrize("block", [1, 8, 1000])
+def test_page_pointers_equal_fold(frames, block):
+    assert rows(po.page_fold_pointers(frames, BAND, block)) == rows(fo.page_fold(frames, BAND))
+
+
+def test_page_pointers_skip_blank_frames(spark, frames):
+    blank = F.transform("cols", lambda c: c * 0)
+    some = frames.withColumn("cols", F.when((F.col("frame_idx") < 9) | (F.col("video_id") == 2), blank).otherwise(F.col("cols")))
+    log = po.page_fold_pointers(some, BAND, 8)
+    assert rows(log) == rows(fo.page_fold(some, BAND))
+    assert {r.action for r in log.where("video_id = 2").collect()} == {"skip"}
+
+
+def test_rounds_of_page_pointers_are_logarithmic(frames):
+    commits, rounds = po.page_commits(po._bands(frames, BAND, 8), BAND)
+    longest = max(r["count"] for r in commits.groupBy("video_id").count().collect())
+    assert longest > 8 and rounds <= np.log2(longest) + 1
+
+
+def test_walk_of_many_steps(spark):
+    hops = spark.range(1000).selectExpr("id % 2 as k", "id as node", "id + 2 as to").where("to < 1000")
+    found, rounds = po.reached(hops, spark.createDataFrame([(0, 0), (1, 501), (7, 5)], "k long, node long"), "k")
+    assert rows(found) == sorted([(0, n) for n in range(0, 1000, 2)] + [(1, n) for n in range(501, 1000, 2)] + [(7, 5)])
+    assert rounds == 9
+
+
+@pytest.mark.parametrize("length", [8, 64])
+def test_layout_by_page_starts_equals_fold(spark, length):
+    items = spark.range(600).selectExpr("id % 3 as doc", "id as i", "600 as w", "cast(case when id % 3 = 2 then 1 else abs(hash(id)) % 900 end as int) as h")
+    assert rows(la.page_layout_pointers(items, "doc", "i", "w", "h", length)) == rows(la.page_layout(items, "doc", "i", "w", "h", 50))
+    sized = items.selectExpr("doc", "(row_number() over (partition by doc order by i)) - 1L as n", f"h * ({595.28 - 40.0}D / w) as h")
+    starts, rounds = la.page_starts(sized, "doc", length)
+    longest = max(r["count"] for r in starts.groupBy("doc").count().collect())
+    assert longest > 30 and rounds <= np.log2(longest) + 1
+
+
+def test_layout_by_page_starts_of_few_images(spark):
+    items = spark.createDataFrame([(1, 0, 600, 900), (1, 1, 600, 100), (2, 5, 600, 10)], "doc long, i long, w int, h int")
+    got = la.page_layout_pointers(items, "doc", "i", "w", "h").orderBy("doc", "n").collect()
+    assert [(r.doc, r.page_no, r.slot) for r in got] == [(1, 2, 0), (1, 3, 0), (2, 1, 0)]
+    assert la.page_layout_pointers(items.limit(0), "doc", "i", "w", "h").count() == 0
