@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from panoloom.operators import raster as ra
-from panoloom.plans.common import BGR, registry
+from panoloom.plans.common import BGR, INK, registry
 from panoloom.plans.fold_plan import LOG, PAGE_FOLD, SCROLL_FOLD, packed
 from panoloom.plans.jobs_plan import ORACLE as BATCH
-from panoloom.plans.match_plan import BAND
+from panoloom.plans.match_plan import BAND, PAIRS, peak_sql, scores_sql
 from panoloom.session import fresh_path, settle
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
 from panoloom.streaming import events as ev
 from panoloom.streaming import scroll
-from panoloom.streaming.runner import drain, drain_updates
+from panoloom.streaming.runner import RoutedSinks, drain, drain_updates
 
 QUERIES, ORACLE, query = registry()
 ARRIVALS = 3        # deliveries the frames are split into
@@ -53,6 +55,61 @@ def page_fold_stream(spark, sf):
     return _streamed(spark, sf, True, (2, 1, 0), 1000)
 
 
+def _closing(frames, hours):
+    """A blank frame of no video, so much later that the watermark passes all others."""
+    blank = frames.where("video_id = 0 and frame_idx = 0").withColumn("cols", F.transform("cols", lambda c: c * 0))
+    return blank.withColumn("video_id", F.lit(-1).cast("bigint")).withColumn("ts", F.timestamp_millis(F.lit(START_MS + hours * 3_600_000)))
+
+
+def _one_by_one(spark, frames, path, run, name, progress=None):
+    """A stream of files that are read one after the other."""
+    before = spark.conf.get(scroll.PROVIDER)
+    scroll.use_rocksdb(spark)
+    try:
+        source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        return drain(run(source), name, progress=progress)
+    finally:
+        spark.conf.set(scroll.PROVIDER, before)
+
+
+def expiring(spark, sf, progress=None):
+    """Videos an hour apart, three frames of the first one again after it has ended, and a last frame by which all are forgotten."""
+    frames = settle(packed(spark, sf).withColumn("ts", F.timestamp_millis(F.lit(START_MS) + F.col("video_id") * 3_600_000 + F.col("frame_idx") * 50)))
+    path = fresh_path(spark, "arrivals")
+    again = frames.where("video_id = 0 and frame_idx < 3").withColumn("ts", F.timestamp_millis(F.lit(START_MS + 6 * 3_600_000)))
+    videos = sorted(r["video_id"] for r in frames.select("video_id").distinct().collect())      # five fixture videos
+    for part in [*[frames.where(F.col("video_id") == v) for v in videos], again, _closing(frames, 40), _closing(frames, 41)]:
+        part.coalesce(1).write.mode("append").parquet(path)
+
+    def fold(source):
+        return scroll.fold_stream(source, BAND, idle=timedelta(minutes=30)).where("video_id >= 0")
+    return _one_by_one(spark, frames, path, fold, "fold", progress)
+
+
+@query(f"""with recursive {SCROLL_FOLD} {LOG}
+union all select video_id, frame_idx, 'late', null, null, null, 0, false from frames where video_id = 0 and frame_idx < 3""")
+def scroll_fold_expiring(spark, sf):
+    return expiring(spark, sf)
+
+
+STRETCH = 7         # frames of one short sequence, many of which end
+
+
+@query(f"""with {INK}, {PAIRS}, {scores_sql('s', 'pairs', 40, tpl='prev_frame_idx', ref='frame_idx', tw=16)}, {peak_sql('m', 's')},
+r as (select video_id * 1000 + frame_idx // {STRETCH} as video_id, frame_idx, case when peak > 0.7::double then cast(dx + 64 as int) else 0 end as x0 from m
+   where frame_idx % {STRETCH} > 0 qualify row_number() over (partition by video_id, frame_idx // {STRETCH} order by frame_idx desc) = 1)
+select video_id, frame_idx, x0, 64 - x0 as width from r where 64 - x0 > 50""")
+def flush_tail_stream(spark, sf):
+    # each video as sequences of seven frames, delivered out of order
+    frames = packed(spark, sf).withColumn("ts", F.timestamp_millis(F.lit(START_MS) + F.col("frame_idx") * 50))
+    frames = settle(frames.withColumn("video_id", F.expr(f"video_id * 1000 + frame_idx div {STRETCH}")))
+    path = fresh_path(spark, "arrivals")
+    deliver(frames, path, (2, 0, 1))
+    for hours in (1, 2):
+        _closing(frames, hours).coalesce(1).write.mode("append").parquet(path)
+    return _one_by_one(spark, frames, path, lambda source: scroll.tail_stream(source, BAND, 16, 8), "tails").where("video_id >= 0")
+
+
 def _events(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -67,12 +124,26 @@ def progress_stream(spark, sf):
     return drain_updates(ev.progress_stream(_events(spark, sf), "user_id", "ts", counts), "progress", ["user_id", "start_us"])
 
 
-@query(BATCH["route_log"])
-def route_log_stream(spark, sf):
-    lines = _events(spark, sf).selectExpr(
+def _lines(spark, sf):
+    return _events(spark, sf).selectExpr(
         "event_id", "case when event_type = 'purchase' then concat('FRAME_SAVED:/out/frame_', event_id, '.jpg') "
         "else concat(event_type, ' ', props) end as line")
-    return drain(ev.routed(lines), "routes", "route")
+
+
+@query(BATCH["route_log"])
+def route_log_stream(spark, sf):
+    return drain(ev.routed(_lines(spark, sf)), "routes", "route")
+
+
+@query(BATCH["route_log"])
+def route_sinks_stream(spark, sf):
+    # two tables, read back as one
+    lines = ev.routed(_lines(spark, sf))
+    sinks = RoutedSinks(spark, fresh_path(spark, "routed"))
+    sinks.drain(lines, fresh_path(spark, "routed-state"))
+    schema = lines.drop("route").schema
+    parts = [sinks.read(r, schema).drop("batch").withColumn("route", F.lit(r)) for r in sinks.ROUTES]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"with {BGR} select * from bgr")

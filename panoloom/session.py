@@ -60,6 +60,11 @@ def _own_tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panoloom/{spark.sparkContext.applicationId}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Delete all tables and stream outputs this application has written to the shared folder.
 
