@@ -80,13 +80,19 @@ def _blank(links: DataFrame, key: str, state: dict[str, str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class FrameFold:
-    """A fold over rows with packed ink; ``step(rows, state, known)`` gives decisions and the next state."""
+    """A fold over rows with packed ink; ``step(rows, state, known)`` gives decisions and the next state.
+
+    With ``sized``, ``step`` is a function from a ``Band`` to such a step and each video is folded in its own ``width`` and ``height``. With
+    ``isolate``, an exception in a segment becomes one row of the log with its text as ``error``, and other videos go on.
+    """
 
     step: Callable
     carried: dict[str, str]
     local: dict[str, str]
     out: dict[str, str]
     cols: list[str] = field(default_factory=lambda: ["cols"])
+    sized: bool = False
+    isolate: bool = False
 
     @property
     def state(self) -> dict[str, str]:
@@ -99,8 +105,9 @@ def _ddl(fields: dict[str, str]) -> str:
 
 def _run(fold: FrameFold, rows: DataFrame, entries: DataFrame, want_exit: bool, every: bool) -> DataFrame:
     key_fields = {"video_id": "bigint", SEG: "bigint"}
-    fields = key_fields | fold.state if want_exit else {"video_id": "bigint", "frame_idx": "bigint"} | fold.out
-    names, step, state_names, last = list(fields), fold.step, list(fold.state), next(iter(fold.local))
+    out = fold.out | ({"error": "string"} if fold.isolate else {})
+    fields = key_fields | fold.state if want_exit else {"video_id": "bigint", "frame_idx": "bigint"} | out
+    names, state_names, last = list(fields), list(fold.state), next(iter(fold.local))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -108,8 +115,15 @@ def _run(fold: FrameFold, rows: DataFrame, entries: DataFrame, want_exit: bool,
         entry = right.iloc[0]
         state = None if entry[last] is None else {c: entry[c] for c in state_names}
         left = left.sort_values("frame_idx")
-        log, state = step(left, state, bool(entry["known"]))
         video = left["video_id"].iat[0]
+        try:
+            step = fold.step(Band(int(left["width"].iat[0]), int(left["height"].iat[0]))) if fold.sized else fold.step
+            log, state = step(left, state, bool(entry["known"]))
+            log = [[*r, None] for r in log] if fold.isolate else log
+        except Exception as e:
+            if not fold.isolate:
+                raise
+            log = [[left["frame_idx"].iat[0], *[None] * len(fold.out), f"{type(e).__name__}: {e}"]]
         if want_exit:
             state = state or dict.fromkeys(state_names)
             return pd.DataFrame([[video, left[SEG].iat[0], *[state[c] for c in state_names]]], columns=names)
@@ -151,6 +165,15 @@ def page_fold(packed: DataFrame, band: Band, segment: Column | None = None) -> D
     return fold_frames(packed, FrameFold(steps.page_step(band), COMMITTED, LAST, DECISION), segment)
 
 
+def sized_fold(packed: DataFrame, step: Callable, segment: Column | None = None) -> DataFrame:
+    """Decision log of videos of any sizes with ``error``; ``step`` is ``steps.scroll_step`` or ``steps.page_step``.
+
+    ``packed`` also has ``width`` and ``height``, the same for all frames of a video. An exception ends its segment with an error row.
+    """
+    fold = FrameFold(step, COMMITTED, LAST, DECISION, ["cols", "width", "height"], sized=True, isolate=True)
+    return fold_frames(packed, fold, segment)
+
+
 def measure_fold(frames: DataFrame, band: Band, strip_w: int, offset: int, segment: Column | None = None) -> DataFrame:
     """Legacy capture of settled screens up to the last bar; ``frames`` adds ``bar_x`` to packed ink."""
     fold = FrameFold(steps.measure_step(band, strip_w, offset),

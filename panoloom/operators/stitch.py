@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panoloom.operators.ink import frame_segment
@@ -10,20 +10,20 @@ from panoloom.operators.segments import running_sums
 from panoloom.settings import CHUNK_MIN, CHUNK_NAME
 
 
-def canvas_offsets(log: DataFrame, width: int) -> DataFrame:
-    """``(video_id, strip_no, frame_idx, src_x, width, canvas_x)`` in canvas order.
+def canvas_offsets(log: DataFrame, width: int | Column) -> DataFrame:
+    """``(video_id, strip_no, frame_idx, src_x, width, canvas_x)`` in canvas order, and ``frame_w`` where ``width`` is a column.
 
     The seed strip is the last refresh before the first commit. ``log`` is read twice, so callers
     hand in a stored one.
     """
-    a = F.col("action")
+    log, a = log.withColumn("frame_w", F.lit(width)), F.col("action")
     seed = (log.where(a.isin("seed", "refresh")).groupBy("video_id")
-            .agg(F.max("frame_idx").alias("frame_idx")).withColumn("width", F.lit(width)))
-    added = log.where(a.isin("scroll", "page")).select("video_id", "frame_idx", F.col("strip_w").alias("width"))
+            .agg(F.max("frame_idx").alias("frame_idx"), F.max("frame_w").alias("frame_w")).withColumn("width", F.col("frame_w")))
+    added = log.where(a.isin("scroll", "page")).select("video_id", "frame_idx", "frame_w", F.col("strip_w").alias("width"))
     s = running_sums(seed.unionByName(added), ["video_id"], ["frame_idx"], frame_segment(),
                      {"strip_no": F.lit(1), "canvas_x": F.col("width")}, exclusive=True)
-    return s.select("video_id", "strip_no", "frame_idx", (F.lit(width) - F.col("width")).alias("src_x"),
-                    "width", "canvas_x")
+    return s.select("video_id", "strip_no", "frame_idx", (F.col("frame_w") - F.col("width")).alias("src_x"),
+                    "width", "canvas_x", *(["frame_w"] if isinstance(width, Column) else []))
 
 
 def strip_pixels(strips: DataFrame, px: DataFrame) -> DataFrame:
@@ -36,21 +36,23 @@ def panorama(strips: DataFrame, px: DataFrame) -> DataFrame:
     return strip_pixels(strips, px).select("video_id", "y", (F.col("canvas_x") + F.col("x") - F.col("src_x")).alias("x"), "v")
 
 
-def _chunks(spans: DataFrame, width: int) -> DataFrame:
+def _chunks(spans: DataFrame, width: int | str) -> DataFrame:
     """Chunk table from ``(video_id, chunk_no, x1)``; a remainder below the minimum gives no chunk."""
-    x0 = F.col("chunk_no") * width
-    return (spans.groupBy("video_id", "chunk_no").agg(F.max("x1").alias("x1"))
+    spans = spans.withColumn("__w", F.expr(str(width)))
+    x0 = F.col("chunk_no") * F.col("__w")
+    return (spans.groupBy("video_id", "chunk_no").agg(F.max("x1").alias("x1"), F.max("__w").alias("__w"))
             .select("video_id", "chunk_no", F.format_string(CHUNK_NAME, "chunk_no").alias("name"), x0.alias("x0"),
-                    (F.col("x1") - x0).cast("int").alias("w"))
-            .where(F.col("w") >= CHUNK_MIN).withColumn("pad", F.lit(width) - F.col("w")))
+                    (F.col("x1") - x0).cast("int").alias("w"), "__w")
+            .where(F.col("w") >= CHUNK_MIN).withColumn("pad", F.col("__w") - F.col("w")).drop("__w"))
 
 
-def chunks(strips: DataFrame, width: int) -> DataFrame:
-    """Chunks of a panorama from its strips alone; no pixel is read."""
+def chunks(strips: DataFrame, width: int | str) -> DataFrame:
+    """Chunks of a panorama from its strips alone; no pixel is read. ``width`` is a number or the column that holds each video's."""
     end = F.col("canvas_x") + F.col("width")
     cover = F.expr(f"sequence(canvas_x div {width}, (canvas_x + width - 1) div {width})")
-    return _chunks(strips.select("video_id", F.explode(cover).alias("chunk_no"), end.alias("end"))
-                   .select("video_id", "chunk_no", F.least("end", (F.col("chunk_no") + 1) * width).alias("x1")), width)
+    keep = ["frame_w"] if isinstance(width, str) else []
+    return _chunks(strips.select("video_id", *keep, F.explode(cover).alias("chunk_no"), end.alias("end"))
+                   .select("video_id", *keep, "chunk_no", F.least("end", (F.col("chunk_no") + 1) * F.expr(str(width))).alias("x1")), width)
 
 
 def pano_chunks(pano: DataFrame, width: int) -> DataFrame:

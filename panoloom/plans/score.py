@@ -7,12 +7,13 @@ clean-up; chunks by (video, chunk). Pixels of frames that add nothing are never
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panoloom.operators import fold, layout, planes, raster, stitch
+from panoloom.functions.geometry import safe_rect
+from panoloom.operators import fold, layout, planes, raster, steps, stitch
 from panoloom.operators.jobs import OPAQUE, TRANSLUCENT, job_status, sheet_mode
 from panoloom.operators.match import Band
 from panoloom.session import settle, stored
@@ -27,6 +28,24 @@ def decide(frames: DataFrame, band: Band, mode: Column) -> DataFrame:
     return settle(scroll.unionByName(pages))
 
 
+def checked(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``mode`` read and ``error``: why a job cannot run by its own parameters, else null."""
+    same = Window.partitionBy("video_id")
+    error = (F.when(F.count(F.lit(1)).over(same) > 1, "video given more than once")
+             .when(sheet_mode(F.col("mode")).isNull(), "unknown mode")
+             .when(F.col("every") < 1, "every must be at least 1")
+             .when(F.col("first_us") > F.col("last_us"), "no time between first_us and last_us"))
+    return jobs.withColumn("error", error).withColumn("mode", sheet_mode(F.col("mode")))
+
+
+def region(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """A job's region within its frames: cut to the frame, or the whole frame where nothing of it lies inside. Nulls leave that side open."""
+    x0, y0 = (F.greatest(F.coalesce(v, F.lit(0)), F.lit(0)) for v in (x, y))
+    x1 = F.least(F.coalesce(x, F.lit(0)) + F.coalesce(w, width), width)
+    y1 = F.least(F.coalesce(y, F.lit(0)) + F.coalesce(h, height), height)
+    return safe_rect(x0, y0, x1 - x0, y1 - y0, width, height)
+
+
 def prepare(frames: DataFrame, jobs: DataFrame) -> DataFrame:
     """Normalised frames of the videos of ``jobs``, sampled and cut to their regions, with ``mode``.
 
@@ -38,40 +57,48 @@ def prepare(frames: DataFrame, jobs: DataFrame) -> DataFrame:
     f = fr.normalise(frames).join(j, F.col("video_id") == F.col("__id"))
     f = f.where("frame_idx % every = 0 and (first_us is null or ts_us >= first_us) and (last_us is null or ts_us <= last_us)")
     f = f.withColumn("frame_idx", F.expr("frame_idx div every"))
-    cut = fr.crop(f, F.coalesce("__x", F.lit(0)), F.coalesce("__y", F.lit(0)), F.coalesce("__w", "width"), F.coalesce("__h", "height"))
+    f = f.withColumn("__r", region(*[F.col(f"__{v}") for v in "xywh"], F.col("width"), F.col("height")))
+    cut = fr.crop(f, *[F.col(f"__r.{v}") for v in "xywh"])
     return cut.select("video_id", "frame_idx", "ts_us", "width", "height", "b", "g", "r", "mode")
 
 
-def status_of(jobs: DataFrame, frames: DataFrame, chunk_rows: DataFrame) -> DataFrame:
-    """``video_id, status, error, n_chunks`` of every job: ``failed`` with the reason, ``empty`` or ``ok``.
-
-    A job fails by an unknown mode or by a frame that cannot be read; it never stops another.
-    """
-    bad = fr.bad_frames(frames).groupBy("video_id").agg(F.min("reason").alias("reason"))
+def status_of(jobs: DataFrame, errors: DataFrame, chunk_rows: DataFrame) -> DataFrame:
+    """``video_id, status, error, n_chunks`` of every checked job: ``failed`` with the reason, ``empty`` or ``ok``."""
+    found = errors.groupBy("video_id").agg(F.min("reason").alias("reason"))
     made = chunk_rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    rows = jobs.select("video_id", "mode").join(bad, "video_id", "left").join(made, "video_id", "left")
-    error = F.when(sheet_mode(F.col("mode")).isNull(), F.lit("unknown mode")).otherwise(F.col("reason"))
-    return rows.select("video_id", job_status(error, F.col("n_chunks")).alias("status"), error.alias("error"),
+    rows = jobs.select("video_id", "error").join(found, "video_id", "left").join(made, "video_id", "left")
+    rows = rows.withColumn("error", F.coalesce("error", "reason"))
+    return rows.select("video_id", job_status(F.col("error"), F.col("n_chunks")).alias("status"), "error",
                        F.coalesce("n_chunks", F.lit(0)).cast("bigint").alias("n_chunks"))
 
 
-def run_job(jobs: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(status, chunks, pages) of a manifest of jobs over stored frames; videos may differ in size.
+def run_job(jobs: DataFrame, frames: DataFrame, scroll: Callable = steps.scroll_step,
+            page: Callable = steps.page_step) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status, chunks, pages) of a manifest of jobs over stored frames.
 
-    Videos of one size are decided together; a size is one pass, and sizes are few.
+    All videos run in one pass, whatever their sizes, regions, sampling and modes: a size is columns of the rows, and no part of the plan depends on how many
+    there are. A job that fails (by its parameters, an unreadable frame, frames of several sizes, or an exception while folding) is a row of the
+    status and stops no other; a region that leaves the frame is cut to it.
     """
-    failed = fr.bad_frames(frames).select("video_id").distinct()
-    ready = stored(prepare(frames.join(failed, "video_id", "left_anti"), jobs).where("mode is not null"), "ready")
-    made, placed = [], []
-    for size in ready.select("width", "height").distinct().orderBy("width", "height").toLocalIterator():
-        band = Band(size["width"], size["height"])
-        part = ready.where((F.col("width") == band.width) & (F.col("height") == band.height))
-        strips = strips_of(decide(part, band, F.col("mode")), band)
-        made.append(stitch.chunks(strips, band.width))
-        placed.append(pages_of(strips, band))
-    none = stitch.chunks(frames.sparkSession.createDataFrame([], "video_id bigint, width int, canvas_x bigint"), 1)
-    chunk_rows = settle(reduce(DataFrame.unionByName, made)) if made else none
-    return status_of(jobs, frames, chunk_rows), chunk_rows, reduce(DataFrame.unionByName, placed) if placed else None
+    asked = settle(checked(jobs))
+    able = asked.where("error is null").drop("error")
+    frames = frames.join(able.select("video_id"), "video_id", "left_semi")
+    bad = settle(fr.bad_frames(frames).groupBy("video_id").agg(F.min("reason").alias("reason")))
+    ready = stored(prepare(frames.join(bad, "video_id", "left_anti"), able), "ready")
+    sizes = ready.groupBy("video_id").agg(F.count_distinct("width", "height").alias("n"), F.max("width").alias("frame_w"), F.max("height").alias("frame_h"))
+    sizes = settle(sizes)
+    mixed = sizes.where("n > 1").select("video_id", F.lit("frames of several sizes").alias("reason"))
+    ready = ready.join(mixed, "video_id", "left_anti")
+    log = (fold.sized_fold(planes.features(ready.where(F.col("mode") == TRANSLUCENT)), scroll)
+           .unionByName(fold.sized_fold(planes.features(ready.where(F.col("mode") == OPAQUE), opaque=True), page)))
+    log = settle(log)
+    broken = log.where("error is not null").groupBy("video_id").agg(F.min("error").alias("reason"))
+    whole = log.join(broken, "video_id", "left_anti").join(sizes.select("video_id", F.col("frame_w").alias("w_of")), "video_id")
+    strips = settle(stitch.canvas_offsets(whole, F.col("w_of")))
+    made = settle(stitch.chunks(strips, "frame_w"))
+    sized = made.join(sizes.select("video_id", F.col("frame_w").alias("img_w"), F.col("frame_h").alias("img_h")), "video_id")
+    errors = bad.unionByName(mixed).unionByName(broken)
+    return status_of(asked, errors, made), made, layout.page_layout_pointers(sized, "video_id", "chunk_no", "img_w", "img_h")
 
 
 def strips_of(log: DataFrame, band: Band) -> DataFrame:

@@ -16,6 +16,7 @@ from panoloom.session import fresh_path
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
 from panoloom.sources import sinks
+from panoloom.sources.ledger import Ledger
 
 QUERIES, ORACLE, query = registry()
 
@@ -66,24 +67,49 @@ def score_pages(spark, sf):
     return pp.pages_of(pp.strips_of(_log(spark, sf), BAND), BAND)
 
 
-# a job with every fate: modes with spaces, an unknown mode, a truncated plane, a video without frames
-JOBS = [(0, None), (1, " Opaque "), (2, "typo"), (3, "opaque"), (4, "translucent"), (9, None)]
+# jobs of every fate: modes with spaces, an unknown mode, a truncated plane, a region beyond the frame, blank frames of another size, no frames,
+# frames of two sizes, a step of 0, a video asked for twice
+JOBS = [(0, None), (1, " Opaque "), (2, "typo"), (3, "opaque"), (4, "translucent"), (5, None), (6, None), (7, None), (8, "opaque"), (8, None), (9, None)]
+
+
+def _job(video, mode):
+    region = (-3, 0, 100, 50) if video == 4 else (500, 0, 10, 10) if video == 0 else (None,) * 4
+    return video, mode, 0 if video == 7 else None, None, None, *region
 
 
 @query(f"""with recursive {_STITCHED}, {sp._chunks_sql('stitched')},
-jobs as (select * from (values (0, null), (1, null), (2, 'unknown mode'), (3, 'plane c1 has another size'), (4, null), (9, null)) as t(video_id, error)),
+jobs as (select * from (values (0, null), (1, null), (2, 'unknown mode'), (3, 'plane c1 has another size'), (4, null), (5, null),
+  (6, 'frames of several sizes'), (7, 'every must be at least 1'), (8, 'video given more than once'), (8, 'video given more than once'), (9, null)) as t(video_id, error)),
 made as (select video_id, count(*) as n_chunks from chunks group by all)
 select cast(j.video_id as bigint) as video_id, case when error is not null then 'failed' when coalesce(n_chunks, 0) = 0 then 'empty' else 'ok' end as status, error,
   case when error is null then coalesce(n_chunks, 0) else 0 end as n_chunks from jobs j left join made using (video_id)""")
 def score_status(spark, sf):
-    jobs = spark.createDataFrame([(v, m, *[None] * 7) for v, m in JOBS],
+    jobs = spark.createDataFrame([_job(v, m) for v, m in JOBS],
                                  "video_id long, mode string, every int, first_us long, last_us long, x int, y int, w int, h int")
     broken = F.expr("video_id = 3 and frame_idx = 5")
     frames = cam.planes(spark, sf).select("video_id", "frame_idx", "ts_us", "width", "height", F.lit("BGR").alias("layout"), F.col("b").alias("c0"),
                                           F.when(broken, F.slice("g", 1, 100)).otherwise(F.col("g")).alias("c1"), F.col("r").alias("c2"))
+    first = frames.where("video_id = 0 and frame_idx < 4")
+    paper = F.array_repeat(F.lit(200).cast("smallint"), 50 * 10)
+    small = first.withColumns({"width": F.lit(50), "height": F.lit(10), "c0": paper, "c1": paper, "c2": paper})
+    blank = small.withColumn("video_id", F.lit(5).cast("bigint"))
+    mixed = small.where("frame_idx < 2").unionByName(first.where("frame_idx >= 2")).withColumn("video_id", F.lit(6).cast("bigint"))
+    frames = frames.unionByName(blank).unionByName(mixed)
     return pp.run_job(jobs, frames)[0]
 
 
+@query(f"""with recursive {_STITCHED}, {sp._chunks_sql('stitched')}
+select video_id, 'ok' as status, count(*) as n_chunks from chunks group by video_id""")
+def score_ledger(spark, sf):
+    # two videos first, then all in waves of two: the first two are taken from the ledger
+    frames = cam.planes(spark, sf).withColumnsRenamed({"b": "c0", "g": "c1", "r": "c2"}).withColumn("layout", F.lit("BGR"))
+    jobs = cam.vectors(spark, sf).select("video_id").distinct().withColumn("mode", F.expr(MODE)).selectExpr(
+        "*", *[f"cast(null as {t}) as {c}" for c, t in zip(("every", "first_us", "last_us", *"xywh"), ("int", "bigint", "bigint", *["int"] * 4))])
+    ledger = Ledger(spark, fresh_path(spark, "ledger"))
+    ledger.run(jobs.where("video_id < 2"), frames, pp.run_job)
+    return ledger.run(jobs, frames, pp.run_job, wave=2).select("video_id", "status", "n_chunks")
+
+
 @query(f"""with {BGR} select video_id, frame_idx // 3 as frame_idx, y - 4 as y, x - 8 as x, b, g, r from bgr
 where frame_idx % 3 = 0 and frame_idx * 50000 >= 500000 and x >= 8 and x < 48 and y >= 4 and y < 13""")
 def prepared_frames(spark, sf):
