@@ -15,6 +15,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ PIECE = 8
 PIECES = r"(?:\S*[^\s.!?][^\S\n]+){0,%d}\S+\s*|\s+" % (PIECE - 1)
 SECTION = 4             # paragraphs to a section, on average
 BUCKET_ROWS = 2_000     # documents that are put in order together, on average
+INTERVALS = 256         # quantiles of the ids, between which ranges are equal steps
 
 
 def let(value: Column, body) -> Column:
@@ -101,18 +104,44 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "tree") ->
     return docs.withColumn(out, tree(c.text_of(text_col)))
 
 
+def id_ranges(docs: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> Column:
+    """Range of each row by (id, ``h``), ascending, null ids first: ranges of about ``rows_per_bucket`` rows whatever ids there are.
+
+    Quantiles of the ids cut them into intervals of equally many rows, and equal steps cut the intervals. An id that fills whole intervals of its own is
+    cut by the hash of the text, and so are null ids.
+    """
+    shares = [k / INTERVALS for k in range(INTERVALS + 1)]
+    r = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", shares).alias("q")).first()
+    parts_of = lambda rows: max(1, -(-int(rows) // rows_per_bucket))
+    each, times = r["known"] / INTERVALS, Counter(r["q"] or [])
+    cuts = sorted(set(times) | {q + 1 for q, m in times.items() if m > 1 and q < (1 << 63) - 1})
+    last = cuts[1:] + [None]
+    single = [False] + [b is not None and b - a == 1 for a, b in zip(cuts, last)]
+    parts = [1] + [parts_of(each * max(1, times[a])) if b is not None else 1 for a, b in zip(cuts, last)]
+    low, span = [0.0] + [float(a) for a in cuts], [1.0] + [float(b) - float(a) if b is not None else 1.0 for a, b in zip(cuts, last)]
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda q: q <= F.col("doc_id")))     # intervals before
+
+    def of(values, kind):
+        return F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), at + 1)
+    by_hash = F.col("h").cast("double") / F.lit(2.0 ** 64) + 0.5
+    share = F.when(of(single, "boolean"), by_hash).otherwise((F.col("doc_id").cast("double") - of(low, "double")) / of(span, "double"))
+    many, alone = of(parts, "long"), parts_of(r["n"] - r["known"])
+
+    def step(x, k):
+        return F.greatest(F.lit(0), F.least(F.floor(x * k), F.lit(k) - 1)).cast("long")
+    known = (at + 1).cast("long") * F.lit(1 << 32) + step(share, many)
+    return F.when(F.col("doc_id").isNull(), step(by_hash, alone)).otherwise(known)
+
+
 def with_next(docs: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id, text, next_text``: every document and the next one in descending order, the first after the last.
 
-    Ids are cut into ranges that hold about ``rows_per_bucket`` rows. Each range is a window of its own; its last row sees the first
+    Rows are cut into ranges (``id_ranges``). Each range is a window of its own; its last row sees the first
     of the next range, which is added to it as one more row. Texts are shuffled once, and once more only where the ranges are too many to
     be sent to every task.
     """
-    h = F.xxhash64(c.text_of())
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    width = max(1, -(-((stats["hi"] or 0) - (stats["lo"] or 0) + 1) // max(1, -(-stats["n"] // rows_per_bucket))))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(stats["lo"] or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    rows = docs.select("doc_id", c.text_of().alias("text"), bucket.alias("bucket"), h.alias("h"), F.lit(False).alias("extra"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), c.text_of().alias("text"), F.xxhash64(c.text_of()).alias("h"))
+    rows = docs.select("doc_id", "text", id_ranges(docs, rows_per_bucket).alias("bucket"), "h", F.lit(False).alias("extra"))
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("i"), F.col("h"))
     heads = rows.groupBy("bucket").agg(F.max(place).alias("head"))
     order = Window.orderBy(F.col("bucket").desc())                     # one row per bucket

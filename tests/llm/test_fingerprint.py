@@ -84,3 +84,25 @@ def test_edits_are_located(documents):
         fp.edited_paragraphs(F.col("a"), F.col("b")).alias("at"), fp.edited_paragraphs(F.col("a"), F.col("a")).alias("same"),
         "a.root", F.col("b.root").alias("other")).first()
     assert r["at"] == [17] and r["same"] == [] and r["root"] != r["other"]
+
+
+def largest_range(df, rows):
+    d = df.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h")
+    sizes = [r["count"] for r in d.groupBy(fp.id_ranges(d, rows).alias("b")).count().collect()]
+    assert sum(sizes) == df.count()
+    return max(sizes)
+
+
+def test_ranges_follow_rows_not_ids(documents, spark):
+    far = [(i, f"t{i}") for i in range(6000)] + [(10 ** 15, "far")]
+    assert largest_range(documents(far), 100) <= 200
+    assert largest_range(documents([(7, f"t{i}") for i in range(3000)] + [(i * i, "x") for i in range(3000)]), 100) <= 200
+    assert largest_range(documents([(None, f"t{i}") for i in range(3000)] + [(5, "x")]), 100) <= 200
+
+
+@pytest.mark.parametrize("size", [1, 2, 2_000])
+def test_ends_of_the_range_of_numbers(documents, size):
+    rows = [(-9_223_372_036_854_775_807, "a b"), (9_223_372_036_854_775_807, "c d e"), (0, "m"), (9 * 10 ** 18, "n"), (-9 * 10 ** 18, "o p")]
+    df = documents(rows)
+    want = expected(rows)
+    assert {r.doc_id: r.next_text for r in fp.with_next(df, size).collect()} == {i: w[3] for i, w in want.items()}
