@@ -25,8 +25,8 @@ RULES = (("org", "/", True), ("example.org", "/es/", False), ("example.org", "/e
 ROUNDS, DAMPING, RATIO = 8, 0.85, 1.0
 SLACK = 1e-9            # relative; sums differ in their last digits
 PARENT_WEIGHT = 0.25
-#: Absolute targets of links: everything up to the end of the attribute.
-HREF = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)//[^"'\s>]*)"""
+#: Targets of links that name a host, with a scheme or by ``//`` alone: everything up to the end of the attribute.
+HREF = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +73,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """``src, dst, w``: links between different hosts, and weak edges both ways between a host and its parent domains."""
     host = host_of(F.col(url_col))
     linked = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(HREF), F.lit(1))).alias("u"))
-    linked = linked.select("src", host_of(F.col("u")).alias("dst"), F.lit(1.0).alias("w"))
+    target = F.when(F.startswith("u", F.lit("//")), F.concat(F.lit(":"), F.col("u"))).otherwise(F.col("u"))     # the page's own scheme
+    linked = linked.select("src", host_of(target).alias("dst"), F.lit(1.0).alias("w"))
     hosts = pages.select(host.alias("h")).distinct()
     up = hosts.select(F.col("h").alias("src"), F.explode(parents(F.col("h"))).alias("dst"), F.lit(PARENT_WEIGHT).alias("w"))
     both = linked.union(up).union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))

@@ -47,7 +47,7 @@ def brute(rows, rules=urls.RULES):
     edges = defaultdict(float)
     for _, host, _, html in split_rows:
         for u in re.findall(urls.HREF.removeprefix("(?i)"), html or "", re.I):
-            edges[host, split(u)[0]] += 1
+            edges[host, split(":" + u if u.startswith("//") else u)[0]] += 1
     for h in {h for _, h, _, _ in split_rows}:
         parts = h.split(".")
         for k in range(1, len(parts) - 1):
@@ -65,7 +65,7 @@ def brute(rows, rules=urls.RULES):
     out = []
     for i, h, p, _ in split_rows:
         r = rule_of(h, p, rules)
-        fine = r[2] if r else round(distrust.get(h, 0), 12) <= round(trust.get(h, 0), 12)
+        fine = r[2] if r else distrust.get(h, 0) <= trust.get(h, 0) * (1 + 1e-9)
         out.append((i, h, p, r[0] + r[1] if r else None, "allow" if fine else "block"))
     return sorted(out, key=str)
 
@@ -82,14 +82,15 @@ LINKED = [
     (5, "http://other.net#f", None), (6, "http://pic.net", ""), (7, None, '<a href="http://x.net">'), (8, "no scheme", "x"),
     (9, "://", "y"), (10, "ftp://org", "z"), (11, "http://org/", ""), (12, "http://xexample.org/es/", ""),
     (13, "http://example.org/es", ""), (14, "http://www.example.org/en/17?q", ""), (14, "http://www.example.org/en/17?q", ""),
-    (15, "http://ÀB.com/fr/x\ny", ""), (16, "http://a.com/FR/", "<p>" + "w " * 50_000),
+    (15, "http://ÀB.com/fr/x\ny", ""), (17, "https://mirror.net/", "<a href='//BAD.example.com/de/2'>x</a>"),
+    (16, "http://a.com/FR/", "<p>" + "w " * 50_000),
 ]
 
 
 def test_links_and_rules(spark):
     assert judged(spark.createDataFrame(LINKED, PAGES)) == brute(LINKED)
     by = {r[0]: r for r in brute(LINKED)}
-    assert by[2][4] == "allow" and by[4][4] == "block"      # linked from trust, linking to a blocked host
+    assert by[2][4] == "allow" and by[4][4] == by[17][4] == "block"      # linked from trust, linking to a blocked host
 
 
 def test_other_columns_and_empty(spark):
