@@ -18,8 +18,7 @@ A task holds about a megabyte of text (a longer single text whole) or one row pe
 shuffled, and joins with occurrences read written tables, so that adaptive execution can split a hot context.
 
 Defined cases: null texts are empty; documents with fewer than ``LENGTH`` words lose nothing; a repeated row repeats its text; an empty table gives an
-empty result; other columns are ignored. Windows and contexts are told apart by 128-bit digests of their bytes; the 64-bit hashes of anchors and nodes only steer
-which are compared and joined and cannot change what is removed.
+empty result; other columns are ignored. Windows (by their two nodes of 64 bits) and contexts are told apart by 128-bit digests of their bytes.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,12 +78,12 @@ def single_spaced(w: wd.Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), begin
 
 
-def digests(text: bytes, begin: np.ndarray, first: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    """128-bit digests of ``n`` words from ``first`` on, as two columns of integers."""
+def digests(text: bytes, begin: np.ndarray, first: np.ndarray, n: np.ndarray | int, size: int) -> np.ndarray:
+    """Digests of ``n`` words from ``first`` on, as ``size`` columns of 64-bit integers."""
     view = memoryview(text)
-    raw = b"".join(hashlib.blake2b(view[s:e], digest_size=16).digest()
+    raw = b"".join(hashlib.blake2b(view[s:e], digest_size=8 * size).digest()
                    for s, e in zip(begin[first].tolist(), begin[first + n].tolist()))
-    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return np.frombuffer(raw, np.int64).reshape(-1, size)
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -102,8 +102,8 @@ def count_anchors(docs: DataFrame, length: int, gram: int, text_col: str) -> Dat
 
 
 def find_contexts(docs: DataFrame, length: int, gram: int, text_col: str) -> DataFrame:
-    """One row per context: anchor ``a``, digest ``e1, e2``, nodes ``u, v``, document, first word ``at`` and number of windows ``k``."""
-    names = ["a", *EDGE, "u", "v", *c.KEY, "at", "k"]
+    """One row per context: anchor ``a``, digest ``e1, e2``, document, first word ``at`` and number of windows ``k``."""
+    names = ["a", *EDGE, *c.KEY, "at", "k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,22 +111,24 @@ def find_contexts(docs: DataFrame, length: int, gram: int, text_col: str) -> Dat
                 first, k, a = contexts(w, length, gram)
                 if not len(first):
                     continue
-                d = digests(*single_spaced(w), first, k + length - 1)
-                u, v = (run_hash(w.hash, x, length - 1).view(np.int64) for x in (first, first + k))
+                d = digests(*single_spaced(w), first, k + length - 1, 2)
                 doc = w.doc[first]
                 rows = pa.array(w.first + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (a.view(np.int64), d[:, 0], d[:, 1], u, v)] + [batch.column(x).take(rows) for x in c.KEY]
+                    [pa.array(x) for x in (a.view(np.int64), d[:, 0], d[:, 1])] + [batch.column(x).take(rows) for x in c.KEY]
                     + [pa.array(first - w.per_doc()[doc]), pa.array(k)], names)
 
     return _texts(docs, text_col).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
-def cut_windows(docs: DataFrame, wanted: DataFrame, length: int, text_col: str) -> DataFrame:
-    """The windows of the wanted contexts ``e1, e2``: ``c1, c2, off`` say whose and which, ``e1, e2, u, v`` the window, and where it stands."""
-    lists = wanted.groupBy(*c.KEY).agg(F.collect_list(F.struct("at", "k", "n", *EDGE)).alias("want"))     # bounded by the text
+def trace(docs: DataFrame, wanted: DataFrame, length: int, text_col: str) -> DataFrame:
+    """Nodes ``u, v`` of the wanted contexts: of each window of those to cut (``e1, e2`` null, ``off`` its number), of the ends of the others.
+
+    Two neighbouring nodes hold all words of the window between them, so ``u, v`` also is the window's 128-bit digest.
+    """
+    lists = wanted.groupBy(*c.KEY).agg(F.collect_list(F.struct("at", "k", "n", "cut", *EDGE)).alias("want"))     # bounded by the text
     rows = _texts(docs, text_col).join(lists, list(c.KEY)).select(*c.KEY, "__text", "want")
-    names = ["c1", "c2", "off", "n", *EDGE, "u", "v", *c.KEY, "at"]
+    names = [*EDGE, "u", "v", *c.KEY, "at", "off", "k", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,19 +136,21 @@ def cut_windows(docs: DataFrame, wanted: DataFrame, length: int, text_col: str)
             edge, flat = np.concatenate([[0], np.cumsum(lens)]), batch.column("want").flatten()
             for w in _words(batch.column("__text")):
                 docs_here = len(w.offsets) - 1
-                lo, hi = edge[w.first], edge[w.first + docs_here]
-                want = flat.slice(lo, hi - lo)
-                at, k, n, c1, c2 = (want.field(x).to_numpy() for x in ("at", "k", "n", *EDGE))
+                want = flat.slice(edge[w.first], edge[w.first + docs_here] - edge[w.first])
+                at, k, n, cut = (want.field(x).to_numpy(zero_copy_only=False) for x in ("at", "k", "n", "cut"))
                 row = np.repeat(np.arange(docs_here), lens[w.first:w.first + docs_here])
-                each = np.repeat(np.arange(len(k)), k)
-                off = np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
-                first = w.per_doc()[row[each]] + at[each] + off
-                d = digests(*single_spaced(w), first, length)
-                u, v = (run_hash(w.hash, x, length - 1).view(np.int64) for x in (first, first + 1))
-                rows = pa.array(w.first + row[each])
+                many, step = np.where(cut, k, 1), np.where(cut, 1, k)              # edges of a context and their length
+                node = np.repeat(np.arange(len(k)), many + 1)                     # one node more than edges
+                turn = np.arange(len(node)) - np.repeat(np.cumsum(many + 1) - many - 1, many + 1)
+                first = w.per_doc()[row[node]] + at[node] + turn * step[node]
+                d = digests(*single_spaced(w), first, length - 1, 1)[:, 0]
+                begins = np.flatnonzero(turn < many[node])
+                of, off = node[begins], turn[begins]
+                which, rows = pa.array(np.where(cut, -1, np.arange(len(k)))[of]), pa.array(w.first + row[of])
+                which = pc.if_else(pc.less(which, 0), None, which)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (c1[each], c2[each], off, n[each], d[:, 0], d[:, 1], u, v)]
-                    + [batch.column(x).take(rows) for x in c.KEY] + [pa.array(at[each] + off)], names)
+                    [want.field(x).take(which) for x in EDGE] + [pa.array(d[begins]), pa.array(d[begins + 1])] + [batch.column(x).take(rows) for x in c.KEY]
+                    + [pa.array(x) for x in (at[of] + off, off, step[of], n[of])], names)
 
     return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
@@ -189,26 +193,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     """``KEY, p1, p2, poff, spans``: verified spans (first word, end) of each path in each document; ``poff`` is where the first begins on the path."""
     often = count_anchors(docs, length, gram, text_col).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
     rows = c.stored(find_contexts(docs, length, gram, text_col).join(often, "a", "left_semi"), "contexts")
-    each = rows.groupBy("a", *EDGE, "u", "v", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*c.KEY, "at")).alias("f"))
-    each = c.stored(each.select("a", *EDGE, "u", "v", "k", "n", "f.*"), "kinds")
-    mixed = c.stored(each.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a"), "mixed")
-    cut = c.stored(cut_windows(docs, each.join(mixed, "a"), length, text_col), "windows")
-    twice = cut.groupBy(*EDGE, "u", "v").agg(F.sum("n").alias("n"), F.min(F.struct(*c.KEY, "at")).alias("f")).where("n > 1")
-    whole = each.where("n > 1").join(mixed, "a", "left_anti")
+    each = rows.groupBy("a", *EDGE, "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*c.KEY, "at")).alias("f"))
+    each = c.stored(each.select("a", *EDGE, "k", "n", "f.*"), "kinds")
+    mixed = c.stored(each.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a", F.lit(True).alias("cut")), "mixed")
+    each = each.join(mixed, "a", "left").withColumn("cut", F.coalesce("cut", F.lit(False))).where("cut or n > 1")
+    traced = c.stored(trace(docs, each, length, text_col), "traced")
+    cut = traced.where("e1 is null")
     shape = [*EDGE, "u", "v", "k", *c.KEY, "at"]
-    edges = c.stored(whole.select(*shape).unionByName(twice.select(*EDGE, "u", "v", F.lit(1).cast("long").alias("k"), "f.*").select(*shape)), "edges")
+    twice = cut.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min(F.struct(*c.KEY, "at")).alias("f")).where("n > 1")
+    twice = twice.select(F.col("u").alias("e1"), F.col("v").alias("e2"), "u", "v", F.lit(1).cast("long").alias("k"), "f.*")
+    edges = c.stored(traced.where("e1 is not null").select(*shape).distinct().unionByName(twice.select(*shape)), "edges")
     paths = c.stored(compact(edges), "paths")
 
     # where contexts hold edges: a whole one from its first window on, a cut one by runs of windows on one path
-    inner = cut.join(paths, EDGE).groupBy("c1", "c2", "off").agg(F.min(F.struct(*PATH, "poff")).alias("p")).select("c1", "c2", "off", "p.*")
-    near = Window.partitionBy("c1", "c2").orderBy("off")
-    same = (F.lag("off").over(near) == F.col("off") - 1) & (F.lag("poff").over(near) == F.col("poff") - 1) \
-        & (F.lag("p1").over(near) == F.col("p1")) & (F.lag("p2").over(near) == F.col("p2"))
+    inner = cut.select(F.col("u").alias("e1"), F.col("v").alias("e2"), *c.KEY, (F.col("at") - F.col("off")).alias("at"), "off").join(paths, EDGE)
+    near = Window.partitionBy(*c.KEY, "at").orderBy("off")
+    ahead = F.col("off") - F.lag("off").over(near)                        # 0 where rows repeat
+    same = (ahead <= 1) & (F.col("poff") - F.lag("poff").over(near) == ahead) & (F.lag("p1").over(near) == F.col("p1")) & (F.lag("p2").over(near) == F.col("p2"))
     inner = inner.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(near))
-    inner = inner.groupBy("c1", "c2", "run").agg(F.min("off").alias("off"), F.count(F.lit(1)).alias("many"), F.min(F.struct(*PATH, "poff")).alias("p"))
-    held = (inner.select(F.col("c1").alias("e1"), F.col("c2").alias("e2"), "off", "many", "p.*")
-            .unionByName(whole.select(*EDGE, F.lit(0).cast("long").alias("off"), F.col("k").alias("many")).join(paths, EDGE)))
-    held = c.stored(held, "held")
+    inner = inner.groupBy(*c.KEY, "at", "run").agg(F.min("off").alias("off"), (F.max("off") - F.min("off") + 1).alias("many"),
+                                                   F.min(F.struct(*PATH, "poff")).alias("p"))
+    inner = inner.join(each.where("cut").select(*EDGE, *c.KEY, "at"), [*c.KEY, "at"]).select(*EDGE, "off", "many", "p.*")
+    whole = each.where("not cut").select(*EDGE, F.lit(0).cast("long").alias("off"), F.col("k").alias("many")).join(paths, EDGE)
+    held = c.stored(inner.unionByName(whole), "held")
     places = rows.join(held, EDGE).select(*c.KEY, *PATH, (F.col("at") + F.col("off")).alias("s"), "many", "poff")
     found = places.groupBy(*c.KEY, *PATH, (F.col("s") - F.col("poff")).alias("diagonal")).agg(
         F.min("s").alias("s"), F.max(F.col("s") + F.col("many")).alias("e"), F.min("poff").alias("poff"), F.collect_set(F.struct("s", "many")).alias("parts"))
