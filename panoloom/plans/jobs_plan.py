@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from panoloom.functions import geometry as g
 from panoloom.functions import text as tx
-from panoloom.operators import jobs, sampling
+from panoloom.operators import jobs, sampling, waves
 from panoloom.plans.common import registry
-from panoloom.settings import (LEGACY_FPS, MEASURES_PER_BLOCK, PREVIEW_POSITION, PROBE_POSITIONS,
+from panoloom.session import fresh_path
+from panoloom.settings import (DAY_US, LEGACY_FPS, MEASURES_PER_BLOCK, PREVIEW_POSITION, PROBE_POSITIONS,
                                TEXT_HEIGHT, TEXT_MAX_W, TEXT_MIN_W)
 from panoloom.sources import manifest as mf
 from panoloom.sources import signal as sg
@@ -187,6 +188,20 @@ def target_stop(spark, sf):
     return s.select("user_id", "event_id", "n", "blocks_before")
 
 
+def stopped_in_waves(spark, sf, report=None, target="(user_id % 5) * 8"):
+    """Waves of ten days over the stored events."""
+    path = fresh_path(spark, "waves")
+    s = sg.signal(spark, sf, "event_type")
+    waves.write_waves(s, path, sg.KEY, F.expr(f"us div (10 * {DAY_US})"))
+    return waves.target_stop_waves(spark, path, sg.events(spark, sf), sg.KEY, sg.ORDER, sg.day(), F.col("event_type") == "purchase", MEASURES_PER_BLOCK,
+                                   F.expr(target), report)
+
+
+@query(ORACLE["target_stop"])
+def target_stop_waves(spark, sf):
+    return stopped_in_waves(spark, sf).select("user_id", "event_id", "n", "blocks_before")
+
+
 # ---- geometry
 
 _ROI = ("case when event_id % 13 = 0 then concat('0.', lpad(event_id % 100, 2, '0'), ', 0.9,0.1') "
