@@ -191,7 +191,7 @@ def compact(edges: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_col: str = "text") -> DataFrame:
     """``KEY, p1, p2, poff, spans``: verified spans (first word, end) of each path in each document; ``poff`` is where the first begins on the path."""
-    often = count_anchors(docs, length, gram, text_col).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
+    often = c.stored(count_anchors(docs, length, gram, text_col).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a"), "often")
     rows = c.stored(find_contexts(docs, length, gram, text_col).join(often, "a", "left_semi"), "contexts")
     each = rows.groupBy("a", *EDGE, "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*c.KEY, "at")).alias("f"))
     each = c.stored(each.select("a", *EDGE, "k", "n", "f.*"), "kinds")
