@@ -10,12 +10,13 @@ from panoloom.plans import fold_plan as fp
 from panoloom.plans import score as pp
 from panoloom.plans import raster_plan as rp
 from panoloom.plans import stitch_plan as sp
-from panoloom.plans.common import BGR, registry
+from panoloom.plans.common import BGR, FRAMES, registry
 from panoloom.plans.match_plan import BAND
 from panoloom.session import fresh_path
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
 from panoloom.sources import sinks
+from panoloom.sources import store
 from panoloom.sources.ledger import Ledger
 
 QUERIES, ORACLE, query = registry()
@@ -120,6 +121,28 @@ def prepared_frames(spark, sf):
     return fr.unfold(pp.prepare(frames, jobs))
 
 
+def clustered(spark, sf, files=12):
+    path = fresh_path(spark, "store")
+    store.write_store(cam.planes(spark, sf), path, files)
+    return path
+
+
+@query(f"""with {FRAMES} select video_id, frame_idx, ts_us from frames where ts_us between 1000000 + video_id * 200000 and 2500000""")
+def time_slice_store(spark, sf):
+    wanted = cam.vectors(spark, sf).select("video_id").distinct().selectExpr("video_id", "1000000 + video_id * 200000 as first_us", "2500000L as last_us")
+    return store.slices(spark, clustered(spark, sf), wanted).select("video_id", "frame_idx", "ts_us")
+
+
+@query(f"""with {FRAMES}, ends as (select video_id, max(ts_us) as ts_end from frames group by video_id),
+wanted as (select video_id, cast(floor(ts_end * p) as bigint) as at_us from ends, (values (0.2::double), (0.4::double), (0.6::double), (0.8::double)) t(p))
+select w.video_id, w.at_us, min(f.frame_idx) as frame_idx, min(f.ts_us) as ts_us from wanted w join frames f on f.video_id = w.video_id and f.ts_us >= w.at_us group by all""")
+def frame_at_store(spark, sf):
+    path = clustered(spark, sf)
+    ends = cam.planes(spark, sf).groupBy("video_id").agg(F.max("ts_us").alias("ts_end"))
+    wanted = ends.select("video_id", F.explode(F.array(*[F.floor(F.col("ts_end") * F.lit(p)) for p in (0.2, 0.4, 0.6, 0.8)])).alias("at_us"))
+    return store.frames_at(spark, path, wanted).select("video_id", "at_us", "frame_idx", "ts_us")
+
+
 @query(sp.ORACLE["slice_padded"])
 def chunks_roundtrip(spark, sf):
     path = fresh_path(spark, "chunks")
