@@ -15,6 +15,7 @@ from panoloom.plans.match_plan import BAND
 from panoloom.session import fresh_path
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
+from panoloom.sources import images
 from panoloom.sources import sinks
 from panoloom.sources import store
 from panoloom.sources.ledger import Ledger
@@ -150,6 +151,15 @@ def chunks_roundtrip(spark, sf):
     return sinks.read_chunks(spark, path, cam.W)
 
 
+@query(sp.ORACLE["slice_padded"])
+def chunk_files_roundtrip(spark, sf):
+    # one image file per chunk, committed together
+    spark.dataSource.register(images.ChunkFiles)
+    path = fresh_path(spark, "images")
+    images.chunk_rows(sp.QUERIES["slice_padded"](spark, sf)).write.format("chunk_files").option("path", path).mode("append").save()
+    return images.chunk_pixels(spark.read.format("chunk_files").option("path", path).load())
+
+
 @query(sp.ORACLE["stitch_layout"])
 def layout_roundtrip(spark, sf):
     path = fresh_path(spark, "layout")
