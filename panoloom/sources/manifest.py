@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panoloom.functions.text import strip_blank
 from panoloom.operators.segments import number_rows
+from panoloom.session import stored
 from panoloom.settings import NUMBERING_SPAN, SHEET_NAME
 
 ORDER = ["src", "part", "line"]
@@ -27,10 +28,13 @@ def arguments(df: DataFrame, order: str, part) -> DataFrame:
 
 
 def manifest(args: DataFrame, lines: DataFrame) -> DataFrame:
-    """(pos, url, title) of all URLs; blank and comment lines are dropped before numbering."""
+    """(pos, url, title) of all URLs; blank and comment lines are dropped before numbering.
+
+    Lines are written once, since their numbers depend on how a scan is split and numbering reads them twice.
+    """
     kept = (lines.withColumn("url", strip_blank("url"))
             .where((F.col("url") != "") & ~F.startswith("url", F.lit("#"))))
-    both = args.unionByName(kept).withColumn("job", F.lit(0))
+    both = stored(args.unionByName(kept).withColumn("job", F.lit(0)), "lines")
     seg = F.struct("src", "part", F.expr(f"line div {NUMBERING_SPAN}"))
     return (number_rows(both, ["job"], ["line"], seg)
             .select((F.col("n") + 1).alias("pos"), "url",
