@@ -91,8 +91,26 @@ def auto_polarity(df: DataFrame, level: int, keys=FRAME) -> DataFrame:
         "v", F.when(F.col("__dark"), 255 - F.col("v")).otherwise(F.col("v"))).drop("__dark")
 
 
+def otsu_thresholds(df: DataFrame, keys=FRAME) -> DataFrame:
+    """``(keys…, t)``: the level of greatest between-class variance of each image (the lowest such; 0 for a flat image).
+
+    Levels are counted with partial results, so at most ``LEVELS`` rows an image are put in order, whatever its size.
+    """
+    levels = df.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("__m"))
+    image, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
+    total = F.col("__m") * F.col("v")
+    d = levels.select(*keys, "v", F.sum("__m").over(image).alias("__n"), F.sum(total).over(image).alias("__s"),
+                      F.sum("__m").over(upto).alias("__n1"), F.sum(total).over(upto).alias("__s1"))
+    diff = (F.col("__n1") * F.col("__s") - F.col("__n") * F.col("__s1")).cast("double")
+    rest = F.col("__n") - F.col("__n1")
+    spread = F.when(rest == 0, 0.0).otherwise(
+        diff * diff / (F.col("__n1").cast("double") * F.when(rest != 0, rest).cast("double")))
+    best = d.groupBy(*keys).agg(F.max(F.struct(spread.alias("s"), (-F.col("v")).alias("nv"))).alias("__b"))
+    return best.select(*keys, F.when(F.col("__b.s") > 0, -F.col("__b.nv")).otherwise(0).alias("t"))
+
+
 def otsu_level(df: DataFrame, keys=FRAME) -> DataFrame:
-    """Add ``t``, the level of greatest between-class variance (the lowest such; 0 for a flat image)."""
+    """Add ``t`` of ``otsu_thresholds`` to pixels that a chain of kernels makes: by windows, so that the chain runs once."""
     image, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
     one = F.lit(1)
     d = df.select("*", F.count(one).over(image).alias("__n"), F.sum("v").over(image).alias("__s"),
@@ -107,6 +125,11 @@ def otsu_level(df: DataFrame, keys=FRAME) -> DataFrame:
             .drop("__n", "__s", "__n1", "__s1", "__b"))
 
 
+def otsu_join(df: DataFrame, keys=FRAME) -> DataFrame:
+    """Add ``t`` of ``otsu_thresholds`` to pixels at rest, which are read twice and never put in order; keys are never null."""
+    return df.join(otsu_thresholds(df, keys).hint("shuffle_hash"), list(keys))     # the hashed side has a row per image
+
+
 def otsu(df: DataFrame, keys=FRAME) -> DataFrame:
     """Pixels above the automatic threshold."""
     return otsu_level(df, keys).where("v > t").drop("v", "t")

@@ -129,7 +129,7 @@ def blackhat(spark, sf):
 
 @query(f"with {PX}, {_otsu('px', 'th')} select {FRAME}, y, x, t from px join th using ({FRAME}) where v > t")
 def otsu(spark, sf):
-    return ra.otsu_level(cam.px(spark, sf)).where("v > t").drop("v")
+    return ra.otsu_join(cam.px(spark, sf)).where("v > t").drop("v")
 
 
 @query(f"with {PX}, {_adaptive('px', 'ad')} select {FRAME}, y, x from ad where v > 0")

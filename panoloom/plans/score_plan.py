@@ -16,6 +16,7 @@ from panoloom.session import fresh_path
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
 from panoloom.sources import images
+from panoloom.sources import planar
 from panoloom.sources import sinks
 from panoloom.sources import store
 from panoloom.sources.ledger import Ledger
@@ -172,3 +173,19 @@ def frames_roundtrip(spark, sf):
     path = fresh_path(spark, "frames")
     fr.store(cam.bgr(spark, sf), cam.W, cam.H).write.parquet(path)
     return fr.unfold(fr.normalise(fr.read_frames(spark, path)))
+
+
+@query(f"with {BGR} select * from bgr")
+def frames_source(spark, sf):
+    # planar files by a data source of their own
+    path = fresh_path(spark, "planar")
+    planar.write_planar(fr.store(cam.bgr(spark, sf), cam.W, cam.H), path)
+    return fr.unfold(fr.normalise(planar.read_planar(spark, path)))
+
+
+@query(f"with {BGR} select * from bgr where video_id in (1, 3) and frame_idx between 10 and 40")
+def frames_source_slice(spark, sf):
+    # video and frame range are applied by the source
+    path = fresh_path(spark, "planar")
+    planar.write_planar(fr.store(cam.bgr(spark, sf), cam.W, cam.H), path)
+    return fr.unfold(fr.normalise(planar.read_planar(spark, path).where("video_id in (1, 3) and frame_idx between 10 and 40")))

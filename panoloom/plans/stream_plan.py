@@ -14,6 +14,7 @@ from panoloom.plans.match_plan import BAND, PAIRS, peak_sql, scores_sql
 from panoloom.session import fresh_path, settle
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
+from panoloom.sources import planar
 from panoloom.streaming import events as ev
 from panoloom.streaming import scroll
 from panoloom.streaming.runner import RoutedSinks, drain, drain_updates
@@ -158,3 +159,13 @@ def frames_luma_stream(spark, sf):
     path = fresh_path(spark, "planes")
     fr.store(cam.bgr(spark, sf), cam.W, cam.H).write.parquet(path)
     return drain(ra.luma(fr.unfold(fr.normalise(fr.stream_frames(spark, path)))), "luma")
+
+
+@query(f"with {BGR} select * from bgr")
+def frames_source_stream(spark, sf):
+    # two commits of planar files, read as a stream
+    path = fresh_path(spark, "planar")
+    rows = fr.store(cam.bgr(spark, sf), cam.W, cam.H)
+    planar.write_planar(rows.where("frame_idx < 30"), path)
+    planar.write_planar(rows.where("frame_idx >= 30"), path)
+    return drain(fr.unfold(fr.normalise(planar.stream_planar(spark, path))), "planes")

@@ -97,6 +97,10 @@ def test_lines_of_the_limit_go(spark):
 
 def test_flat_image_has_level_zero(spark):
     assert {r.t for r in ra.otsu_level(table(spark, np.full((4, 5), 9))).collect()} == {0}
+    v = np.random.default_rng(3).integers(0, 256, (9, 11))
+    for image in (v, v // 128 * 200, np.full((4, 5), 9)):
+        by_window, by_count = ra.otsu_level(table(spark, image)), ra.otsu_join(table(spark, image))
+        assert sorted(map(tuple, by_count.select(*by_window.columns).collect())) == sorted(map(tuple, by_window.collect()))
 
 
 @pytest.mark.parametrize("opaque", [False, True])
