@@ -2,7 +2,7 @@
 
 Three base patterns are scanned over whole texts. Longer unbroken tokens that mix letters and digits are candidates as
 well. A digest of every candidate value is counted over the corpus: in how many repositories and for how many owners
-does it occur? A value of many owners is a widely copied example; a value that stays with few owners looks live. Live
+does it occur? A value of many owners, or of many repositories of one owner, is a widely copied example; a value that stays with few looks live. Live
 tokens outside the base spans become spans of kind ``token``.
 
 Candidates are pre-aggregated by (value, owner, repository) before owners are counted, so no value's occurrences meet in
@@ -32,8 +32,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A candidate of the added kind: an unbroken token of 20 characters or more.
 TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 LEAST_VALUE = 6
-#: Owners from which on a value counts as a copied example.
-COPIED = 3
+#: Owners, and repositories of whatever owners, from which on a value counts as a copied example.
+COPIED, COPIED_REPOSITORIES = 3, 20
 
 SCANNED = "kind int, start int, end int, value binary"
 
@@ -50,12 +50,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def token_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Tokens of upper or lower letters and digits that touch none of the base spans."""
-    out = []
+    """Tokens of upper or lower letters and digits that touch none of the base spans; one pass over both in order."""
+    out, at, reach = [], 0, 0
+    spans = sorted((s, e) for _, s, e, _ in taken)
     for m in TOKEN.finditer(text):
         t = m[0]
-        if (any(ch.isdigit() for ch in t) and any(ch.isalpha() for ch in t)
-                and all(m.end() <= s or m.start() >= e for _, s, e, _ in taken)):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach, at = max(reach, spans[at][1]), at + 1
+        if reach <= m.start() and any(ch.isdigit() for ch in t) and any(ch.isalpha() for ch in t):
             out.append((3, m.start(), m.end(), t))
     return out
 
@@ -85,24 +87,25 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", tex
     return rows.mapInPandas(_scan, f"{kept}, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<{SCANNED.replace(' int', ':int').replace(' binary', ':binary')}>>")
 
 
-def ownership(scanned: DataFrame, copied: int = COPIED) -> DataFrame:
+def ownership(scanned: DataFrame, copied: int = COPIED, repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """``value, n_owners, n_repositories, n_seen, live`` of every candidate value of the corpus."""
     each = scanned.select("__owner", "__repo", F.explode("found.value").alias("value"))
     each = each.groupBy("value", "__owner", "__repo").agg(F.count(F.lit(1)).alias("n"))
     each = each.groupBy("value", "__owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     return each.groupBy("value").agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repositories"), F.sum("n").alias("n_seen")
-    ).withColumn("live", F.col("n_owners") < copied)
+    ).withColumn("live", (F.col("n_owners") < copied) & (F.col("n_repositories") < repositories))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied: int = COPIED) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied: int = COPIED,
+                 repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """One row per document: ``KEY``, doc_id, base counts and digest, ``spans`` and per-class counts.
 
     ``found`` lists kind, start, end, value digest, live and the value's owners and repositories; ``token`` candidates
     are kept only where live, base spans always.
     """
     scanned = c.stored(scan(docs, owner, repository), "secrets")
-    known = ownership(scanned, copied).withColumnRenamed("value", "__value")
+    known = ownership(scanned, copied, repositories).withColumnRenamed("value", "__value")
     hits = scanned.select(*c.KEY, F.explode("found").alias("f")).select(*c.KEY, "f.*").distinct()
     hits = (hits.join(known, F.col("value") == F.col("__value"))
             .where((F.col("kind") < 3) | F.col("live"))
@@ -123,6 +126,7 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
 def redact(docs: DataFrame, mask: str = "<secret>", **options) -> DataFrame:
     """``docs`` with every span of ``find_secrets`` replaced by ``mask`` and ``n_chars``, if there, counted again; all rows and columns stay.
 
+    Base spans are masked whether live or copied: an example that looks like a secret teaches the same as one.
     Only documents that have spans leave the scan for the join; the others pass unchanged.
     """
     found = find_secrets(docs, **options).where("spans <> ''").select(*c.KEY, F.col("found").alias("__f")).dropDuplicates(list(c.KEY))

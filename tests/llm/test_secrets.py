@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 from panoloom.llm import secrets
@@ -24,16 +25,18 @@ def joined(spans):
 
 
 def brute(rows):
-    owners, found = defaultdict(set), []
-    for _, text, source in rows:
+    owners, repositories, found = defaultdict(set), defaultdict(set), []
+    for i, text, source in rows:
         b = base(text)
         extra = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9_+/=-]{20,}", text or "")
                  if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and all(m.end() <= s or m.start() >= e for s, _, e, _ in b)]
         found.append((b, extra))
         for *_, v in b + extra:
             owners[v].add(source)
+            repositories[v].add((source, i))
     return sorted(((i, *(sum(k == n for _, k, _, _ in b) for n in range(3)), hashlib.sha256(joined(b).encode()).hexdigest(),
-                    joined(sorted(b + [x for x in extra if len(owners[x[3]]) < secrets.COPIED])))
+                    joined(sorted(b + [x for x in extra if len(owners[x[3]]) < secrets.COPIED
+                                       and len(repositories[x[3]]) < secrets.COPIED_REPOSITORIES])))
                    for (i, _, _), (b, extra) in zip(rows, found)), key=str)
 
 
@@ -58,6 +61,21 @@ def test_stated_patterns_and_owners(documents):
     assert spans[7] and spans[8] and not spans[10]
 
 
+def test_many_repositories_of_one_owner(documents):
+    rows = [(k, f"see {COPY} and {LIVE if k < 19 else ''}", "hot") for k in range(20)]
+    assert result(documents(rows)) == brute(rows)
+    spans = {r[0]: r[5] for r in brute(rows)}
+    assert spans[0].count("token:") == 1 and not spans[19]
+
+
+def test_many_spans_in_one_text(documents):
+    rows = [(1, "password=hunter2x AbCdEfGhIjKlMnOpQr12 " * 20_000, "a"), (2, ("password=" + "aB3" * 9 + "," + "aB3" * 9 + " ") * 200, "b")]
+    begin = time.perf_counter()
+    got = [secrets.base_spans(rows[0][1])]
+    assert len(secrets.token_spans(rows[0][1], got[0])) == 20_000 and time.perf_counter() - begin < 10
+    assert result(documents(rows[1:])) == brute(rows[1:])
+
+
 def test_real_documents(documents, real):
     rows = [(i, t, f"src{i % 7}") for i, t in real]
     assert result(documents(rows)) == brute(rows)
