@@ -25,13 +25,17 @@ KEY_BITS = 60
 RANGE_ROWS = 2_000     # documents a key range holds on average; sets memory per task, never the result
 
 
-def sized(docs: DataFrame, seed: str = "mix", text_col: str = "text") -> DataFrame:
-    """``doc_id, source, size, key`` of every document; the key is a 60-bit number from a digest of seed and id."""
+def sized(docs: DataFrame, seed: str = "mix", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """``doc_id, source, size, key`` of every document; the key is a 60-bit number from a digest of seed and id.
+
+    ``keep`` names a column to hold the whole row.
+    """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return docs.select(
         F.col("doc_id"), F.col("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"))
+        F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
+        *([F.struct(*docs.columns).alias(keep)] if keep else []))
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -58,17 +62,20 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
                       F.least(F.col("__cap"), F.coalesce(F.col("__final") * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
-def mix(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, ranges: int = 1) -> DataFrame:
+def mix(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, ranges: int = 1, wide: DataFrame | None = None) -> DataFrame:
     """Rows of ``sized`` with ``source_size, target, taken``: how many of its words the mix takes, repeats counted.
 
     The document in which a source's budget ends is taken in part, so that each source gives its rounded target exactly.
+    ``wide`` has the same rows with more columns, which the result then keeps; sums and targets come from the narrow ones.
     """
     bits = max(0, math.ceil(math.log2(max(1, ranges))))
-    rows = sizes.withColumn("__range", F.shiftright("key", KEY_BITS - bits) if bits else F.lit(0).cast("long"))
+    number = F.shiftright("key", KEY_BITS - bits) if bits else F.lit(0).cast("long")
+    sizes = sizes.withColumn("__range", number)
+    rows = sizes if wide is None else wide.withColumn("__range", number)
     within = (Window.partitionBy("source", "__range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__here", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    carry = rows.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
+    carry = sizes.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
     earlier = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select(F.col("source").alias("__s"), F.col("__range").alias("__r"),
                          F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
@@ -88,6 +95,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return mix(sizes, ranges=-(-sizes.count() // RANGE_ROWS), **options)
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """All rows and columns of ``docs`` with ``size, source_size, target, taken``; these replace columns of such names.
+
+    Texts go through the shuffle by key range once, so repeated rows, which no join could tell apart, keep their own shares.
+    """
+    sizes = c.stored(sized(docs), "sizes")
+    rows = mix(sizes, ranges=-(-sizes.count() // RANGE_ROWS), wide=sized(docs, keep="__row"), **options)
+    new = ("size", "source_size", "target", "taken")
+    return rows.select(*[F.col("__row").getField(n).alias(n) for n in docs.columns if n not in new], *new)
+
+
 def op8_mixing(spark, sf_dir):
     """All documents mixed to weights 5, 2, 1 and 150 % of all words."""
     return mix_documents(c.read(spark, sf_dir, "documents")).select(

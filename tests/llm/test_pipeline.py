@@ -82,6 +82,19 @@ def test_mix(stages):
     want = test_mixing.brute([(r.doc_id, r.text, r.source) for r in stages[4]])
     got = sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in stages[5]), key=str)
     assert got == want
+    kept = {r.doc_id: r for r in stages[4]}
+    assert all(r.asDict() | kept[r.doc_id].asDict() == r.asDict() and len(r) == 9 for r in stages[5])
+
+
+def test_clashing_columns(spark, small, tmp_path):
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = common.read(spark, small, "documents").where("doc_id < 60")
+    docs = docs.selectExpr("*", "'a' as spans", "'b' as group_id", "doc_id as taken", "'c' as toxic", "'d' as item_id", "'e' as key")
+    docs.union(docs.where("doc_id < 3")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = cp.run(spark, str(tmp_path)).collect()
+    assert rows and {(r.spans, r.group_id, r.toxic, r.item_id, r.key) for r in rows} == {("a", "b", "c", "d", "e")}
+    assert all(r.taken <= 2 * r.size for r in rows) and len({r.doc_id for r in rows}) == len(rows)
 
 
 def test_run_gives_the_last_stage(spark, small, stages):
