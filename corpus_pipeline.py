@@ -4,7 +4,7 @@
 2. ``near_copies``: one document of each group of near copies stays.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``secrets``: secrets are masked in place; every document stays.
-5. ``mix``: the remaining documents are mixed to source weights; the result says how many of its words each gives.
+5. ``mix``: the remaining documents are mixed to source weights; the result says beside each text how many of its words the mix takes, repeats counted.
 
 Every stage works on what its predecessor kept; all but the last return the columns of ``documents``.
 """
@@ -36,7 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mixed_rows(docs)
 
 
 STAGES = [
