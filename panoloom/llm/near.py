@@ -13,7 +13,7 @@ Band misses: with 30 bands of 4 rows a pair at exactly 0.8 shares no band with p
 about as much as its value per comparison step for pairs at the threshold.
 
 Defined cases: words are lower-cased runs of visible characters; a text of fewer than ``n`` words is one shingle; null
-texts and texts without words form one class without links; repeated rows are copies and share a class; an empty table gives an
+texts and texts without words form one class without links; repeated rows are copies and share a class; ids may be null or repeat (see ``near_duplicates``); an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -135,11 +135,11 @@ def sketch(docs: DataFrame, n: int = SHINGLE, text_col: str = "text") -> DataFra
 
 
 def classes(sketches: DataFrame) -> DataFrame:
-    """One row per different set: ``cid`` (a long), its first member's ``KEY``, signature, bands and ``n_copies``."""
-    first = F.struct(*c.KEY)
+    """One row per different set: ``cid`` (a long), its first member's ``KEY`` and ``first_id`` (null only where no member has an id), signature, bands, ``n_copies``."""
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), *c.KEY)
     agg = sketches.groupBy("set1", "set2").agg(
-        F.min(first).alias("f"), F.min_by(F.struct("sig", "bands"), first).alias("v"), F.count(F.lit(1)).alias("n_copies"))
-    return agg.select("set1", "set2", F.xxhash64("set1", "set2").alias("cid"), "f.*", "v.*", "n_copies")
+        F.min(first).alias("f"), F.min_by(F.struct("sig", "bands", F.col("doc_id").alias("first_id")), first).alias("v"), F.count(F.lit(1)).alias("n_copies"))
+    return agg.select("set1", "set2", F.xxhash64("set1", "set2").alias("cid"), *[f"f.{k}" for k in c.KEY], "v.*", "n_copies")
 
 
 def in_blocks(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
@@ -304,10 +304,11 @@ def verify(docs: DataFrame, known: DataFrame, member: DataFrame, n: int = SHINGL
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """``KEY, doc_id, class_id, n_copies, n_links, group_id, is_first``, one row per document.
+    """``KEY, doc_id, class_id, n_copies, n_links, group_id, is_first, class_key, group_key``, one row per document.
 
     ``class_id`` is the smallest doc_id with the same shingle set, ``n_links`` the number of other classes at or above the
-    threshold, ``group_id`` the smallest doc_id connected by links. ``is_first`` marks one text key of each group.
+    threshold, ``group_id`` the smallest doc_id connected by links; both are null where no member has an id. ``class_key`` and ``group_key``
+    are hashes of shingle sets and stay apart where ids are null or repeat. ``is_first`` marks one text key of each group.
     """
     sketches = c.stored(sketch(docs, n), "sketches")
     known = c.stored(classes(sketches), "classes")
@@ -315,16 +316,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
     found = c.stored(verify(docs, known, member, n, threshold, tolerance), "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("n_links"))
     group = components(found.where("kind = 1").select("a", "b"), "gid")
-    per = (known.select("set1", "set2", "cid", *c.KEY, "n_copies").join(links, "cid", "left")
+    per = (known.select("set1", "set2", "cid", *c.KEY, "first_id", "n_copies").join(links, "cid", "left")
            .join(group, F.col("cid") == F.col("node"), "left").drop("node")
            .withColumn("gid", F.coalesce("gid", "cid")))
-    first = per.groupBy(F.col("gid").alias("g")).agg(F.min(F.struct(*c.KEY)).alias("f"))
+    first = per.groupBy(F.col("gid").alias("g")).agg(F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), *c.KEY, "first_id")).alias("f"))
     per = per.join(first, F.col("gid") == F.col("g")).select(
-        "set1", "set2", F.col(c.KEY[0]).alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.col(f"f.{c.KEY[0]}").alias("group_id"), F.col(f"f.{c.KEY[1]}").alias("__ft"))
+        "set1", "set2", F.col("first_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("f.first_id").alias("group_id"), *[F.col(f"f.{k}").alias(f"__first{k}") for k in c.KEY], F.col("cid").alias("class_key"), F.col("gid").alias("group_key"))
     return sketches.select(*c.KEY, "doc_id", "set1", "set2").join(per, ["set1", "set2"]).select(
         *c.KEY, "doc_id", "class_id", "n_copies", "n_links", "group_id",
-        ((F.col(c.KEY[0]) == F.col("group_id")) & (F.col(c.KEY[1]) == F.col("__ft"))).alias("is_first"))
+        ((F.col(c.KEY[0]) == F.col(f"__first{c.KEY[0]}")) & (F.col(c.KEY[1]) == F.col(f"__first{c.KEY[1]}"))).alias("is_first"), "class_key", "group_key")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -336,7 +337,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 def op6_jaccard_join(spark, sf_dir):
     """Near copies of all documents: class, links and group of each."""
     return near_duplicates(c.read(spark, sf_dir, "documents")).select(
-        "doc_id", "class_id", "n_copies", "n_links", "group_id")
+        "doc_id", "class_id", "n_copies", "n_links", "group_id", "class_key", "group_key")
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}

@@ -73,6 +73,20 @@ def test_corner_cases(documents):
     assert kept.columns == ["doc_id", "text", "group_id", "source", "n_chars"]
 
 
+def test_null_and_repeated_ids(documents):
+    rows = [(None, "one two three four five six"), (None, "other words stand in this text"), (-1, "a third text of some words"),
+            (7, "first text of this number here"), (7, "second text with that number too"), (None, "first text of this number here")]
+    got = near.near_duplicates(documents(rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.class_key, []).append((r.doc_id, r.class_id, r.group_id, r.n_copies))
+    assert sorted(by.values(), key=str) == sorted([[(None, None, None, 1)], [(None, None, None, 1)], [(-1, -1, -1, 1)], [(7, 7, 7, 1)],
+                                                   by[next(k for k, v in by.items() if len(v) == 2)]], key=str)
+    assert sorted(next(v for v in by.values() if len(v) == 2), key=str) == [(7, 7, 7, 2), (None, 7, 7, 2)]
+    assert len({r.group_key for r in got}) == 5 and sum(r.is_first for r in got) == 5
+    assert near.one_of_each(documents(rows)).count() == 5
+
+
 def test_empty(documents):
     assert near.near_duplicates(documents([])).collect() == []
 
