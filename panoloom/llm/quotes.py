@@ -4,7 +4,12 @@ Lines that begin with ``>`` marks are quoted, one level per mark. Consecutive li
 lines between are the message's own passages. Passages are normalised and hashed. A quoted passage is linked to the
 latest earlier message of the conversation with an own passage of that hash; else each of its lines is tried the same way,
 which finds partly quoted passages. The reply goes to the message that its shallowest, latest link names, without
-any link to the message before. Conversations come back as messages without quotes, ordered so that replies follow what they answer.
+any link to the message before. Conversations come back as messages without quotes in thread order: every turn is followed by all that
+answers it, the answers to one turn in turn order.
+
+Turns that answer the turn before them are one run, so only the turns that answer another one (openings) make a tree. It is walked around
+once, entering and leaving every run; where each step of the walk stands is found by doubling pointers, in as many rounds as the logarithm
+of a conversation's openings, each a join on (conversation, opening). Without openings thread order is turn order.
 
 Only DataFrame functions are used. Quotes and originals of a conversation meet in one pass over (conversation, hash, turn): the
 latest original before a quote is a running maximum, so copies of a line in many messages do not multiply. A hash that
@@ -19,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panoloom.operators.segments import previous
+
 from . import common as c
 
 #: Marks at the beginning of a quoted line, blanks between them allowed.
@@ -86,18 +93,60 @@ def unquoted(text: Column) -> Column:
 
 
 def _running(rows: DataFrame, sums: dict[str, tuple]) -> DataFrame:
-    """Columns that run along a conversation's turns: name -> (aggregate, column, whether the own turn counts)."""
+    """Columns that run along a conversation's turns, one row each: name -> (aggregate, column, whether the own turn counts)."""
     rows = rows.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
     w = Window.partitionBy("conv", "stretch").orderBy("turn")
     before = Window.partitionBy("conv").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy("conv", "stretch").agg(*[f(col).alias(f"__{n}") for n, (f, col, _) in sums.items()])
     carry = carry.select(F.col("conv").alias("__c"), F.col("stretch").alias("__s"), *[
-        (F.sum if f is F.count else f)(f"__{n}").over(before).alias(f"__{n}") for n, (f, _, _) in sums.items()])
-    here = rows.select("*", *[f(col).over(w.rangeBetween(Window.unboundedPreceding, 0 if own else -1)).alias(n) for n, (f, col, own) in sums.items()])
+        f(f"__{n}").over(before).alias(f"__{n}") for n, (f, _, _) in sums.items()])
+    here = rows.select("*", *[f(col).over(w.rowsBetween(Window.unboundedPreceding, 0 if own else -1)).alias(n) for n, (f, col, own) in sums.items()])
     here = here.join(carry, F.col("conv").eqNullSafe(F.col("__c")) & (F.col("stretch") == F.col("__s")))
     merged = {F.max: F.greatest, F.min: F.least}
     return here.select(*rows.drop("stretch").columns, *[
-        (F.col(n) + F.coalesce(f"__{n}", F.lit(0)) if f is F.count else merged[f](n, f"__{n}")).alias(n) for n, (f, _, _) in sums.items()])
+        (F.col(n) + F.coalesce(f"__{n}", F.lit(0)) if f is F.sum else merged[f](n, f"__{n}")).alias(n) for n, (f, _, _) in sums.items()])
+
+
+def _tour(runs: DataFrame, turns: DataFrame) -> DataFrame:
+    """``key, node, leaves, to, to_leaves, dist``: the step after entering and after leaving each run, and the messages entered at it.
+
+    After a run come the runs that hang on its last turn, then those on the turn before, so that each follows all deeper answers.
+    """
+    def stretch(x):
+        return F.floor(F.col(x) / STRETCH)
+
+    on = turns.select("key", F.col("turn").alias("attach"), F.col("branch").alias("parent"))
+    hung = runs.where("attach is not null").join(on, ["key", "attach"]).select("key", "parent", "attach", "branch", (F.lit(-1) - F.col("branch")).alias("down"))
+    hung = previous(hung, ["key", "attach"], ["down"], stretch("down"), ["branch"], "same_")
+    first = hung.groupBy("key", "parent", "attach").agg(F.min("branch").alias("first"))
+    lower = previous(first, ["key", "parent"], ["attach"], stretch("attach"), ["first"], "lower_").select("key", "attach", "lower_first")
+    deepest = first.groupBy(F.col("key"), F.col("parent").alias("branch")).agg(F.max_by("first", "attach").alias("child"))
+    enter = runs.join(deepest, ["key", "branch"], "left").select(
+        "key", F.col("branch").alias("node"), F.lit(False).alias("leaves"), F.coalesce("child", "branch").alias("to"), F.col("child").isNull().alias("to_leaves"),
+        F.col("size").alias("dist"))
+    beside = F.coalesce("same_branch", "lower_first")
+    leave = hung.join(lower, ["key", "attach"]).select(
+        "key", F.col("branch").alias("node"), F.lit(True).alias("leaves"), F.coalesce(beside, "parent").alias("to"), beside.isNull().alias("to_leaves"), F.lit(0).alias("dist"))
+    roots = runs.where("attach is null").select(
+        "key", F.col("branch").alias("node"), F.lit(True).alias("leaves"), F.lit(None).cast("long").alias("to"), F.lit(None).cast("boolean").alias("to_leaves"),
+        F.lit(0).alias("dist"))
+    return enter.unionByName(leave).unionByName(roots)
+
+
+def starts(runs: DataFrame, turns: DataFrame) -> tuple[DataFrame, int]:
+    """``key, branch, start``: the messages before each run in thread order, and the rounds of doubling it took.
+
+    ``runs`` is ``key, branch, attach, size``: the opening turn, the turn it answers (null for a conversation's first run) and the messages.
+    """
+    steps, rounds = c.stored(_tour(runs, turns), "tour"), 0
+    while not steps.where("to is not null").isEmpty():
+        ahead = steps.select("key", F.col("node").alias("to"), F.col("leaves").alias("to_leaves"), F.col("to").alias("next"), F.col("to_leaves").alias("next_leaves"),
+                             F.col("dist").alias("more"))
+        rest = steps.where("to is not null").join(ahead, ["key", "to", "to_leaves"])
+        rest = rest.select("key", "node", "leaves", F.col("next").alias("to"), F.col("next_leaves").alias("to_leaves"), (F.col("dist") + F.col("more")).alias("dist"))
+        steps, rounds = c.stored(steps.where("to is null").unionByName(rest), "tour"), rounds + 1
+    whole = runs.groupBy("key").agg(F.sum("size").alias("whole"))
+    return steps.where(~F.col("leaves")).join(whole, "key").select("key", F.col("node").alias("branch"), (F.col("whole") - F.col("dist")).alias("start")), rounds
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -105,7 +154,8 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     ``text`` has no quotes. ``linked`` says that a quote names ``reply_to``, which else is the turn before. A link to any other turn opens a
     branch, which the messages after it continue; ``branch`` is the turn that opened it. ``position`` counts a conversation's messages
-    in turn order from 1, in which every message follows the one it answers; messages of one turn share the position of the last.
+    in thread order from 1; messages of one turn stay together and share the position of the last. A turn whose
+    messages answer different turns stands with the answers to the earliest.
     """
     key = [F.col("conv_id").cast("long").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
            F.xxhash64(c.text_of(), F.coalesce("role", F.lit(""))).alias("msg")]
@@ -115,16 +165,44 @@ def conversations(messages: DataFrame) -> DataFrame:
     quoted = some.where("level > 0").groupBy("conv", "turn", "msg").agg(F.count(F.lit(1)).alias("n_quoted"), F.max("level").cast("long").alias("max_level"))
     best = F.max(F.struct("whole", (-F.col("level")).alias("l"), "target"))
     found = links(passages(other)).groupBy("conv", "turn", "msg").agg(best.alias("best"))
-    about = quoted.join(found, quoted["conv"].eqNullSafe(found["conv"]) & (quoted["turn"] == found["turn"]) & (quoted["msg"] == found["msg"]), "left").select(
-        quoted["conv"].alias("qc"), quoted["turn"].alias("qt"), quoted["msg"].alias("qm"), "n_quoted", "max_level", F.col("best.target").alias("target"))
-    rows = clean.join(about, clean["conv"].eqNullSafe(F.col("qc")) & (clean["turn"] == F.col("qt")) & (clean["msg"] == F.col("qm")), "left").drop("qc", "qt", "qm")
-    rows = _running(rows, {"prev": (F.max, "turn", False), "position": (F.count, F.lit(1), True), "first_turn": (F.min, "turn", True)})
-    rows = rows.withColumn("linked", F.col("target").isNotNull()).withColumn("reply_to", F.coalesce("target", "prev"))
-    rows = _running(rows.withColumn("opens", F.when(F.col("linked") & (F.col("reply_to") != F.col("prev")), F.col("turn"))), {"opened": (F.max, "opens", True)})
-    shown = F.when(~F.col("no_turn"), F.col("turn"))
-    return rows.select(F.col("conv").alias("conv_id"), shown.alias("turn"), "role", "text", "reply_to", "linked",
+    about = c.stored(quoted.join(
+        found, quoted["conv"].eqNullSafe(found["conv"]) & (quoted["turn"] == found["turn"]) & (quoted["msg"] == found["msg"]), "left").select(
+        quoted["conv"].alias("qc"), quoted["turn"].alias("qt"), quoted["msg"].alias("qm"), "n_quoted", "max_level", F.col("best.target").alias("target")), "quotes")
+    turns = _running(messages.select(*key[:2]).groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n")),
+                     {"prev": (F.max, "turn", False), "upto": (F.sum, "n", True), "first_turn": (F.min, "turn", True)})
+    earliest = about.groupBy("qc", "qt").agg(F.min("target").alias("earliest"))
+    turns = turns.join(earliest, turns["conv"].eqNullSafe(F.col("qc")) & (turns["turn"] == F.col("qt")), "left").drop("qc", "qt")
+    turns = turns.withColumn("attach", F.when(F.col("earliest") < F.col("prev"), F.col("earliest"))).drop("earliest")
+    turns = _running(turns.withColumn("opens", F.when(F.col("attach").isNotNull(), F.col("turn"))), {"opened": (F.max, "opens", True)})
+    turns = turns.select(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("key"), "conv", "turn", "n", "prev", "upto", "attach",
+                         F.coalesce("opened", "first_turn").alias("branch"))
+    if about.where("target is not null").isEmpty():
+        turns = turns.withColumn("position", F.col("upto"))
+    else:
+        turns = c.stored(turns, "turns")
+        runs = turns.groupBy("key", "branch").agg(F.max("attach").alias("attach"), F.sum("n").alias("size"), F.min(F.col("upto") - F.col("n")).alias("base"))
+        where = starts(runs, turns)[0].join(runs.select("key", "branch", "base"), ["key", "branch"])
+        turns = turns.join(where, ["key", "branch"]).withColumn("position", F.col("start") + F.col("upto") - F.col("base"))
+    turns = turns.select(F.col("conv").alias("tc"), F.col("turn").alias("tt"), "prev", "branch", "position")
+    rows = clean.join(turns, clean["conv"].eqNullSafe(F.col("tc")) & (clean["turn"] == F.col("tt")))
+    rows = rows.join(about, rows["conv"].eqNullSafe(F.col("qc")) & (rows["turn"] == F.col("qt")) & (rows["msg"] == F.col("qm")), "left")
+    return rows.select(F.col("conv").alias("conv_id"), F.when(~F.col("no_turn"), F.col("turn")).alias("turn"), "role", "text",
+                       F.coalesce("target", "prev").alias("reply_to"), F.col("target").isNotNull().alias("linked"),
                        F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("max_level", F.lit(0)).cast("long").alias("max_level"),
-                       F.coalesce("opened", "first_turn").alias("branch"), F.col("position").cast("long").alias("position"))
+                       "branch", F.col("position").cast("long").alias("position"))
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """The messages with quotes of earlier ones before their words, one to three turns back, and in every third of a deeper level."""
+    said = messages.where("text is not null").groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.max("text").alias("said"))
+    rows = messages.select("conv_id", "turn", "role", "text", F.when(F.expr("(conv_id + turn) % 4 > 0"), F.expr("turn - 1 - (conv_id + turn) % 3")).alias("back"),
+                           F.when(F.expr("(conv_id + turn) % 3 = 0"), F.expr("turn - 4")).alias("deep"))
+    for at in ("back", "deep"):
+        rows = rows.join(said.withColumnRenamed("said", f"{at}_said"), (F.col("conv_id") == F.col("c")) & (F.col(at) == F.col("t")), "left").drop("c", "t")
+
+    def quote(col, marks):
+        return F.coalesce(F.concat(F.lit(f"{marks} "), F.replace(F.col(col), F.lit("\n"), F.lit(f"\n{marks} ")), F.lit("\n")), F.lit(""))
+    return rows.select("conv_id", "turn", "role", F.concat(quote("deep_said", ">>"), quote("back_said", ">"), c.text_of()).alias("text"))
 
 
 def op4_quotation(spark, sf_dir):
@@ -132,11 +210,16 @@ def op4_quotation(spark, sf_dir):
     return conversations(c.read(spark, sf_dir, "conversations"))
 
 
+def quoted_threads(spark, sf_dir):
+    """The same of conversations whose messages quote earlier ones."""
+    return conversations(quoting(c.read(spark, sf_dir, "conversations")))
+
+
 def sql(table: str = "conversations") -> str:
     norm = r"trim(regexp_replace(lower({}), '[\x20\x09-\x0D]+', ' ', 'g'))"
     marks = r"'^[ \t]*((?:>[ \t]?)+)'"
     return rf"""
-with m as (select conv_id as conv, coalesce(turn, -1) as turn, turn is null as no_turn, role, coalesce(text, '') as text from {table}),
+with recursive m as (select conv_id as conv, coalesce(turn, -1) as turn, turn is null as no_turn, role, coalesce(text, '') as text from {table}),
 d as (select distinct conv, turn, coalesce(role, '') as role, text from m),
 l as (select conv, turn, role, text, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as pos from d),
 q as (select *, length(regexp_replace(regexp_extract(raw, {marks}, 1), '[^>]', '', 'g')) as level, regexp_replace(raw, {marks}, '') as line from l),
@@ -153,15 +236,28 @@ b as (select * from t qualify row_number() over (partition by conv, turn, role,
 n as (select conv, turn, role, text, count(*) as n_quoted, max(level) as max_level from q where level > 0 group by all),
 r as (select m.*, b.target, n.n_quoted, n.max_level,
              max(m.turn) over (partition by m.conv order by m.turn range between unbounded preceding and 1 preceding) as prev,
-             count(*) over (partition by m.conv order by m.turn) as position, min(m.turn) over (partition by m.conv) as first_turn
+             min(m.turn) over (partition by m.conv) as first_turn
       from m left join b on m.conv is not distinct from b.conv and m.turn = b.turn and coalesce(m.role, '') = b.role and m.text = b.text
-             left join n on m.conv is not distinct from n.conv and m.turn = n.turn and coalesce(m.role, '') = n.role and m.text = n.text)
+             left join n on m.conv is not distinct from n.conv and m.turn = n.turn and coalesce(m.role, '') = n.role and m.text = n.text),
+h as (select conv, turn, count(*) as n, case when min(target) < max(prev) then min(target) else max(prev) end as parent from r group by all),
+v as (select conv, turn, n, [turn] as path from h where parent is null union all
+      select h.conv, h.turn, h.n, list_append(v.path, h.turn) from h join v on h.conv is not distinct from v.conv and h.parent = v.turn),
+z as (select conv as zc, turn as zt, cast(sum(n) over (partition by conv order by path) as bigint) as position from v)
 select conv as conv_id, case when no_turn then null else turn end as turn, role,
        regexp_replace(regexp_replace(text, '(?m)^[ \t]*(?:>[ \t]?)+[^\n]*\n?', '', 'g'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as text,
        coalesce(target, prev) as reply_to, target is not null as linked, cast(coalesce(n_quoted, 0) as bigint) as n_quoted,
        cast(coalesce(max_level, 0) as bigint) as max_level,
-       coalesce(max(case when target <> prev then turn end) over (partition by conv order by turn), first_turn) as branch, position from r"""
+       coalesce(max(case when target <> prev then turn end) over (partition by conv order by turn), first_turn) as branch, position
+from r join z on conv is not distinct from zc and turn = zt"""
+
 
+QUOTING = """
+(with s as (select conv_id as c, turn as t, max(text) as said from conversations where text is not null group by all)
+ select m.conv_id, m.turn, m.role, coalesce('>> ' || replace(d.said, chr(10), chr(10) || '>> ') || chr(10), '')
+        || coalesce('> ' || replace(b.said, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(m.text, '') as text
+ from conversations m
+      left join s b on b.c = m.conv_id and b.t = m.turn - 1 - (m.conv_id + m.turn) % 3 and (m.conv_id + m.turn) % 4 > 0
+      left join s d on d.c = m.conv_id and d.t = m.turn - 4 and (m.conv_id + m.turn) % 3 = 0)"""
 
-QUERIES = {"op4_quotation": op4_quotation}
-ORACLE = {"op4_quotation": sql()}
+QUERIES = {"op4_quotation": op4_quotation, "quoted_threads": quoted_threads}
+ORACLE = {"op4_quotation": sql(), "quoted_threads": sql(QUOTING)}
