@@ -4,11 +4,12 @@
 features ``x`` are words and word beginnings, present or absent, of the whole text. The output is the expected grade.
 
 Training takes a bounded sample: the ``sample`` labelled documents that come first in hash order of their number. The
-bound is a parameter, which makes the sample's ids small enough to broadcast and its few selected features small enough
-for one fit. Words are selected by how clearly they go with the label in that sample. Everything else, scoring above
-all, covers every document and is a map over the scan without a shuffle.
+bound is a parameter, which makes the sample's ids small enough to broadcast. Every word of the sample takes part and the shrinkage of
+the fit selects: the fit runs on a set of active words, then Spark computes the slope of every word of the sample at that fit, and words whose
+slope is beyond the shrinkage join the set until there are none, which is the optimum over all words. Only active words reach the driver.
+Everything else, scoring above all, covers every document and is a map over the scan without a shuffle.
 
-The table of labels knows toxic or not, no severities. ``graded_sample`` therefore grades a toxic document by the number of different
+The table of labels knows toxic or not, no severities. ``graded`` therefore grades a toxic document by the number of different
 words clearly tied to toxicity: 1, 2, or 3 for more. ``fit`` itself takes any integer grades.
 
 Defined cases: null and empty texts have no words and get the grade that the thresholds give an empty text; labels that are null
@@ -30,7 +31,9 @@ from . import common as c
 from . import words as wd
 
 SAMPLE = 20_000         # labelled documents used for training, at most
-VOCABULARY = 2_048      # selected words, at most
+SHRINKAGE = 2e-4        # weight of the absolute values of the weights beside the mean log-likelihood
+SLACK = 0.02            # share of the shrinkage by which a slope must be beyond it, since a fit has an end
+FIRST = 256             # words that the first step adds; each later step at most doubles them
 CLEAR = 4.0             # standard errors by which a word must go with toxicity to count for grading
 TOP_GRADE = 3
 BEGINNINGS = (4, 6)     # bytes of a word's beginning that are features of their own
@@ -66,25 +69,32 @@ def _words_per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def sample_words(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """``label, words`` of the sampled documents, one row per different text."""
+    """``sid, label, words`` of the sampled documents, one row per different text with the highest of its labels."""
     ids = (labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
            .groupBy(F.col("doc_id").alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
            .orderBy(F.xxhash64("__id"), "__id").limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))     # at most `sample` rows of 12 bytes
     rows = rows.select(F.xxhash64(c.text_of()).alias("__tid"), "label", c.text_of().alias("__text"))
-    return rows.mapInArrow(_words_per_doc, "__tid long, label int, words array<long>").dropDuplicates(["__tid"]).drop("__tid")
+    return rows.mapInArrow(_words_per_doc, "__tid long, label int, words array<long>").groupBy(
+        F.col("__tid").alias("sid")).agg(F.max("label").alias("label"), F.first("words").alias("words"))
 
 
-def _selected(rows: DataFrame, size: int) -> list:
-    """The words that most clearly go with or against a positive label: (hash, standard errors), at most ``size``."""
+def _clear(rows: DataFrame, clear: float) -> DataFrame:
+    """``word`` of all words that go with a positive label by ``clear`` standard errors or more."""
     n = rows.agg(F.coalesce(F.sum(F.when(F.col("label") > 0, 1)), F.lit(0)).alias("pos"), F.count(F.lit(1)).alias("all")).first()
     counts = rows.select(F.explode("words").alias("word"), (F.col("label") > 0).cast("int").alias("p"))
     counts = counts.groupBy("word").agg(F.sum("p").alias("pos"), F.count(F.lit(1)).alias("all"))
     a, b = F.col("pos") + 0.5, F.col("all") - F.col("pos") + 0.5
     odds = F.log(a / (n["pos"] - F.col("pos") + 0.5)) - F.log(b / (n["all"] - n["pos"] - (F.col("all") - F.col("pos")) + 0.5))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    return [(r["word"], r["z"]) for r in counts.select("word", z.alias("z")).where("abs(z) > 2")
-            .orderBy(F.abs("z").desc(), "word").limit(size).collect()]
+    return counts.where(odds / F.sqrt(1 / a + 1 / b) >= clear).select("word")
+
+
+def graded(rows: DataFrame, clear: float = CLEAR) -> DataFrame:
+    """``sid, grade, words``: 0 for what is not toxic, else the number of words clearly tied to toxicity, 1 at least and ``TOP_GRADE`` at most."""
+    tied = rows.where("label > 0").select("sid", F.explode("words").alias("word")).join(_clear(rows, clear), "word")
+    tied = tied.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    grade = F.when(F.col("label") <= 0, 0).otherwise(F.least(F.lit(TOP_GRADE), F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))))
+    return rows.join(tied, "sid", "left").select("sid", grade.cast("int").alias("grade"), "words")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -92,19 +102,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(doc: np.ndarray, feature: np.ndarray, n_features: int, grade: np.ndarray,
-        rounds: int = 600, l1: float = 2e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rounds: int = 600, l1: float = SHRINKAGE, rate: float = 0.1, begin: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, thresholds, grades) from sparse binary rows, as pairs (document, feature), and a grade per document.
 
     Adam steps on the mean negative log-likelihood with shrinkage of the weights; thresholds stay ordered because their
-    distances are fitted as exponentials.
+    distances are fitted as exponentials. ``begin`` is a pair of weights and thresholds to go on from.
     """
     grades, y = np.unique(grade, return_inverse=True)
     k = len(grades)
     if k < 2:
         return np.zeros(n_features), np.zeros(0), grades
     share = np.cumsum(np.bincount(y, minlength=k))[:-1] / len(y)
-    theta = np.log(share / (1 - share))
-    par = np.concatenate([np.zeros(n_features), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
+    start, theta = begin or (np.zeros(n_features), np.log(share / (1 - share)))
+    par = np.concatenate([start, theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
     m, v = np.zeros_like(par), np.zeros_like(par)
     rows = np.arange(len(y))
     for t in range(1, rounds + 1):
@@ -131,20 +141,77 @@ def fit(doc: np.ndarray, feature: np.ndarray, n_features: int, grade: np.ndarray
     return par[:n_features], th, grades
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, size: int = VOCABULARY,
-          clear: float = CLEAR) -> Model:
-    """Sample, select words, grade, fit. Only selected words of sampled documents reach the driver."""
-    rows = c.stored(sample_words(docs, labels, label_col, sample), "toxic-sample")
-    chosen = _selected(rows, size)
-    hashes = np.array(sorted(h for h, _ in chosen), np.int64)
-    tied = {h for h, z in chosen if z >= clear}
-    got = rows.select("label", F.array_intersect("words", F.array(*[F.lit(int(h)) for h in hashes]).cast("array<bigint>")).alias("words")).collect()
-    doc = np.array([i for i, r in enumerate(got) for _ in r["words"]], np.int64)
-    feature = np.searchsorted(hashes, np.array([h for r in got for h in r["words"]], np.int64))
-    grade = np.array([0 if r["label"] <= 0 else min(TOP_GRADE, max(1, sum(h in tied for h in r["words"]))) for r in got], np.int64)
-    weights, thresholds, grades = fit(doc, feature, len(hashes), grade)
-    used = weights != 0
-    return Model(hashes[used], weights[used], thresholds, grades if len(grades) else np.zeros(1, np.int64))
+def slopes(rows: DataFrame, model: Model, known: np.ndarray, beyond: float, most: int) -> list[int]:
+    """The ``most`` steepest words of all rows, other than the ``known``, at which the slope of the mean log-likelihood is more than ``beyond``.
+
+    The slope of a word is the sum over the rows that hold it; partial sums are added in Spark. A word in fewer than ``beyond`` times
+    all rows cannot get there, since a row adds at most one to the sum.
+    """
+    n = rows.count()
+    edge = np.concatenate([[-np.inf], model.thresholds, [np.inf]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            word, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            s = np.zeros(len(size))
+            if len(model.hashes):
+                at = np.minimum(np.searchsorted(model.hashes, word), len(model.hashes) - 1)
+                hit = model.hashes[at] == word
+                s = np.bincount(row[hit], model.weights[at[hit]], minlength=len(size))
+            y = np.searchsorted(model.grades, batch.column("grade").to_numpy())
+            slope = 1 - sigmoid(edge[y + 1] - s) - sigmoid(edge[y] - s)
+            words, inverse = np.unique(word, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(inverse, slope[row], minlength=len(words))),
+                                              pa.array(np.bincount(inverse, minlength=len(words)))], ["word", "slope", "n"])
+
+    sums = rows.select("grade", "words").mapInArrow(run, "word long, slope double, n long").groupBy("word").agg(F.sum("slope").alias("slope"), F.sum("n").alias("n"))
+    steep = sums.where((F.col("n") >= beyond * n) & (F.abs("slope") > beyond * n)).orderBy(F.abs("slope").desc(), "word")
+    found = [r["word"] for r in steep.limit(most + len(known)).collect()]
+    own = set(known.tolist())
+    return [x for x in found if x not in own][:most]
+
+
+def _active(rows: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in ``hashes``, grade of each row) of the active words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            word, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            at = np.minimum(np.searchsorted(hashes, word), max(0, len(hashes) - 1))
+            hit = hashes[at] == word if len(hashes) else np.zeros(len(word), bool)
+            row = np.repeat(np.arange(len(size)), size)[hit]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))])
+            parts = [at[hit][a:b].astype(np.int32).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("grade"), pa.array(parts, pa.binary())], ["sid", "grade", "at"])
+
+    got = sorted(rows.select("sid", "grade", "words").mapInArrow(run, "sid long, grade int, at binary").collect())      # a row per sampled document
+    lists = [np.frombuffer(r["at"], np.int32) for r in got]
+    row = np.repeat(np.arange(len(got)), [len(x) for x in lists])
+    return row, np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64), np.array([r["grade"] for r in got], np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, clear: float = CLEAR,
+          l1: float = SHRINKAGE) -> Model:
+    """Sample, grade, then fit and add the steepest words, as many as there are, until no word of the sample would change the fit."""
+    words_ = c.stored(sample_words(docs, labels, label_col, sample), "toxic-words")
+    rows = c.stored(graded(words_, clear), "toxic-sample")
+    hashes, begin = np.zeros(0, np.int64), None
+    while True:
+        doc, feature, grade = _active(rows, hashes)
+        weights, thresholds, grades = fit(doc, feature, len(hashes), grade, rounds=200 if begin else 600, l1=l1, begin=begin)
+        used = weights != 0
+        if len(grades) < 2 or grades[0] != 0:                  # not both kinds of label
+            return Model(hashes[:0], weights[:0], np.zeros(0), np.zeros(1, np.int64))
+        model = Model(hashes[used], weights[used], thresholds, grades)
+        more = slopes(rows, model, hashes, l1 * (1 + SLACK), max(FIRST, len(hashes)))
+        if not more:
+            return model
+        before, hashes = hashes, np.array(sorted({*hashes.tolist(), *more}), np.int64)
+        begin = (np.zeros(len(hashes)), thresholds) if len(before) else None
+        if begin:
+            begin[0][np.searchsorted(hashes, before)] = weights
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, at: float = 0.5,

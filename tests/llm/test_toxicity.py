@@ -1,10 +1,16 @@
-"""Ordinal regression: thresholds, gradients and held-out accuracy."""
+"""Ordinal regression: thresholds, gradients and held-out accuracy; the query beside plain Python and the fit beside another optimiser."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from panoloom.llm import toxicity
+from panoloom.llm import common, toxicity
+from panoloom.llm import words as wd
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -66,3 +72,114 @@ def test_sample_is_bounded(spark, documents):
     docs, labels = corpus(60)
     got = toxicity.sample_words(documents(docs), spark.createDataFrame(labels * 2, LABELS), sample=25)
     assert got.count() == 25
+
+
+def parts(text):
+    """Words (0, bytes) and their beginnings (length, bytes), each with one word that has it."""
+    lower = "".join(ch.lower() if len(ch.lower()) == 1 else ch for ch in text or "")
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", lower.encode())
+    return {**{(0, w): w for w in words}, **{(n, w[:n]): w for w in words for n in toxicity.BEGINNINGS if len(w) > n}}
+
+
+def likelihood(x, y, w, theta):
+    """Mean negative log-likelihood of the grades, in plain Python."""
+    edge = [-math.inf, *theta, math.inf]
+    total = 0.0
+    for row, k in zip(x, y):
+        s = sum(w[j] for j in row)
+        total -= math.log(max(1e-300, 1 / (1 + math.exp(-(edge[k + 1] - s))) - (1 / (1 + math.exp(-(edge[k] - s))) if k else 0.0)))
+    return total / len(y)
+
+
+def descended(x, y, n, classes, l1, rounds=4000):
+    """Another optimiser: proximal descent with a backtracked step on weights and thresholds, slopes by differences of the exact sums."""
+    rows = np.zeros((len(y), n))
+    for i, r in enumerate(x):
+        rows[i, list(r)] = 1
+    y = np.array(y)
+
+    def value(w, th):
+        edge = np.concatenate([[-np.inf], th, [np.inf]])
+        s = rows @ w
+        p = 1 / (1 + np.exp(-(edge[y + 1] - s))) - 1 / (1 + np.exp(-(edge[y] - s)))
+        return -np.log(np.maximum(p, 1e-300)).mean()
+
+    def slope(w, th):
+        edge = np.concatenate([[-np.inf], th, [np.inf]])
+        s = rows @ w
+        hi, lo = 1 / (1 + np.exp(-(edge[y + 1] - s))), 1 / (1 + np.exp(-(edge[y] - s)))
+        p = hi - lo
+        gw = rows.T @ ((hi * (1 - hi) - lo * (1 - lo)) / p) / len(y)
+        gt = np.array([((y == k + 1) * lo * (1 - lo) / p - (y == k) * hi * (1 - hi) / p).mean() for k in range(len(th))])
+        return gw, gt
+    share = np.cumsum(np.bincount(y, minlength=classes))[:-1] / len(y)
+    w, th, step = np.zeros(n), np.log(share / (1 - share)), 1.0
+    for _ in range(rounds):
+        gw, gt = slope(w, th)
+        while True:
+            v = w - step * gw
+            v = np.sign(v) * np.maximum(np.abs(v) - step * l1, 0)
+            t = th - step * gt
+            d = np.concatenate([v - w, t - th])
+            if (np.diff(t) > 0).all() and value(v, t) <= value(w, th) + np.concatenate([gw, gt]) @ d + d @ d / (2 * step) + 1e-13:
+                break
+            step /= 2
+        w, th, step = v, t, step * 1.3
+    return w, th
+
+
+def test_fit_beside_another_optimiser():
+    rng = random.Random(5)
+    x = [sorted(rng.sample(range(12), rng.randrange(1, 6))) for _ in range(300)]
+    y = [min(2, (0 in r) + (1 in r) + (rng.random() < .1)) for r in x]
+    l1 = 5e-3
+    doc = np.array([i for i, r in enumerate(x) for _ in r])
+    w, th, _ = toxicity.fit(doc, np.array([j for r in x for j in r]), 12, np.array(y), rounds=3000, l1=l1, rate=0.02)
+    other, other_th = descended(x, y, 12, 3, l1)
+    mine, best = (likelihood(x, y, a, b) + l1 * np.abs(a).sum() for a, b in ((w, th), (other, other_th)))
+    assert mine <= best + 2e-4
+    assert np.abs(w - other).max() < 0.1 and np.abs(th - other_th).max() < 0.1
+
+
+def test_no_word_of_the_sample_is_left_out(spark, documents, monkeypatch):
+    """At the fit, the slope of every word that is not used is within the shrinkage, however few words a step adds."""
+    monkeypatch.setattr(toxicity, "FIRST", 3)
+    docs, labels = corpus(300, 3)
+    l1 = 2e-3
+    model = toxicity.train(documents(docs), spark.createDataFrame(labels, LABELS), l1=l1)
+    seen = set().union(*(parts(t) for _, t in docs))
+    rows = toxicity.graded(toxicity.sample_words(documents(docs), spark.createDataFrame(labels, LABELS))).collect()
+    known = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+    slope, edge = Counter(), [-math.inf, *model.thresholds, math.inf]
+    for r in rows:
+        s, k = sum(known.get(h, 0.0) for h in r.words), model.grades.tolist().index(r.grade)
+        for h in r.words:
+            slope[h] += 1 - 1 / (1 + math.exp(-(edge[k + 1] - s))) - (1 / (1 + math.exp(-(edge[k] - s))) if k else 0.0)
+    assert len(slope) == len(seen)
+    left = [v for h, v in slope.items() if h not in known]
+    assert known and max(map(abs, left)) <= l1 * (1 + 3 * toxicity.SLACK) * len(rows)
+
+
+def test_query_beside_plain_python(spark, small):
+    docs = common.read(spark, small, "documents")
+    model = toxicity.train(docs, common.read(spark, small, "labels"))
+    number = {}
+
+    def number_of(part, word):
+        """The hash of a part, looked up once in a text of one word."""
+        if part not in number:
+            got = next(iter(wd.words(pa.array([word.decode()], pa.large_string()), wd.LETTERS)))
+            number[part] = int((wd.beginnings(got, part[0])[1] if part[0] else got.hash).view(np.int64)[0])
+        return number[part]
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+    got = {r.doc_id: r for r in toxicity.op7_toxicity(spark, small).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        s = sum(weight.get(number_of(*p), 0.0) for p in parts(r.text).items())
+        upto = [1 / (1 + math.exp(-(t - s))) for t in model.thresholds] + [1.0]
+        p = [b - a for a, b in zip([0.0, *upto], upto)]
+        mine = got[r.doc_id]
+        assert mine.severity == pytest.approx(sum(a * g for a, g in zip(p, model.grades.tolist())), abs=1e-9)
+        assert mine.p_toxic == pytest.approx(1 - p[0], abs=1e-9)
+        assert mine.toxic == (mine.p_toxic >= 0.5) and p[model.grades.tolist().index(mine.grade)] >= max(p) - 1e-9
