@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of ``WINDOW`` words in steps of ``BLOCK`` words, over whole texts. Their TF-IDF vectors, on the words
-that the benchmark uses, are projected on the leading singular vectors of a distributed randomised SVD. Windows whose
+that the benchmark uses, are projected on singular vectors of a randomised SVD: directions that the items' passages span, turned and scaled
+by the covariance of every window of every document there, which is one distributed sum. Windows whose
 cosine with a passage of an item is high enough are candidates, if their plain TF-IDF cosine is not low; the longest common subsequence of the item and the words
 around the window then decides, together with a check that the item's answer is there where the match is loose and an answer is given.
 Items longer than a window leak by a passage too: a window of theirs that is there almost word by word, or two of them loosely.
@@ -9,9 +10,8 @@ Items longer than a window leak by a passage too: a window of theirs that is the
 Items of at most ``SHORT`` words would be diluted in a window by the words around them. They are searched by their rarest words as well,
 exactly: a match misses few of an item's words, so some ``AGREE`` of that many more of its rarest are there, close together.
 
-Document frequencies count every document. The SVD, which only is the index, is fitted on windows of about ``SAMPLE`` documents (a
-hash of the number and text picks them) and on the items' own passages, each half of the weight. The search sees every
-window of every document; there is no shuffle in it.
+Document frequencies, the SVD and the search see every window of every document, nothing comes from a sample. In the SVD the corpus and the items' own
+passages have half of the weight each. There is no shuffle of documents or windows.
 
 The benchmark is the query set. It is taken ``ITEMS`` items at a time: per block of items, vocabulary, basis and passages are
 bounded by that number and travel with the function. Documents never meet each other.
@@ -40,7 +40,6 @@ BLOCK, SPAN = 8, 3
 WINDOW = BLOCK * SPAN
 SLOTS = 1 << 16         # document frequencies are kept per slot of the word hash
 RANK, EXTRA, ROUNDS = 128, 16, 2
-SAMPLE = 4_000          # documents the basis is fitted on, expected number
 ITEMS = 2_000           # items per search
 COSINE, PLAIN = 0.6, 0.4
 STRICT, LOOSE = 0.8, 0.6
@@ -57,21 +56,6 @@ class Item(NamedTuple):
     given: bool
 
 
-class Index(NamedTuple):
-    vocabulary: np.ndarray  # sorted word hashes
-    basis: np.ndarray       # words x rank
-    idf: np.ndarray         # per slot
-    items: list[Item]
-    passages: np.ndarray    # unit rows in the latent space
-    owner: np.ndarray       # item of each passage, and its first word
-    offset: np.ndarray
-    keys: np.ndarray        # sorted passage * (words + 1) + word, and the weight of the word in the unit passage
-    entries: np.ndarray
-    short: list[int]        # short items
-    rare: np.ndarray        # sorted words of which some must be in a match, and the place in ``short`` of the item of each
-    rare_of: np.ndarray
-
-
 def slot(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -119,6 +103,47 @@ def read_items(rows: list[tuple[int, str | None, str | None]]) -> list[Item]:
     return [Item(i, h, a, bool(given)) for (i, _, given), h, a in found if len(h)]
 
 
+class Lookup(NamedTuple):
+    """Places of words in a sorted vocabulary, by the low bits of their hash; only where these clash by a search."""
+    vocabulary: np.ndarray
+    table: np.ndarray       # place, the size of the vocabulary for none, or less than 0 where words share the bits
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Place of each word, the size of the vocabulary for others."""
+        at = self.table[(h & np.uint64(len(self.table) - 1)).astype(np.int64)]
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.minimum(np.searchsorted(self.vocabulary, h[shared]), len(self.vocabulary) - 1)
+        some = np.flatnonzero(at < len(self.vocabulary))
+        at[some[self.vocabulary[at[some]] != h[some]]] = len(self.vocabulary)
+        return at
+
+
+def lookup(vocabulary: np.ndarray) -> Lookup:
+    size = 1 << max(16, int(32 * len(vocabulary)).bit_length())
+    bits = (vocabulary & np.uint64(size - 1)).astype(np.int64)
+    table = np.full(size, len(vocabulary), np.int32)
+    table[bits] = np.arange(len(vocabulary))
+    same, n = np.unique(bits, return_counts=True)
+    table[same[n > 1]] = -1
+    return Lookup(vocabulary, table)
+
+
+class Index(NamedTuple):
+    vocabulary: np.ndarray  # sorted word hashes
+    known: Lookup
+    basis: np.ndarray       # words x rank
+    idf: np.ndarray         # per slot
+    items: list[Item]
+    passages: np.ndarray    # unit rows in the latent space
+    owner: np.ndarray       # item of each passage, and its first word
+    offset: np.ndarray
+    keys: np.ndarray        # sorted passage * (words + 1) + word, and the weight of the word in the unit passage
+    entries: np.ndarray
+    short: list[int]        # short items
+    rare: np.ndarray        # sorted words of which some must be in a match, and the place in ``short`` of the item of each
+    rare_of: np.ndarray
+
+
 class Blocks(NamedTuple):
     """Blocks of ``BLOCK`` words of one slice."""
     doc: np.ndarray         # document
@@ -128,7 +153,7 @@ class Blocks(NamedTuple):
     known: np.ndarray       # and of those of the vocabulary
 
 
-def blocks_of(w: wd.Words, vocabulary: np.ndarray, idf: np.ndarray) -> Blocks:
+def blocks_of(w: wd.Words, known: Lookup, idf: np.ndarray) -> Blocks:
     edge = w.per_doc()
     count = np.diff(edge)
     blocks = -(-count // BLOCK)
@@ -136,10 +161,10 @@ def blocks_of(w: wd.Words, vocabulary: np.ndarray, idf: np.ndarray) -> Blocks:
     n = int(base[-1])
     place = np.arange(len(w.hash)) - edge[w.doc]
     at = base[w.doc] * BLOCK + place
-    term = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-    hit = vocabulary[term] == w.hash
-    terms = np.full(n * BLOCK, len(vocabulary))
-    terms[at] = np.where(hit, term, len(vocabulary))
+    term = known.places(w.hash)
+    terms = np.full(n * BLOCK, len(known.vocabulary))
+    terms[at] = term
+    hit = term < len(known.vocabulary)
     mass = idf[slot(w.hash)] ** 2
     doc = np.repeat(np.arange(len(count)), blocks)
     return Blocks(doc, (np.arange(n) - base[doc]) * BLOCK, terms.reshape(n, BLOCK), np.bincount(at // BLOCK, mass, minlength=n),
@@ -169,28 +194,22 @@ def windows(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gram(column, vocabulary, idf, basis) -> tuple[np.ndarray, int]:
-    """Gram matrix of the unit TF-IDF windows of some texts, times ``basis``; number of windows."""
-    out, n, rows = np.zeros(basis.shape), 0, weighted(basis, vocabulary, idf)
+def _covariance(column, known: Lookup, idf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sum of outer products of the unit TF-IDF windows of some texts, projected on ``rows``; number of windows."""
+    out, n = np.zeros((rows.shape[1], rows.shape[1])), 0
     for w in wd.words(column, wd.LETTERS):
         if not len(w.hash):
             continue
-        b = blocks_of(w, vocabulary, idf)
+        b = blocks_of(w, known, idf)
         n += len(b.doc)
-        scale = 1 / np.maximum(windows(b.doc, b.mass), 1e-9)
-        y = windows(b.doc, projected(b.terms, rows)) * scale[:, None]
-        spread = y.copy()                         # what a block gets from the windows that hold it
-        for k in range(1, SPAN):
-            if len(b.doc) > k:
-                spread[k:] += y[:-k] * (b.doc[k:] == b.doc[:-k])[:, None]
-        block, k = np.nonzero(b.terms < len(vocabulary))
-        term = b.terms[block, k]
-        np.add.at(out, term, spread[block] * idf[slot(vocabulary[term])][:, None])
+        y = windows(b.doc, projected(b.terms, rows))
+        y /= np.sqrt(np.maximum(windows(b.doc, b.mass), 1e-9)).astype(y.dtype)[:, None]
+        out += y.T @ y
     return out, n
 
 
-def fit(sample: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK) -> Index:
-    """Randomised subspace iteration: per round one distributed product of the sample's Gram matrix with a thin matrix.
+def fit(docs: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK, text_col: str = "text") -> Index:
+    """Randomised subspace iteration on the passages, then one distributed sum: the covariance of all windows of ``docs`` in that subspace.
 
     Directions are scaled to equal variance, so that no language's everyday words decide a cosine. There are at most half as many as
     passages: beyond those, scaling would raise directions that no passage needs.
@@ -211,36 +230,41 @@ def fit(sample: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK)
         np.add.at(y, row, m[place] * unit[:, None])
         return y
 
-    def product(m):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(m.shape), 0
-            for batch in batches:
-                part, k = _gram(batch.column("text"), vocabulary, idf, m)
-                total, n = total + part, n + k
-            starts = np.arange(0, len(total), 256)
-            parts = [total[s:s + 256].tobytes() for s in starts]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *starts.tolist()], pa.int64()),
-                                              pa.array([np.array([float(n)]).tobytes(), *parts], pa.binary())], ["first", "part"])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(p) for p in pdf["part"])
-            return pd.DataFrame({"first": pdf["first"][:1], "part": [total.tobytes()]})
-
-        shape, corpus, n = "first long, part binary", np.zeros(m.shape), 1.0
-        for r in sample.mapInArrow(run, shape).groupBy("first").applyInPandas(add, shape).toLocalIterator():
-            got = np.frombuffer(r["part"])
-            if r["first"] < 0:
-                n = max(1.0, got[0])
-            else:
-                got = got.reshape(-1, m.shape[1])
-                corpus[r["first"]:r["first"] + len(got)] = got
-        own_part = np.zeros(m.shape)
-        np.add.at(own_part, place, project(m)[row] * unit[:, None])
-        return corpus / n + own_part / len(rows)
+    def back(y):
+        m = np.zeros((len(vocabulary), y.shape[1]))
+        np.add.at(m, place, y[row] * unit[:, None])
+        return m
 
     for _ in range(ROUNDS):
-        q, _ = np.linalg.qr(product(q))
-    value, vector = np.linalg.eigh(q.T @ product(q))
+        q, _ = np.linalg.qr(back(project(q)))
+    known = lookup(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((q.shape[1], q.shape[1])), 0
+        scaled = weighted(q.astype(np.float32), vocabulary, idf)
+        for batch in batches:
+            part, k = _covariance(batch.column("__text"), known, idf, scaled)
+            total, n = total + part, n + k
+        starts = np.arange(0, len(total), 16)
+        parts = [total[s:s + 16].tobytes() for s in starts]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *starts.tolist()], pa.int64()),
+                                          pa.array([np.array([float(n)]).tobytes(), *parts], pa.binary())], ["first", "part"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(p) for p in pdf["part"])
+        return pd.DataFrame({"first": pdf["first"][:1], "part": [total.tobytes()]})
+
+    shape, corpus, n = "first long, part binary", np.zeros((q.shape[1], q.shape[1])), 1.0
+    texts = docs.select(c.text_of(text_col).alias("__text"))
+    for r in texts.mapInArrow(run, shape).groupBy("first").applyInPandas(add, shape).toLocalIterator():
+        got = np.frombuffer(r["part"])
+        if r["first"] < 0:
+            n = max(1.0, got[0])
+        else:
+            got = got.reshape(-1, q.shape[1])
+            corpus[r["first"]:r["first"] + len(got)] = got
+    own_part = project(q)
+    value, vector = np.linalg.eigh(corpus / n + own_part.T @ own_part / len(rows))
     top = np.argsort(-value)[:rank]
     spread = np.sqrt(np.maximum(value[top], 1e-6 * max(value.max(), 1e-30)))
     basis = ((q @ vector[:, top]) / spread).astype(np.float32)
@@ -250,7 +274,7 @@ def fit(sample: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK)
     order = np.unique(keys)
     entries = np.zeros(len(order))
     np.add.at(entries, np.searchsorted(order, keys), unit)
-    return Index(vocabulary, basis, idf, items, z.astype(np.float32), np.array([k for k, _ in own]), np.array([s for _, s in own]),
+    return Index(vocabulary, known, basis, idf, items, z.astype(np.float32), np.array([k for k, _ in own]), np.array([s for _, s in own]),
                  order, entries, *_rarest(items, idf))
 
 
@@ -362,11 +386,13 @@ def _search_short(w: wd.Words, ix: Index, strict: float, loose: float):
     """Matches of short items whose rarest words are near each other, whatever stands around them."""
     if not len(ix.rare):
         return
-    first, last = (np.searchsorted(ix.rare, w.hash, side) for side in ("left", "right"))
-    at = np.flatnonzero(last > first)
-    count = (last - first)[at]
+    some = np.zeros(SLOTS, bool)
+    some[slot(ix.rare)] = True
+    at = np.flatnonzero(some[slot(w.hash)])                 # few words share the slot of a rare one
+    first, last = (np.searchsorted(ix.rare, w.hash[at], side) for side in ("left", "right"))
+    at, first, count = at[last > first], first[last > first], (last - first)[last > first]
     pos = np.repeat(at, count)
-    own = ix.rare_of[np.repeat(first[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+    own = ix.rare_of[np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
     order = np.lexsort((pos, own))
     pos, own = pos[order], own[order]
     n = np.array([len(ix.items[k].words) for k in ix.short])
@@ -397,19 +423,20 @@ def _search_short(w: wd.Words, ix: Index, strict: float, loose: float):
                 yield (int(d), item.item_id, int(got), float(got / len(item.words)), _plain(item.words, region, ix.idf), int(b) + begin, int(b) + end, answer)
 
 
-def _search_slice(w: wd.Words, ix: Index, cosine: float, plain: float, strict: float, loose: float):
+def _search_slice(w: wd.Words, ix: Index, scaled: np.ndarray, cosine: float, plain: float, strict: float, loose: float):
     """Matches of one slice: (document, item, lcs, coverage, cosine, first word, end, answer)."""
     yield from _search_short(w, ix, strict, loose)
-    b = blocks_of(w, ix.vocabulary, ix.idf)
+    b = blocks_of(w, ix.known, ix.idf)
     doc, place, mass = b.doc, b.place, windows(b.doc, b.mass)
     likely = np.flatnonzero(windows(doc, b.known) >= plain ** 2 * mass)       # others cannot reach the plain cosine
-    z = windows(doc, projected(b.terms, weighted(ix.basis, ix.vocabulary, ix.idf)))[likely]
+    z = windows(doc, projected(b.terms, scaled))[likely]
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     hits = []
     for first in range(0, len(ix.passages), 512):
         score = z @ ix.passages[first:first + 512].T
-        win, passage = np.nonzero(score >= cosine)
-        hits.append((likely[win], passage + first, score[win, passage]))
+        hot = np.flatnonzero(score.ravel() >= cosine)
+        win, passage = np.divmod(hot, score.shape[1])
+        hits.append((likely[win], passage + first, score.ravel()[hot]))
     win, passage, score = (np.concatenate(x) for x in zip(*hits))
     full = plain_cosine(b, mass, ix, win, passage)
     win, passage, score = win[full >= plain], passage[full >= plain], score[full >= plain]
@@ -450,10 +477,11 @@ def search(docs: DataFrame, ix: Index, cosine: float = COSINE, plain: float = PL
     kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scaled = weighted(ix.basis, ix.vocabulary, ix.idf)
         for batch in batches:
             best: dict[tuple, tuple] = {}
             for w in wd.words(batch.column("__text"), wd.LETTERS):
-                for m in _search_slice(w, ix, cosine, plain, strict, loose) if len(w.hash) else ():
+                for m in _search_slice(w, ix, scaled, cosine, plain, strict, loose) if len(w.hash) else ():
                     k = (w.first + m[0], m[1])
                     if k not in best or (m[2], m[4], -m[5]) > (best[k][1], best[k][3], -best[k][4]):
                         best[k] = m[1:]
@@ -465,20 +493,17 @@ def search(docs: DataFrame, ix: Index, cosine: float = COSINE, plain: float = PL
     return rows.mapInArrow(run, f"{c.KEY[0]} long, {c.KEY[1]} long, doc_id long, {FOUND}")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, block: int = ITEMS, **options) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block: int = ITEMS, **options) -> DataFrame:
     """Matches of all documents with all items, from the whole method; ``benchmark`` has item_id, text and maybe answer."""
     answer = "answer" if "answer" in benchmark.columns else F.lit(None).cast("string").alias("answer")
     df, n = frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    share = min(1.0, sample / max(n, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    some = c.stored(some.select(c.text_of().alias("text")).repartition(8), "passages")
     spark, found, held = docs.sparkSession, [], []
 
     def flush():
         items = read_items(held)
         if items:
-            ix = fit(some, items, idf)
+            ix = fit(docs, items, idf)
             found.append(search(docs, ix._replace(**dict(zip(("short", "rare", "rare_of"), _rarest(items, idf, options.get("loose", LOOSE))))), **options))
         held.clear()
     for r in benchmark.select("item_id", "text", answer).orderBy("item_id").toLocalIterator():

@@ -1,5 +1,6 @@
 """Benchmark decontamination beside a search for whole items, and its parts beside plain loops."""
 
+import math
 import random
 import re
 
@@ -164,3 +165,35 @@ def test_short_items_between_rare_words(spark, documents):
     got = set(found(documents(docs), spark.createDataFrame(items + rare, BENCH)))
     print(len(got & set(want)), "of", len(want))
     assert not set(want) - got and {m for m in got if m[1] < 900} == set(want)
+
+
+def test_basis_sees_every_document(spark, documents, monkeypatch):
+    """More documents than the sample once held: the basis turns the covariance of all their windows and the items' passages into the unit matrix."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(4_600)]
+    items = [(k, " ".join(rng.choice(words[:40]) for _ in range(30))) for k in range(12)]
+    seen, fit = [], dc.fit
+    monkeypatch.setattr(dc, "fit", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    dc.leaks(documents(texts), spark.createDataFrame(items, "item_id long, text string"))
+    ix, = seen
+    number = {int(h): k for k, h in enumerate(ix.vocabulary)}
+
+    def rows(texts, span):
+        out = []
+        for w in wd.words(pa.array(texts, pa.large_string()), wd.LETTERS):
+            edge = w.per_doc()
+            for a, b in zip(edge[:-1], edge[1:]):
+                for s in range(a, b, dc.BLOCK) if span is None else range(a, max(a + 1, b - dc.WINDOW + dc.BLOCK), dc.BLOCK):
+                    vector, mass = np.zeros(len(number)), 0.0
+                    for h in w.hash[s:min(b, s + dc.WINDOW)]:
+                        weight = ix.idf[int(h) % dc.SLOTS]
+                        if int(h) in number:
+                            vector[number[int(h)]] += weight
+                        mass += weight ** 2
+                    out.append(vector / math.sqrt(mass))
+        return np.array(out)
+    corpus, own = rows(texts, None), rows([t for _, t in items], 0)
+    both = corpus.T @ corpus / len(corpus) + own.T @ own / len(own)
+    basis = ix.basis.astype(float)
+    assert np.abs(basis.T @ both @ basis - np.eye(basis.shape[1])).max() < 1e-3
