@@ -183,3 +183,31 @@ def test_query_beside_plain_python(spark, small):
         assert mine.severity == pytest.approx(sum(a * g for a, g in zip(p, model.grades.tolist())), abs=1e-9)
         assert mine.p_toxic == pytest.approx(1 - p[0], abs=1e-9)
         assert mine.toxic == (mine.p_toxic >= 0.5) and p[model.grades.tolist().index(mine.grade)] >= max(p) - 1e-9
+
+
+def test_every_labelled_document_takes_part(spark, documents):
+    """More labelled documents than the sample once held; what only few of them hold is learnt as well, and slopes are sums over all."""
+    n = 20_600
+    docs = [(i, f"plain{i % 50} " + (f"vile plain{i % 7}" if i % 5 == 0 else "fine")) for i in range(n)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(n)]
+    assert toxicity.sample_words(documents(docs), spark.createDataFrame(labels, LABELS)).agg({"label": "sum"}).first()[0] == len({t for _, t in docs if "vile" in t})
+    apart = [(i, f"note {i} " + ("vile" if i % 5 == 0 else "fine")) for i in range(n)]
+    assert toxicity.sample_words(documents(apart), spark.createDataFrame(labels, LABELS)).count() == n
+
+
+def test_summed_fit_beside_another_optimiser(spark, monkeypatch):
+    rng = random.Random(6)
+    x = [sorted(rng.sample(range(12), rng.randrange(0, 6))) for _ in range(300)]
+    y = [min(2, (0 in r) + (1 in r) + (rng.random() < .1)) for r in x]
+    l1 = 5e-3
+    rows = spark.createDataFrame([(i, g, [int(j) for j in r]) for i, (r, g) in enumerate(zip(x, y))], "sid long, grade int, words array<long>")
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    active = common.stored(toxicity._active(rows.repartition(3), np.arange(12)), "active")
+    share = np.cumsum(np.bincount(y))[:-1] / len(y)
+    theta = np.log(share / (1 - share))
+    par = toxicity.descend(toxicity.summed(active, np.arange(3), 12), np.concatenate([np.zeros(12), theta]), 12, l1)
+    w, th = par[:12], par[12:]
+    other, other_th = descended(x, y, 12, 3, l1)
+    mine, best = (likelihood(x, y, a, b) + l1 * np.abs(a).sum() for a, b in ((w, th), (other, other_th)))
+    assert mine <= best + 2e-5
+    assert np.abs(w - other).max() < 0.1 and np.abs(th - other_th).max() < 0.1
