@@ -12,7 +12,7 @@ from panoloom.plans import raster_plan as rp
 from panoloom.plans import stitch_plan as sp
 from panoloom.plans.common import BGR, FRAMES, registry
 from panoloom.plans.match_plan import BAND
-from panoloom.session import fresh_path
+from panoloom.session import fresh_path, stored
 from panoloom.sources import camera as cam
 from panoloom.sources import frames as fr
 from panoloom.sources import images
@@ -104,8 +104,8 @@ def score_status(spark, sf):
 @query(f"""with recursive {_STITCHED}, {sp._chunks_sql('stitched')}
 select video_id, 'ok' as status, count(*) as n_chunks from chunks group by video_id""")
 def score_ledger(spark, sf):
-    # two videos first, then all in waves of two: the first two are taken from the ledger
-    frames = cam.planes(spark, sf).withColumnsRenamed({"b": "c0", "g": "c1", "r": "c2"}).withColumn("layout", F.lit("BGR"))
+    # two videos first, then all in waves of two: the first two are taken from the ledger; stored frames, since every wave reads them
+    frames = stored(cam.planes(spark, sf).withColumnsRenamed({"b": "c0", "g": "c1", "r": "c2"}).withColumn("layout", F.lit("BGR")), "frames")
     jobs = cam.vectors(spark, sf).select("video_id").distinct().withColumn("mode", F.expr(MODE)).selectExpr(
         "*", *[f"cast(null as {t}) as {c}" for c, t in zip(("every", "first_us", "last_us", *"xywh"), ("int", "bigint", "bigint", *["int"] * 4))])
     ledger = Ledger(spark, fresh_path(spark, "ledger"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panoloom.operators import steps
 from panoloom.operators import stitch
 from panoloom.operators.match import Band
-from panoloom.plans import score
+from panoloom.plans import score, score_plan
 from panoloom.sources import camera as cam
 from panoloom.sources.ledger import Ledger
 
@@ -99,3 +99,19 @@ def test_killed_job_goes_on_where_it_stopped(spark, stored, tmp_path):
     before = len(ledger._versions())
     ledger.run(jobs, stored, dies)                            # nothing is pending
     assert len(ledger._versions()) == before
+
+
+def test_ledger_query_reads_stored_frames(spark, small, monkeypatch):
+    """Frames are built once, not by every wave."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def run(self, jobs, frames, work, wave=1000):
+        seen.append(frames.inputFiles())
+        raise Stop
+    monkeypatch.setattr(Ledger, "run", run)
+    with pytest.raises(Stop):
+        score_plan.score_ledger(spark, small)
+    assert seen[0] and not any("embeddings" in f for f in seen[0])
