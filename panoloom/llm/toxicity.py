@@ -79,7 +79,8 @@ def sample_words(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
            .groupBy(F.col("doc_id").alias("__id")).agg(F.max(label_col).cast("int").alias("label")))
     if sample is not None:
         ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select("doc_id", c.text_of().alias("__text")).join(ids, F.col("doc_id") == F.col("__id"))
+    rows = docs.select("doc_id", c.text_of().alias("__text")).join(c.stored(ids, "toxic-ids"), F.col("doc_id") == F.col("__id"))      # a size that Spark knows
+    rows = c.stored(rows.select("label", "__text"), "toxic-texts")           # files of the first shuffle, if any, go before the next
     rows = rows.groupBy(F.xxhash64("__text").alias("__tid")).agg(F.max("label").alias("label"), F.first("__text").alias("__text"))
     return rows.mapInArrow(_words_per_doc, "__tid long, label int, words array<long>").withColumnRenamed("__tid", "sid")
 
