@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+WORD_BYTES = 1 << 18      # words are taken from less text at a time, since each byte needs some 60 bytes meanwhile
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _RNG = np.random.default_rng(20)
@@ -56,7 +57,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 .. n - 1 of the base and of its inverse, modulo 2^64."""
     if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
+        size = max(n, (WORD_BYTES if n <= WORD_BYTES + 4096 else SLICE_BYTES) + 4096)
         for k, base in enumerate((BASE, INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -99,10 +100,12 @@ def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray,
 
 def words(column, table: np.ndarray = VISIBLE, lower: bool | str = True) -> Iterator[Words]:
     """Words of a text column, slice by slice. ``lower`` may be ``"ascii"``, which keeps every byte's place."""
-    if lower is True:
-        column = pc.utf8_lower(plain(column))
-    for first, data, offsets in slices(column):
-        if lower == "ascii":
+    column = plain(column)
+    for first, data, offsets in slices(column, WORD_BYTES):
+        if lower is True:
+            low = pc.utf8_lower(column.slice(first, len(offsets) - 1))
+            _, data, offsets = next(slices(low, max(1, low.nbytes)))
+        elif lower == "ascii":
             data = ASCII_LOWER[data]
         inside = table[data]
         begins = inside.copy()
