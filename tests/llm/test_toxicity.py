@@ -1,6 +1,7 @@
 """Ordinal regression: thresholds, gradients and held-out accuracy; the query beside plain Python and the fit beside another optimiser."""
 
 import math
+import pathlib
 import random
 import re
 from collections import Counter
@@ -211,3 +212,25 @@ def test_summed_fit_beside_another_optimiser(spark, monkeypatch):
     mine, best = (likelihood(x, y, a, b) + l1 * np.abs(a).sum() for a, b in ((w, th), (other, other_th)))
     assert mine <= best + 2e-5
     assert np.abs(w - other).max() < 0.1 and np.abs(th - other_th).max() < 0.1
+
+
+def test_training_leaves_no_shuffle_files(spark, documents):
+    """What a step of the training shuffles goes when it ends, since many steps together are more than the texts."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {p for folder in manager.localDirsString() for p in pathlib.Path(folder).rglob("shuffle_*.data")}
+    docs, labels = corpus(400)
+    before = shuffled()
+    model = toxicity.train(documents(docs), spark.createDataFrame(labels, LABELS))
+    assert len(model.hashes)
+    assert sum(p.stat().st_size for p in shuffled() - before) < 100_000
+
+
+def test_equal_texts_meet_in_one_turn(spark, documents):
+    """Copies with and without labels, null numbers and null texts: one row a labelled text, with the highest label."""
+    docs = [(k, f"text {k % 7} of seven") for k in range(60)] + [(None, "text 1 of seven"), (100, None), (101, ""), (102, "no label")]
+    labels = [(k, 1, int(k == 9)) for k in range(20)] + [(100, 1, 0), (101, 1, 1), (102, 1, None), (None, 1, 1)]
+    rows = toxicity.sample_words(documents(docs * 2), spark.createDataFrame(labels * 2, LABELS)).collect()
+    assert sorted((len(r["words"]), r["label"]) for r in rows) == [(0, 1), *[(5, 0)] * 6, (5, 1)]
+    assert len({r["sid"] for r in rows}) == 8
