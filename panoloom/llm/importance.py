@@ -4,16 +4,16 @@ Features are runs of 1 to ``ORDER`` consecutive words; a feature's bucket is the
 target texts are counted by bucket; a bucket's gain is the log ratio of its smoothed shares in the target and in the documents, a document's weight the sum over
 its features. With Gumbel noise from a digest of the id, the documents of highest score are a draw without replacement in proportion to the importance weights.
 
-*Dictionary.* The different words of about a megabyte of text, each between two spaces, go into an Aho-Corasick automaton with their CRC and length as payload. One scan emits the
+*Dictionary.* The different words of about a quarter of a megabyte of text, each between two spaces, go into an Aho-Corasick automaton with their CRC and length as payload. One scan emits the
 payload of every word in order, delimiters being shared by neighbours. The CRC of a run is composed from the payloads of its words: appending a word of ``n`` bytes
-multiplies by x^(8 n) modulo the CRC polynomial. So a word is hashed once per megabyte, and runs are never built as strings.
+multiplies by x^(8 n) modulo the CRC polynomial. So a word is hashed once per such piece, whose automaton stays small enough for a processor's cache, and runs are never built as strings.
 
 The corpus is scanned twice, for counts and for scores; only bucket counts (``BUCKETS`` numbers per order-independent table) pass through the driver. Ranks come from a range
 partition by score, whose parts are numbered on their own and shifted by the number of rows in the parts before.
 
 Defined cases: null and empty texts hold no words, weigh 0 and are never drawn; a null id takes the noise of the empty id and comes last among ties, rows of equal id and
 score go by a hash of the text; repeated rows are rows of their own; without target texts all gains come from smoothing; an empty table gives an empty result. Words
-of more than ``LONG`` bytes stay out of the automaton, whose size they would set, and bring their payload themselves. Texts are taken whole, a megabyte at a time. Other
+of more than ``LONG`` bytes stay out of the automaton, whose size they would set, and bring their payload themselves. Texts are taken whole, a piece at a time. Other
 columns are ignored.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -35,7 +36,7 @@ from . import words as wd
 ORDER, BUCKETS, SEED, PERCENT, LEAST_WORDS = 1, 10_000, 2024, 10, 20
 POLYNOMIAL = 0xEDB88320                 # CRC-32, lowest bit first
 LONG = 1024
-PIECE = 1 << 20
+PIECE = 1 << 18
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -82,7 +83,7 @@ def payloads(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k, w in enumerate(dictionary):
             automaton.add_word(f" {w.decode('latin-1')} ", k)       # one character per byte
         automaton.make_automaton()
-        pairs = np.array(list(automaton.iter(text.decode("latin-1"))), np.int64)
+        pairs = np.fromiter(chain.from_iterable(automaton.iter(text.decode("latin-1"))), np.int64).reshape(-1, 2)      # no tuples are held
         place, which = pairs[:, 0] - 1, pairs[:, 1]
     crc, size = crc[which], size[which]
     if found_long:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -93,3 +94,25 @@ def test_pieces_of_texts(piece):
         found += bucket.tolist()
     want = sorted((i, zlib.crc32(f.encode()) % 10_000) for i, t in enumerate(texts) for f in features(t, 2)[1])
     assert sorted(zip(rows, found)) == want
+
+
+def test_payloads_hold_numbers_only():
+    """The places of words come as numbers one after another; a list of pairs of Python objects takes time and memory of its own."""
+    n = 100_000
+    text = b" " + b" ".join(b"w%d" % (k % 50) for k in range(n)) + b" "
+    tracemalloc.start()
+    place, crc, size = importance.payloads(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(place) == n and crc[7] == zlib.crc32(b"w7") and size[49] == 3
+    assert peak < 85 * n
+
+
+def test_piece_borders_change_nothing():
+    texts = pa.array(["one two, three " * 40, None, "x" * 300 + " Ärger", "", "one"] * 3)
+
+    def flat(piece):
+        parts = list(importance.scan(texts, 2, 1000, piece))
+        return [np.concatenate([p[2] for p in parts]).tolist(),
+                sorted((p[0] + int(r), int(b)) for p in parts for r, b in zip(p[3], p[4]))]
+    assert flat(16) == flat(200) == flat(1 << 20)
