@@ -30,6 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,14 +198,20 @@ def windows(doc: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _covariance(column, known: Lookup, idf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, int]:
     """Sum of outer products of the unit TF-IDF windows of some texts, projected on ``rows``; number of windows."""
     out, n = np.zeros((rows.shape[1], rows.shape[1])), 0
-    for w in wd.words(column, wd.LETTERS):
-        if not len(w.hash):
-            continue
-        b = blocks_of(w, known, idf)
-        n += len(b.doc)
-        y = windows(b.doc, projected(b.terms, rows))
-        y /= np.sqrt(np.maximum(windows(b.doc, b.mass), 1e-9)).astype(y.dtype)[:, None]
-        out += y.T @ y
+    low = pc.utf8_lower(wd.plain(column))
+    for first, _, offsets in wd.slices(low):                # one product for so much text, whose words come in smaller slices
+        parts = []
+        for w in wd.words(low.slice(first, len(offsets) - 1), wd.LETTERS, lower=False):
+            if not len(w.hash):
+                continue
+            b = blocks_of(w, known, idf)
+            n += len(b.doc)
+            y = windows(b.doc, projected(b.terms, rows))
+            y /= np.sqrt(np.maximum(windows(b.doc, b.mass), 1e-9)).astype(y.dtype)[:, None]
+            parts.append(y)
+        if parts:
+            y = np.concatenate(parts)
+            out += y.T @ y
     return out, n
 
 

@@ -197,3 +197,16 @@ def test_basis_sees_every_document(spark, documents, monkeypatch):
     both = corpus.T @ corpus / len(corpus) + own.T @ own / len(own)
     basis = ix.basis.astype(float)
     assert np.abs(basis.T @ both @ basis - np.eye(basis.shape[1])).max() < 1e-3
+
+
+def test_covariance_does_not_depend_on_word_slices(monkeypatch):
+    """Words come in small slices, for memory; the products of rows stay those of a megabyte, to the bit."""
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"W{k}" for k in rng.integers(0, 300, n)) for n in rng.integers(0, 400, 200)], pa.string())
+    vocabulary = np.unique(np.concatenate([w.hash for w in wd.words(texts, wd.LETTERS)]))[::2]
+    idf = rng.uniform(1, 9, dc.SLOTS)
+    rows = dc.weighted(rng.standard_normal((len(vocabulary), 12)).astype(np.float32), vocabulary, idf)
+    whole, n = dc._covariance(texts, dc.lookup(vocabulary), idf, rows)
+    monkeypatch.setattr(wd, "WORD_BYTES", 3000)
+    parts, m = dc._covariance(texts, dc.lookup(vocabulary), idf, rows)
+    assert n == m and (whole == parts).all() and whole.any()
